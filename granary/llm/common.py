@@ -52,3 +52,19 @@ def mix64(x: np.ndarray) -> np.ndarray:
 
 def as_long(x: np.ndarray) -> np.ndarray:
     return x.astype(np.uint64, copy=False).view(np.int64)
+
+
+def slices(batches, column: int, most: int = 1 << 22):
+    """The record batches in pieces whose texts or binaries in this column sum up to few MB (a single value may be larger)."""
+    import pyarrow.compute as pc
+
+    for b in batches:
+        if not b.num_rows:
+            continue
+        ends = np.cumsum(pc.fill_null(pc.binary_length(b.column(column)), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+        begin = 0
+        while begin < b.num_rows:
+            before = ends[begin - 1] if begin else 0
+            end = max(begin + 1, int(np.searchsorted(ends, before + most, side="right")))
+            yield b.slice(begin, end - begin)
+            begin = end

@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
-from granary.llm import mixing
+from granary.llm import mixing, warc, webp
 
 QUERIES = {
     "op4_pareto_mix": mixing.op4_pareto_mix,
+    "op5_warc_salvage": warc.op5_warc_salvage,
+    "op8_webp_media": webp.op8_webp_media,
 }
 SQL = {
     "op4_pareto_mix": mixing.SQL,
+    "op5_warc_salvage": warc.SQL,
 }
