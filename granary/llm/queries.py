@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
-from granary.llm import mixing, warc, webp
+from granary.llm import licences, mixing, pieces, quality, warc, webp
 
 QUERIES = {
+    "op2_quality_score": quality.op2_quality_score,
+    "op3_licence_scan": licences.op3_licence_scan,
     "op4_pareto_mix": mixing.op4_pareto_mix,
     "op5_warc_salvage": warc.op5_warc_salvage,
     "op8_webp_media": webp.op8_webp_media,
+    "op9_sentencepiece_dropout": pieces.op9_sentencepiece_dropout,
 }
 SQL = {
     "op4_pareto_mix": mixing.SQL,
