@@ -10,6 +10,8 @@ from __future__ import annotations
 import hashlib
 import struct
 import zlib
+from collections import deque
+from functools import cache
 from heapq import heapify, heappop, heappush
 
 import numpy as np
@@ -158,6 +160,24 @@ def _read_code(bits: Bits, size: int) -> Code:
     return Code(lengths)
 
 
+#: The last groups of codes that were read: colour cache bits, the stream's bits, their number, the codes.
+RECENT: deque[tuple[int, int, int, list[Code]]] = deque(maxlen=4)
+
+
+def _read_group(bits: Bits, cache_bits: int) -> list[Code]:
+    """The five prefix codes of a group. A stream whose next bits equal those of a recent group has the same codes."""
+    begin = bits.at
+    for own, value, n, codes in RECENT:
+        if own == cache_bits and begin + n <= 8 * len(bits.data):
+            if bits.read(n) == value:
+                return codes
+            bits.at = begin
+    codes = [_read_code(bits, n) for n in (280 + (cache_bits and 1 << cache_bits), 256, 256, 256, 40)]
+    n, bits.at = bits.at - begin, begin
+    RECENT.append((cache_bits, bits.read(n), n, codes))
+    return codes
+
+
 def _value(code: int, bits: Bits) -> int:
     if code < 4:
         return code + 1
@@ -178,7 +198,7 @@ def _read_pixels(bits: Bits, width: int, height: int, main: bool) -> np.ndarray:
     if main and bits.read(1):
         block = bits.read(3) + 2
         which = (_read_pixels(bits, _blocks(width, block), _blocks(height, block), False) >> np.uint32(8)) & np.uint32(0xFFFF)
-    groups = [[_read_code(bits, n) for n in (280 + (cache_bits and 1 << cache_bits), 256, 256, 256, 40)] for _ in range(int(which.max()) + 1 if which is not None else 1)]
+    groups = [_read_group(bits, cache_bits) for _ in range(int(which.max()) + 1 if which is not None else 1)]
     total = width * height
     if which is None and all(c.flat or c.only is not None and c.only < 256 for c in groups[0][:4]):
         return _read_flat(bits, groups[0], total)
@@ -483,6 +503,16 @@ def _tokens(p: list[int], width: int, cache_bits: int, references: bool) -> list
     return out
 
 
+@cache
+def _flat_codes() -> tuple[int, int]:
+    """The bits, and their number, of a group whose codes have 8 bits for each of 256 values."""
+    w = Writer()
+    for n in (280, 256, 256, 256):
+        _put_code(w, [8] * 256 + [0] * (n - 256))
+    _put_code(w, [0] * 40)
+    return w.value, w.n
+
+
 def _put_pixels(w: Writer, p: np.ndarray, main: bool, cache_bits: int = 0, references: bool = False, flat: bool = False, group_bits: int = 0) -> None:
     h, width = p.shape
     w.put(bool(cache_bits), 1)
@@ -491,9 +521,7 @@ def _put_pixels(w: Writer, p: np.ndarray, main: bool, cache_bits: int = 0, refer
     if flat:
         if main:
             w.put(0, 1)
-        for n in (280, 256, 256, 256):
-            _put_code(w, [8] * 256 + [0] * (n - 256))
-        _put_code(w, [0] * 40)
+        w.put(*_flat_codes())
         w.put_bytes(REVERSED[_split(p).reshape(-1, 4)[:, (1, 2, 0, 3)].reshape(-1)])
         return
     groups = 1
