@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from granary.llm import licences, mixing, pieces, quality, warc, webp
+from granary.llm import licences, mixing, pieces, quality, suffix, warc, webp
 
 QUERIES = {
+    "op1_suffix_dedup": suffix.op1_suffix_dedup,
     "op2_quality_score": quality.op2_quality_score,
     "op3_licence_scan": licences.op3_licence_scan,
     "op4_pareto_mix": mixing.op4_pareto_mix,
