@@ -24,6 +24,7 @@ from granary.llm.common import slices, table
 
 TOKEN = re.compile(r"\w+|[^\w\s]+")
 SLOTS, DIMS, NONZERO, REACH = 1 << 14, 32, 4, 2
+EXTRA = 3  # inputs besides mean and spread
 BLOCK = 256  # slots in a row of partial sums
 LARGEST_SLOT_CACHE = 200_000
 
@@ -91,14 +92,14 @@ def word_vectors(context: np.ndarray) -> np.ndarray:
 
 
 def pooled(slots: np.ndarray, vectors: np.ndarray) -> np.ndarray:
-    """Mean and spread of the word vectors and the number of words, as the network's input."""
+    """Mean and spread of the word vectors, the number of words, the share of distinct ones and that of words standing twice in a row, as the network's input."""
     n = len(slots)
     if not n:
-        return np.zeros(2 * vectors.shape[1] + 1, np.float32)
+        return np.zeros(2 * vectors.shape[1] + EXTRA, np.float32)
     own, counts = np.unique(slots, return_counts=True)
     x, w = vectors[own], (counts / n).astype(np.float32)
     mean = w @ x
-    return np.concatenate([mean, np.sqrt(np.maximum(w @ (x * x) - mean * mean, 0)), [np.log1p(n)]]).astype(np.float32)
+    return np.concatenate([mean, np.sqrt(np.maximum(w @ (x * x) - mean * mean, 0)), [np.log1p(n), len(own) / n, np.count_nonzero(slots[1:] == slots[:-1]) / n]]).astype(np.float32)
 
 
 @dataclass
@@ -187,7 +188,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = 20_000) -> tuple[np.nd
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).join(F.broadcast(chosen), "doc_id")
     got = rows.select("doc_id", "text", F.col("quality").cast("long")).mapInArrow(inputs, "doc_id long, x binary, quality long").collect()
     got.sort(key=lambda r: (r.doc_id, bytes(r.x)))
-    x = np.array([np.frombuffer(r.x, np.float32) for r in got]).reshape(len(got), 2 * DIMS + 1)
+    x = np.array([np.frombuffer(r.x, np.float32) for r in got]).reshape(len(got), 2 * DIMS + EXTRA)
     keep = np.array([zlib.crc32(b"temperature:%d" % r.doc_id) % 8 == 0 for r in got], bool)
     return vectors, train(x, np.array([r.quality for r in got]), keep)
 
