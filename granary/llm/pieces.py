@@ -21,13 +21,17 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from granary.llm.common import slices, table
+from granary.llm.common import mix64, slices, table
 
 MARK = "▁"
 CHUNK = re.compile(f"{MARK}*[^{MARK}]+|{MARK}+")
-LARGEST_CACHE = 150_000
-#: Words longer than this are not kept between documents.
-LONGEST_KEPT = 40
+LARGEST_CACHE = 300_000
+#: Longer words are merged one by one and not kept between documents.
+LONGEST_KEPT = 48
+WORDS_AT_ONCE = 8192
+NONE = np.int32(2**31 - 1)
+EMPTY = np.iinfo(np.int64).min
+U = np.uint64
 
 
 def default_model() -> str:
@@ -36,6 +40,15 @@ def default_model() -> str:
     return public_tokenizers.path("piece_bpe_32k.model")
 
 
+def _mixed(x: int) -> int:
+    """mix64 of one number."""
+    x ^= x >> 31
+    x = x * 0x9E3779B97F4A7C15 & 2**64 - 1
+    x ^= x >> 29
+    x = x * 0xD6E8FEB86659FD93 & 2**64 - 1
+    return x ^ x >> 32
+
+
 def _fields(data: bytes):
     """Field number and value (bytes, integers) of a protocol buffer."""
     at = 0
@@ -85,10 +98,127 @@ class Pieces:
                 self.byte[int(p[1:-1], 16)] = k
         if len(self.byte) != 256:
             raise ValueError("the model has no byte fallback")
+        self._pairs()
         self.whole = any(re.search(f"[^{MARK}]{MARK}", p) for p in self.normal)  # else no merge crosses a word
         self.values = {k: b for b, k in self.byte.items()}
         self.kept: dict[tuple[str, int], tuple[int, ...]] = {}
 
+    def _pairs(self) -> None:
+        """A hash table from two symbols (pieces, or characters that are none) to the piece they make, and ranks of the pieces by score."""
+        self.symbol = dict(self.normal)
+        for p in self.normal:
+            for c in p:
+                self.symbol.setdefault(c, len(self.pieces) + len(self.symbol) - len(self.normal))
+        left, right, made = [], [], []
+        for p, k in self.normal.items():
+            for cut in range(1, len(p)):
+                a, b = self.symbol.get(p[:cut]), self.symbol.get(p[cut:])
+                if a is not None and b is not None:
+                    left.append(a)
+                    right.append(b)
+                    made.append(k)
+        own = np.unique(-np.array(self.scores))
+        self.rank = np.searchsorted(own, -np.array(self.scores)).astype(np.int32)
+        self.bits = max(10, (4 * len(made)).bit_length())
+        self.keys, self.made = np.full(1 << self.bits, EMPTY, np.int64), np.zeros(1 << self.bits, np.int32)
+        self.probes = 0
+        todo, made, probe = (np.array(left, np.int64) << 32) | np.array(right, np.int64), np.array(made, np.int32), 0
+        while len(todo):
+            at = (self._slot(todo) + probe) & ((1 << self.bits) - 1)
+            _, first = np.unique(at, return_index=True)
+            put = first[self.keys[at[first]] == EMPTY]
+            self.keys[at[put]], self.made[at[put]] = todo[put], made[put]
+            rest = np.ones(len(todo), bool)
+            rest[put] = False
+            todo, made = todo[rest], made[rest]
+            probe += 1
+        self.probes = probe
+
+    def _slot(self, key: np.ndarray) -> np.ndarray:
+        return ((key.astype(np.uint64) * U(0x9E3779B97F4A7C15)) >> U(64 - self.bits)).astype(np.int64)
+
+    def _joined(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        """The piece that two symbols make, else -1."""
+        key = (left.astype(np.int64) << 32) | (right.astype(np.int64) & 0xFFFFFFFF)
+        at, out = self._slot(key), np.full(len(key), -1, np.int32)
+        mask = (1 << self.bits) - 1
+        todo = np.arange(len(key))
+        for _ in range(self.probes):
+            found = self.keys[at[todo]]
+            hit = found == key[todo]
+            out[todo[hit]] = self.made[at[todo[hit]]]
+            todo = todo[~hit & (found != EMPTY)]
+            if not len(todo):
+                break
+            at[todo] = (at[todo] + 1) & mask
+        return out
+
+    def _word_key(self, word: str, variant: int) -> int:
+        return xxhash.xxh64_intdigest(word.encode("utf-8", "surrogatepass"), (self.seed << 32) + variant)
+
+    def merge_many(self, words: list[tuple[str, int | None]]) -> list[tuple[int, ...]]:
+        """As merge, for many words in step: in each round the best candidate of every word comes up."""
+        out: list = [None] * len(words)
+        order = sorted(range(len(words)), key=lambda k: len(words[k][0]))
+        for begin in range(0, len(order), WORDS_AT_ONCE):
+            part = order[begin : begin + WORDS_AT_ONCE]
+            texts = [words[k][0] for k in part]
+            size = np.array([len(t) for t in texts])
+            rows, width = len(part), int(size.max())
+            flat = "".join(texts)
+            own = {c: self.symbol.get(c, -1) for c in set(flat)}
+            sym = np.full((rows, width + 1), -1, np.int32)
+            inside = np.arange(width + 1) < size[:, None]
+            sym[inside] = [own[c] for c in flat]
+            free = np.array([words[k][1] is None for k in part])
+            key = np.array([0 if v is None else self._word_key(w, v) for w, v in (words[k] for k in part)], np.uint64)
+            piece = np.full((rows, width + 1), -1, np.int32)  # of a place and the next one
+            here = inside[:, :-1] & inside[:, 1:]
+            piece[:, :-1][here] = self._joined(sym[:, :-1][here], sym[:, 1:][here])
+            rank = np.where(piece >= 0, self.rank[piece], NONE)
+            after = np.broadcast_to(np.arange(1, width + 2), (rows, width + 1)).copy()
+            before = after - 2
+            alive = np.arange(rows)
+            while len(alive):
+                a = rank[alive].argmin(axis=1)
+                more = rank[alive, a] != NONE
+                alive, a = alive[more], a[more]
+                if not len(alive):
+                    break
+                p = piece[alive, a]
+                h = key[alive] ^ ((a.astype(np.uint64) << U(32)) | p.astype(np.uint64)) * U(0x9E3779B97F4A7C15)
+                rank[alive, a] = NONE
+                go = free[alive] | ((mix64(h) >> U(32)) >= U(self.rate))
+                r, a, p = alive[go], a[go], p[go]
+                b = after[r, a]
+                c = after[r, b]
+                sym[r, a], sym[r, b], rank[r, b], after[r, a] = p, -2, NONE, c
+                right = c < size[r]
+                x, y, z = r[right], a[right], c[right]
+                before[x, z] = y
+                made = self._joined(p[right], sym[x, z])
+                piece[x, y], rank[x, y] = made, np.where(made >= 0, self.rank[made], NONE)
+                left = before[r, a]
+                has = left >= 0
+                x, y = r[has], left[has]
+                made = self._joined(sym[x, y], p[has])
+                piece[x, y], rank[x, y] = made, np.where(made >= 0, self.rank[made], NONE)
+            kept = inside & (sym != -2)
+            other = (((sym < 0) | (sym >= len(self.pieces))) & kept)  # single characters that are no pieces
+            simple = ~other.any(axis=1)
+            ids, ends = sym[kept].tolist(), np.cumsum(kept.sum(axis=1)).tolist()
+            at = 0
+            for r, (k, end, ok, text) in enumerate(zip(part, ends, simple.tolist(), texts, strict=True)):
+                if ok:
+                    out[k] = tuple(ids[at:end])
+                else:
+                    own = []
+                    for j, i, odd in zip(np.flatnonzero(kept[r]).tolist(), ids[at:end], other[r][kept[r]].tolist(), strict=True):
+                        own += self._bytes(text[j]) if odd else [i]
+                    out[k] = tuple(own)
+                at = end
+        return out
+
     def _bytes(self, text: str) -> list[int]:
         return [self.byte[b] for b in text.encode("utf-8", "surrogatepass")]
 
@@ -109,14 +239,13 @@ class Pieces:
                 agenda.append((-scores[p], k, k + 1, p))
         heapify(agenda)
         if variant is not None:
-            key = f"{self.seed}:{variant}:{word}:".encode()
-            mixed, rate = xxhash.xxh32_intdigest, self.rate
+            key, rate = self._word_key(word, variant), self.rate
         while agenda:
             _, a, b, p = heappop(agenda)
             left, right = part[a], part[b] if b < n else None
             if left is None or right is None or after[a] != b or normal.get(left + right) != p:
                 continue
-            if variant is not None and mixed(key + b"%d,%d" % (a, p)) < rate:
+            if variant is not None and _mixed(key ^ (a << 32 | p) * 0x9E3779B97F4A7C15 & 2**64 - 1) >> 32 < rate:
                 continue
             part[a] = left + right
             part[b] = None
@@ -158,8 +287,6 @@ class Pieces:
         text = text.replace(" ", MARK)
         out: list[int] = []
         kept = self.kept
-        if len(kept) > LARGEST_CACHE:
-            kept.clear()
         for w in [text] if self.whole else CHUNK.findall(text):
             ids = kept.get((w, variant))
             if ids is None:
@@ -169,6 +296,16 @@ class Pieces:
             out += ids
         return out
 
+    def encode_many(self, texts: list[str], variants: list[int | None]) -> list[list[int]]:
+        """As encode, for many texts; words that are not kept yet are merged together."""
+        if len(self.kept) > LARGEST_CACHE:
+            self.kept.clear()
+        if not self.whole:
+            new = {(w, v) for t, v in zip(texts, variants, strict=True) if MARK not in t for w in CHUNK.findall((MARK + t.replace(" ", MARK)) if t else "")}
+            new = [x for x in new.difference(self.kept) if 1 < len(x[0]) <= LONGEST_KEPT]
+            self.kept.update(zip(new, self.merge_many(new), strict=True))
+        return [self.encode(t, v) for t, v in zip(texts, variants, strict=True)]
+
     def decode(self, ids: list[int]) -> str:
         out, held = [], bytearray()
         for k in ids:
@@ -202,10 +339,10 @@ def encode_documents(docs: DataFrame, model: str | None = None, seed: int = 0, r
         pieces = Pieces(shared.value, seed, rate)
         for b in slices(batches, 1, 1 << 20):
             out = []
-            for doc, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                text = text or ""
-                variant = 0 if doc is None else xxhash.xxh32_intdigest(b"%d" % doc, seed) % variants
-                ids = np.array(pieces.encode(text, variant), np.int32)
+            docs, texts = b.column(0).to_pylist(), [t or "" for t in b.column(1).to_pylist()]
+            chosen = [0 if doc is None else xxhash.xxh32_intdigest(b"%d" % doc, seed) % variants for doc in docs]
+            for doc, text, variant, ids in zip(docs, texts, chosen, pieces.encode_many(texts, chosen), strict=True):
+                ids = np.array(ids, np.int32)
                 out.append((doc, len(text.encode("utf-8", "surrogatepass")), variant, len(ids), ids, hashlib.sha256(ids.astype("<i4").tobytes()).hexdigest(), pieces.decode(ids.tolist()) == text))
             kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.list_(pa.int32()), pa.string(), pa.bool_()]
             yield pa.record_batch([pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)], [x.split()[0] for x in RESULT.split(", ")])

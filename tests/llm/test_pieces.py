@@ -25,6 +25,12 @@ def test_lossless(text, variant):
     assert P.decode(P.encode(text)) == text
 
 
+@settings(max_examples=100, deadline=None)
+@given(st.lists(st.tuples(st.text(st.sampled_from("aenthi▁ oéñ日😀"), min_size=1, max_size=60), st.sampled_from([None, 0, 1])), max_size=20))
+def test_many_words_at_once(words):
+    assert P.merge_many(words) == [P.merge(w, v) for w, v in words]
+
+
 def test_dropout_varies_and_repeats():
     text = TEXTS[3] * 20
     ids = [P.encode(text, v) for v in range(4)]
