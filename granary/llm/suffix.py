@@ -24,46 +24,64 @@ from granary.llm import anchors
 from granary.llm.anchors import NO_ID, SYMBOLS, TAG, TAG_BITS, column_bytes, gathered, spans_hash, with_key
 from granary.llm.common import as_long, mix64, slices, table
 
-LENGTH, GRAM, CROWD = 200, 32, 4096
-ROOM = 1_400_000  # bytes sorted at once; names of three symbols fit into 63 bits below two million
+LENGTH, GRAM, CROWD = 200, 64, 2048
+ROOM = 800_000  # bytes sorted at once are about so many at most; places and names must stay below 2^20
 
 
-def _names(s: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, int]:
-    """Ranks, from 1, of the triples of s (three zeros at its end) at these places, and their number."""
-    key = (s[at] << 42) | (s[at + 1] << 21) | s[at + 2]
-    own, names = np.unique(key, return_inverse=True)
-    return names.astype(np.int64) + 1, len(own)
+def _sorted(key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The order of keys below 2^42 and, in that order, where a new key begins; place and key are sorted as one number."""
+    both = np.sort((key << 21) | np.arange(len(key)))
+    own = both >> 21
+    return both & ((1 << 21) - 1), np.concatenate([[True], own[1:] != own[:-1]]) if len(key) else np.zeros(0, bool)
+
+
+def _names(key: np.ndarray) -> np.ndarray:
+    """Ranks of the keys, from 1, equal keys alike."""
+    order, new = _sorted(key)
+    out = np.empty(len(key), np.int64)
+    out[order] = np.cumsum(new)
+    return out
+
+
+def _smaller(one: np.ndarray, two: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """How many of one are smaller than each of one, how many of two than each of one, and how many of one than each of two."""
+    order, new = _sorted(np.concatenate([one, two]))
+    mine = order < len(one)
+    ahead = np.cumsum(mine) - mine
+    group = np.maximum.accumulate(np.where(new, np.arange(len(order)), 0))
+    ones, all_before = np.empty(len(order), np.int64), np.empty(len(order), np.int64)
+    ones[order] = ahead[group]
+    all_before[order] = group
+    n = len(one)
+    return ones[:n], all_before[:n] - ones[:n], ones[n:]
 
 
 def suffix_ranks(text: np.ndarray, reach: int) -> np.ndarray:
-    """For each place of text (symbols from 1, below 2^21) a number that orders the suffixes by their first ``reach`` symbols; suffixes alike so far may have different numbers, with none of another kind between them."""
+    """For each place of text (symbols from 1, fewer than 2^20) a number that orders the suffixes by their first ``reach`` symbols; suffixes alike so far may have different numbers, with none of another kind between them."""
     n = len(text)
     s = np.concatenate([text.astype(np.int64), np.zeros(3, np.int64)])
-    ones, twos = np.arange(1, n, 3), np.arange(2, n, 3)
+    threes, ones, twos = np.arange(0, n, 3), np.arange(1, n, 3), np.arange(2, n, 3)
     sample = np.concatenate([ones, twos])
-    if not len(sample):
-        return np.arange(n)
-    names, kinds = _names(s, sample)
-    if kinds < len(sample) and reach > 3:
+    small = not n or int(text.max()) < 1 << 14
+    pairs = (lambda at: (s[at] << 14) | s[at + 1]) if small else (lambda at: _names((s[at] << 21) | s[at + 1]))
+    names = _names((pairs(sample) << (14 if small else 21)) | s[sample + 2])
+    if len(sample) and names.max() < len(sample) and reach > 3:
         whole = np.concatenate([names[: len(ones)], [0], names[len(ones) :]])
         deep = suffix_ranks(whole + 1, -(-reach // 3))
         names = np.concatenate([deep[: len(ones)], deep[len(ones) + 1 :]]) + 1
     rank = np.zeros(n + 3, np.int64)
     rank[sample] = names
-    threes = np.arange(0, n, 3)
     # A suffix left over compares with a sampled one by one symbol and a rank, or by two and a rank.
-    wide = int(max(rank.max() + 1, 1)).bit_length()
-    by_one = lambda at: (s[at] << wide) | rank[at + 1]
-    one_name = np.unique(by_one(np.concatenate([threes, ones])), return_inverse=True)[1]
-    pair = np.unique((s[np.concatenate([threes, twos])] << 21) | s[np.concatenate([threes, twos]) + 1], return_inverse=True)[1]
-    two_name = (pair.astype(np.int64) << wide) | rank[np.concatenate([threes, twos]) + 2]
-    one0, one1 = one_name[: len(threes)], one_name[len(threes) :]
-    two0, two2 = two_name[: len(threes)], two_name[len(threes) :]
-    sorted1, sorted2, sorted0, sorted0two, sampled = np.sort(one1), np.sort(two2), np.sort(one0), np.sort(two0), np.sort(names)
+    own, below1, above1 = _smaller((s[threes] << 21) | rank[threes + 1], (s[ones] << 21) | rank[ones + 1])
+    third = np.concatenate([threes, twos])
+    pair = _names((s[third] << 21) | s[third + 1]) << 21
+    _, below2, above2 = _smaller(pair[: len(threes)] | rank[threes + 2], pair[len(threes) :] | rank[twos + 2])
+    counts = np.bincount(names)
+    sampled = (np.cumsum(counts) - counts)[names]
     out = np.empty(n, np.int64)
-    out[threes] = np.searchsorted(sorted0, one0) + np.searchsorted(sorted1, one0) + np.searchsorted(sorted2, two0)
-    out[ones] = np.searchsorted(sampled, names[: len(ones)]) + np.searchsorted(sorted0, one1)
-    out[twos] = np.searchsorted(sampled, names[len(ones) :]) + np.searchsorted(sorted0two, two2)
+    out[threes] = own + below1 + below2
+    out[ones] = sampled[: len(ones)] + above1
+    out[twos] = sampled[len(ones) :] + above2
     return out
 
 
