@@ -155,15 +155,15 @@ def repeated_segments(keyed: DataFrame, symbols: Callable, length: int, k: int)
     """Occurrences of segments whose anchor hash occurs again, and a row per distinct one of them.
 
     The second has c, how often it occurs, doc, place and n of its earliest occurrence, and kinds, how
-    many distinct segments its anchor has. The counts are combined before they are shuffled, and the
-    joins are plain equi-joins, whose hot keys the adaptive planner splits.
+    many distinct segments its anchor has. The counts are combined before they are shuffled, and written,
+    so that the joins read plain shuffles, whose hot keys the adaptive planner splits.
     """
     rows = segment_rows(keyed, symbols, length, k)
-    again = rows.groupBy("fp").agg(F.count(F.lit(1)).alias("c")).filter("c > 1").select("fp")
+    again = staged(rows.groupBy("fp").agg(F.count(F.lit(1)).alias("c")).filter("c > 1").select("fp"), "repeated-anchors")
     found = staged(rows.join(again, "fp"), "segments")
     distinct = found.groupBy("fp", "whole").agg(F.count(F.lit(1)).alias("c"), F.min(F.struct("doc", "place", "n")).alias("first"))
     distinct = staged(distinct.select("fp", "whole", "c", "first.doc", "first.place", "first.n"), "distinct-segments")
-    kinds = distinct.groupBy("fp").agg(F.count(F.lit(1)).alias("kinds")).filter("kinds > 1")
+    kinds = staged(distinct.groupBy("fp").agg(F.count(F.lit(1)).alias("kinds")).filter("kinds > 1"), "anchor-kinds")
     return found, distinct.join(kinds, "fp", "left").withColumn("kinds", F.coalesce("kinds", F.lit(1)))
 
 

@@ -156,6 +156,7 @@ def class_links(keyed: DataFrame, width: int, percent: int) -> DataFrame:
     """(class, component) of all classes that are linked to another one."""
     keys = key_rows(keyed, width, percent)
     again = keys.groupBy("key").agg(F.min("class").alias("lo"), F.max("class").alias("hi"), F.count(F.lit(1)).alias("c")).filter("lo <> hi").select("key", "c", F.col("lo").alias("pivot"))
+    again = staged(again, "repeated-keys")
     shared = keys.join(again, "key")
     by = Window.partitionBy("class", "band").orderBy(F.col("c").desc(), "key")
     shared = staged(shared.distinct().withColumn("query", F.row_number().over(by) > F.col("spare")), "shared-keys")
