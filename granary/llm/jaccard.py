@@ -86,8 +86,8 @@ def shingle_sets(column, width: int) -> list[np.ndarray]:
 
 def class_of(s: np.ndarray) -> int:
     """A number that equal sets share; sums don't depend on order."""
-    one, two = mix64(s ^ U(0x2545F4914F6CDD1D)).sum(dtype=np.uint64), mix64(s + U(0x632BE59BD9B4E019)).sum(dtype=np.uint64)
-    return int(as_long(mix64(np.array([one * U(0x9E3779B97F4A7C15) + two + U(len(s))], np.uint64)))[0])
+    one, two = (mix64(x).sum(keepdims=True, dtype=np.uint64) for x in (s ^ U(0x2545F4914F6CDD1D), s + U(0x632BE59BD9B4E019)))
+    return int(as_long(mix64(one * U(0x9E3779B97F4A7C15) + two + U(len(s))))[0])
 
 
 def _keyed(docs: DataFrame) -> DataFrame:

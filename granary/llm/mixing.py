@@ -27,7 +27,8 @@ def targets(sizes: DataFrame, weights: tuple[int, ...], budget: float, ceiling:
     """(source, size) rows -> (source, source_size, target), a row for each source.
 
     Targets are min(ceiling * S, level * weight) with one level for all sources. Sorted by
-    ceiling * S / weight the full sources come first, so that the level follows from running sums.
+    ceiling * S / weight the full sources come first, so that the level follows from running sums: it
+    rises over the full sources and falls after the first that is not full.
     """
     per = sizes.groupBy("source").agg(F.sum("size").alias("source_size"))
     order = Window.orderBy(F.col("source").asc_nulls_last())
@@ -39,7 +40,7 @@ def targets(sizes: DataFrame, weights: tuple[int, ...], budget: float, ceiling:
     total = F.sum("source_size").over(Window.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing).partitionBy())
     level = (F.lit(float(budget)) * total - F.lit(float(ceiling)) * F.coalesce(F.sum("source_size").over(before), F.lit(0))) / F.sum("weight").over(after)
     per = per.withColumn("level", level).withColumn("full", F.lit(float(ceiling)) * F.col("source_size") <= F.col("level") * F.col("weight"))
-    last = F.min(F.when(~F.col("full"), F.col("level"))).over(Window.partitionBy())
+    last = F.max(F.when(~F.col("full"), F.col("level"))).over(Window.partitionBy())
     per = per.withColumn("target", F.when(F.col("full"), F.lit(float(ceiling)) * F.col("source_size")).otherwise(F.col("weight") * last))
     return per.select("source", "source_size", "target")
 
@@ -97,7 +98,7 @@ WITH d AS (
      / (sum(weight) OVER (ORDER BY source_size::DOUBLE / weight, source NULLS LAST ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING))::DOUBLE AS level FROM w
 ), f AS (SELECT *, 2.0::DOUBLE * source_size <= level * weight AS is_full FROM l
 ), t AS (
-  SELECT source, source_size, CASE WHEN is_full THEN 2.0::DOUBLE * source_size ELSE weight * (min(CASE WHEN NOT is_full THEN level END) OVER ()) END AS target FROM f
+  SELECT source, source_size, CASE WHEN is_full THEN 2.0::DOUBLE * source_size ELSE weight * (max(CASE WHEN NOT is_full THEN level END) OVER ()) END AS target FROM f
 ), r AS (
   SELECT d.doc_id, d.source, size, source_size, target,
     ('0x' || substr(md5(coalesce(d.doc_id::VARCHAR, '') || ':mix'), 1, 13))::BIGINT AS draw

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from granary.llm import jaccard, licences, mixing, phrases, pieces, quality, suffix, warc, webp
+from granary.llm import embeddings, jaccard, licences, mixing, phrases, pieces, quality, suffix, warc, webp
 
 QUERIES = {
     "op1_suffix_dedup": suffix.op1_suffix_dedup,
@@ -14,6 +14,7 @@ QUERIES = {
     "op7_substring_dedup": phrases.op7_substring_dedup,
     "op8_webp_media": webp.op8_webp_media,
     "op9_sentencepiece_dropout": pieces.op9_sentencepiece_dropout,
+    "op10_embedding_neardup": embeddings.op10_embedding_neardup,
 }
 SQL = {
     "op4_pareto_mix": mixing.SQL,
