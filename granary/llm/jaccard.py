@@ -10,7 +10,9 @@ one. Equal sets are one class from the start, and candidates are verified on the
 
 Links are needed as components only, so that a key shared by many sets doesn't give all pairs of
 them: first, sets are checked against the smallest class of their keys, the one they share most keys
-with; then against the rest of these; at last all pairs that are in different components still.
+with; then against the rest of these and a few others of each key; at last all pairs that are in
+different components still. Before a pair is formed, sketches of parities show whether the sets can be
+similar at all.
 """
 
 from __future__ import annotations
@@ -90,19 +92,30 @@ def class_of(s: np.ndarray) -> int:
     return int(as_long(mix64(one * U(0x9E3779B97F4A7C15) + two + U(len(s))))[0])
 
 
+LANES = 8
+DRAWN = 4
+
+
+def sketch_of(s: np.ndarray) -> np.ndarray:
+    """64 * LANES parities of the set's hashes. Sketches of two sets differ in at most as many bits as the sets differ in shingles."""
+    at = (mix64(s + U(0x8CB92BA72F3D8DD7)) >> U(32)).astype(np.int64) % (64 * LANES)
+    return np.packbits((np.bincount(at, minlength=64 * LANES) & 1).astype(np.uint8)).view(np.int64)
+
+
 def _keyed(docs: DataFrame) -> DataFrame:
     return docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("doc"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
 
 
 def class_rows(keyed: DataFrame, width: int) -> DataFrame:
-    """doc, n, class of every row."""
+    """doc, n, class and sketch of every row."""
 
     def rows(batches):
         for b in slices(batches, 1, 1 << 20):
             sets = shingle_sets(b.column(1), width)
-            yield pa.record_batch([b.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array([class_of(s) for s in sets], pa.int64())], ["doc", "n", "class"])
+            lanes = np.array([sketch_of(s) for s in sets]).reshape(-1, LANES).T
+            yield pa.record_batch([b.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array([class_of(s) for s in sets], pa.int64()), *[pa.array(np.ascontiguousarray(x)) for x in lanes]], ["doc", "n", "class", *(f"s{k}" for k in range(LANES))])
 
-    return keyed.mapInArrow(rows, "doc long, n long, class long")
+    return keyed.mapInArrow(rows, "doc long, n long, class long" + "".join(f", s{k} long" for k in range(LANES)))
 
 
 KEYS = "key long, class long, n int, spare int, band int"
@@ -135,10 +148,18 @@ def key_rows(keyed: DataFrame, width: int, percent: int) -> DataFrame:
     return keyed.mapInArrow(rows, KEYS)
 
 
-def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) of classes whose sets (class, shingles) reach the similarity."""
-    one = sets.select(F.col("class").alias("a"), F.col("shingles").alias("x"))
-    two = sets.select(F.col("class").alias("b"), F.col("shingles").alias("y"))
+def verified(keyed: DataFrame, classes: DataFrame, pairs: DataFrame, width: int, percent: int) -> DataFrame:
+    """The pairs (a, b) of classes whose whole sets, made again from a text of each class, reach the similarity."""
+    wanted = pairs.select(F.explode(F.array("a", "b")).alias("class")).distinct()
+    docs = classes.select("class", "doc").join(wanted, "class", "left_semi").select("doc").distinct()
+
+    def sets(batches):
+        for b in slices(batches, 0, 1 << 20):
+            own = [s for s in shingle_sets(b.column(0), width) if len(s)]
+            yield pa.record_batch([pa.array([class_of(s) for s in own], pa.int64()), pa.array([s.tobytes() for s in own], pa.binary())], ["class", "shingles"])
+
+    made = keyed.join(docs, "doc", "left_semi").select("text").mapInArrow(sets, "class long, shingles binary")
+    made = staged(made.join(wanted, "class", "left_semi").dropDuplicates(["class"]), "shingle-sets")
 
     def rows(batches):
         for b in slices(batches, 2, 1 << 22):
@@ -149,61 +170,71 @@ def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
                 good.append(100 * both >= percent * (len(x) + len(y) - both))
             yield b.select([0, 1]).filter(pa.array(good))
 
+    one, two = made.select(F.col("class").alias("a"), F.col("shingles").alias("x")), made.select(F.col("class").alias("b"), F.col("shingles").alias("y"))
     return pairs.join(one, "a").join(two, "b").select("a", "b", "x", "y").mapInArrow(rows, "a long, b long")
 
 
-def class_links(keyed: DataFrame, width: int, percent: int) -> DataFrame:
-    """(class, component) of all classes that are linked to another one."""
+def near(percent: int):
+    """Whether columns n, s0, ... and m, t0, ... allow the similarity: by size, and by the bits in which the sketches differ."""
+    apart = sum((F.bit_count(F.col(f"s{k}").bitwiseXOR(F.col(f"t{k}"))) for k in range(LANES)), F.lit(0))
+    sizes = (F.col("n") * 100 >= F.col("m") * percent) & (F.col("m") * 100 >= F.col("n") * percent)
+    return sizes & (apart * (100 + percent) <= (F.col("n") + F.col("m")) * (100 - percent))
+
+
+def class_links(keyed: DataFrame, classes: DataFrame, width: int, percent: int) -> DataFrame:
+    """(class, component) of all classes that are linked to another one. classes: class, doc, n and sketch, a row per class."""
     keys = key_rows(keyed, width, percent)
     again = keys.groupBy("key").agg(F.min("class").alias("lo"), F.max("class").alias("hi"), F.count(F.lit(1)).alias("c")).filter("lo <> hi").select("key", "c", F.col("lo").alias("pivot"))
     again = staged(again, "repeated-keys")
-    shared = keys.join(again, "key")
+    shared = keys.join(again, "key").select("key", "class", "spare", "band", "c", "pivot").distinct()
     by = Window.partitionBy("class", "band").orderBy(F.col("c").desc(), "key")
-    shared = staged(shared.distinct().withColumn("query", F.row_number().over(by) > F.col("spare")), "shared-keys")
-
-    wanted = shared.select("class").distinct()
+    shared = staged(shared.withColumn("query", F.row_number().over(by) > F.col("spare")).select("key", "class", "pivot", "query"), "shared-keys")
 
-    def rows(batches):
-        for b in slices(batches, 0, 1 << 20):
-            sets = [s for s in shingle_sets(b.column(0), width) if len(s)]
-            yield pa.record_batch([pa.array([class_of(s) for s in sets], pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary())], ["class", "shingles"])
+    sketches = [f"s{k}" for k in range(LANES)]
+    one = classes.select("class", "n", *sketches)
+    two = classes.select(F.col("class").alias("other"), F.col("n").alias("m"), *(F.col(f"s{k}").alias(f"t{k}") for k in range(LANES)))
+    pair = lambda df, a, b: df.select(F.least(a, b).alias("a"), F.greatest(a, b).alias("b"))
 
-    # Texts of one document of each wanted class, and their sets.
-    first = class_rows(keyed, width).groupBy("class").agg(F.min("doc").alias("doc")).join(wanted, "class", "left_semi").select("doc").distinct()
-    sets = keyed.join(first, "doc", "left_semi").select("text").mapInArrow(rows, "class long, shingles binary").join(wanted, "class", "left_semi").dropDuplicates(["class"])
-    sets = staged(sets, "shingle-sets")
+    # First against the smallest class of a key, the one that most keys are shared with; then against the rest of these.
+    star = shared.filter("class <> pivot").groupBy("class", F.col("pivot").alias("other")).agg(F.count(F.lit(1)).alias("c"))
+    star = star.join(two, "other").join(one, "class").filter(near(percent)).select("class", "other", "c")
+    star = staged(star.withColumn("best", F.row_number().over(Window.partitionBy("class").orderBy(F.col("c").desc(), "other")) == 1), "stars")
 
-    sized = shared.groupBy("class").agg(F.first("n").alias("n"))
-    close = lambda a, b: (F.col(a) * 100 >= F.col(b) * percent) & (F.col(b) * 100 >= F.col(a) * percent)
-
-    # Round one and two: against the smallest class of a key.
-    star = shared.filter("class <> pivot").groupBy("class", "pivot", "n").agg(F.count(F.lit(1)).alias("c"))
-    star = star.join(sized.select(F.col("class").alias("pivot"), F.col("n").alias("m")), "pivot").filter(close("n", "m"))
-    star = staged(star.withColumn("best", F.row_number().over(Window.partitionBy("class").orderBy(F.col("c").desc(), "pivot")) == 1), "stars")
-    pair = lambda df, a, b: df.select(F.least(a, b).alias("a"), F.greatest(a, b).alias("b"))
-    links = staged(verified(pair(star.filter("best"), "class", "pivot").distinct(), sets, percent), "links")
-    found = staged(components(links), "components")
+    def check(pairs: DataFrame) -> DataFrame:
+        return staged(verified(keyed, classes, pairs, width, percent), "links")
 
     def label(df: DataFrame, name: str, to: str) -> DataFrame:
         own = found.select(F.col("id").alias(name), F.col("component").alias("__c"))
         return df.join(own, name, "left").withColumn(to, F.coalesce("__c", name)).drop("__c")
 
-    apart = label(label(star.filter("not best"), "class", "p"), "pivot", "q").filter("p <> q")
-    more = staged(verified(pair(apart, "class", "pivot").distinct(), sets, percent), "links")
-    if not more.isEmpty():
-        links = links.unionByName(more)
+    links = check(pair(star.filter("best"), "class", "other").distinct())
+    found = staged(components(links), "components")
+    apart = staged(pair(label(label(star.filter("not best"), "class", "p"), "other", "q").filter("p <> q"), "class", "other").distinct(), "pairs")
+    if not apart.isEmpty():
+        links = links.unionByName(check(apart))
+        found = staged(components(links), "components")
+
+    # Keys whose classes are in several components still: against some more classes of the key, drawn by hash.
+    tested = pair(star, "class", "other")
+    labelled = staged(label(shared.select("key", "class", "query"), "class", "p"), "labelled")
+    draw = F.array(*[F.min(F.struct(F.xxhash64("class", F.lit(k)).alias("h"), F.col("class").alias("other"), F.col("p").alias("q"))) for k in range(DRAWN)])
+    some = staged(labelled.groupBy("key").agg(F.min("p").alias("lo"), F.max("p").alias("hi"), draw.alias("drawn")).filter("lo <> hi").select("key", "drawn"), "drawn")
+    met = labelled.join(some, "key").select("class", "p", F.explode("drawn").alias("d")).filter("p <> d.q").select("class", "d.other").distinct()
+    met = met.join(two, "other").join(one, "class").filter(near(percent))
+    met = staged(pair(met, "class", "other").distinct().join(tested, ["a", "b"], "left_anti"), "pairs")
+    if not met.isEmpty():
+        links, tested = links.unionByName(check(met)), tested.unionByName(met)
         found = staged(components(links), "components")
 
-    # The rest: keys whose classes are in several components; a query against all others of its key.
-    left = label(shared.select("key", "class", "n", "query"), "class", "p")
-    several = left.groupBy("key").agg(F.min("p").alias("lo"), F.max("p").alias("hi"), F.max("query").alias("any")).filter("lo <> hi AND any").select("key")
-    left = staged(left.join(several, "key", "left_semi"), "apart")
-    q = left.filter("query").select("key", F.col("class").alias("a1"), F.col("p").alias("p1"), F.col("n").alias("n1"))
-    rest = q.join(left.select("key", F.col("class").alias("a2"), F.col("p").alias("p2"), F.col("n").alias("n2")), "key").filter("p1 <> p2").filter(close("n1", "n2"))
-    rest = pair(rest, "a1", "a2").distinct().join(pair(star, "class", "pivot"), ["a", "b"], "left_anti")
-    more = staged(verified(rest, sets, percent), "links")
-    if not more.isEmpty():
-        found = staged(components(links.unionByName(more)), "components")
+    # The rest: a query against all others of such a key.
+    labelled = staged(label(labelled.select("key", "class", "query"), "class", "p"), "labelled")
+    several = staged(labelled.groupBy("key").agg(F.min("p").alias("lo"), F.max("p").alias("hi"), F.max("query").alias("any")).filter("lo <> hi AND any").select("key"), "several")
+    left = labelled.join(several, "key", "left_semi")
+    q = left.filter("query").select("key", "class", F.col("p").alias("p1")).join(one, "class")
+    rest = q.join(left.select("key", F.col("class").alias("other"), F.col("p").alias("p2")).join(two, "other"), (q["key"] == left["key"]) & F.expr("p1 <> p2") & near(percent))
+    rest = staged(pair(rest, "class", "other").distinct().join(tested, ["a", "b"], "left_anti"), "pairs")
+    if not rest.isEmpty():
+        found = staged(components(links.unionByName(check(rest))), "components")
     return found.select(F.col("id").alias("class"), "component")
 
 
@@ -216,9 +247,10 @@ def join_documents(docs: DataFrame, width: int = 4, percent: int = 85) -> DataFr
     """
     keyed = _keyed(docs)
     info = staged(class_rows(keyed, width), "classes")
-    found = class_links(keyed, width, percent)
-    first = info.filter("n > 0").groupBy("class").agg(F.min("doc").alias("doc"))
-    named = first.join(found, "class", "left").withColumn("component", F.coalesce("component", "class"))
+    lanes = [F.first(f"s{k}").alias(f"s{k}") for k in range(LANES)]
+    classes = staged(info.filter("n > 0").groupBy("class").agg(F.min("doc").alias("doc"), F.first("n").alias("n"), *lanes), "distinct-classes")
+    found = class_links(keyed, classes, width, percent)
+    named = classes.select("class", "doc").join(found, "class", "left").withColumn("component", F.coalesce("component", "class"))
     low = named.groupBy("component").agg(F.min("doc").alias("low"))
     named = named.join(low, "component").select("class", "low")
     out = info.join(named, "class", "left")
