@@ -25,7 +25,7 @@ from granary.llm.common import mix64, slices, table
 
 MARK = "▁"
 CHUNK = re.compile(f"{MARK}*[^{MARK}]+|{MARK}+")
-LARGEST_CACHE = 300_000
+LARGEST_CACHE = 500_000
 #: Longer words are merged one by one and not kept between documents.
 LONGEST_KEPT = 48
 WORDS_AT_ONCE = 8192
@@ -101,7 +101,8 @@ class Pieces:
         self._pairs()
         self.whole = any(re.search(f"[^{MARK}]{MARK}", p) for p in self.normal)  # else no merge crosses a word
         self.values = {k: b for b, k in self.byte.items()}
-        self.kept: dict[tuple[str, int], tuple[int, ...]] = {}
+        self.shown: list[bytes] | None = None
+        self.kept: dict[int | None, dict[str, tuple[int, ...]]] = {}
 
     def _pairs(self) -> None:
         """A hash table from two symbols (pieces, or characters that are none) to the piece they make, and ranks of the pieces by score."""
@@ -140,17 +141,19 @@ class Pieces:
     def _joined(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
         """The piece that two symbols make, else -1."""
         key = (left.astype(np.int64) << 32) | (right.astype(np.int64) & 0xFFFFFFFF)
-        at, out = self._slot(key), np.full(len(key), -1, np.int32)
+        at = self._slot(key)
+        found = self.keys.take(at)
+        out = np.where(found == key, self.made.take(at), np.int32(-1))
+        todo = np.flatnonzero((found != key) & (found != EMPTY))
         mask = (1 << self.bits) - 1
-        todo = np.arange(len(key))
         for _ in range(self.probes):
+            if not len(todo):
+                break
+            at[todo] = (at[todo] + 1) & mask
             found = self.keys[at[todo]]
             hit = found == key[todo]
             out[todo[hit]] = self.made[at[todo[hit]]]
             todo = todo[~hit & (found != EMPTY)]
-            if not len(todo):
-                break
-            at[todo] = (at[todo] + 1) & mask
         return out
 
     def _word_key(self, word: str, variant: int) -> int:
@@ -164,47 +167,39 @@ class Pieces:
             part = order[begin : begin + WORDS_AT_ONCE]
             texts = [words[k][0] for k in part]
             size = np.array([len(t) for t in texts])
-            rows, width = len(part), int(size.max())
+            # A row per word, with a place before and one behind; all places in one dimension.
+            rows, width = len(part), int(size.max()) + 2
+            inside = (np.arange(width) >= 1) & (np.arange(width) <= size[:, None])
             flat = "".join(texts)
             own = {c: self.symbol.get(c, -1) for c in set(flat)}
-            sym = np.full((rows, width + 1), -1, np.int32)
-            inside = np.arange(width + 1) < size[:, None]
-            sym[inside] = [own[c] for c in flat]
+            sym = np.full(rows * width, -1, np.int32)
+            sym[inside.reshape(-1)] = [own[c] for c in flat]
             free = np.array([words[k][1] is None for k in part])
             key = np.array([0 if v is None else self._word_key(w, v) for w, v in (words[k] for k in part)], np.uint64)
-            piece = np.full((rows, width + 1), -1, np.int32)  # of a place and the next one
-            here = inside[:, :-1] & inside[:, 1:]
-            piece[:, :-1][here] = self._joined(sym[:, :-1][here], sym[:, 1:][here])
+            piece = np.full(rows * width, -1, np.int32)  # of a place and the next one
+            piece[:-1] = self._joined(sym[:-1], sym[1:])
             rank = np.where(piece >= 0, self.rank[piece], NONE)
-            after = np.broadcast_to(np.arange(1, width + 2), (rows, width + 1)).copy()
-            before = after - 2
-            alive = np.arange(rows)
+            after, before = np.arange(1, rows * width + 1), np.arange(-1, rows * width - 1)
+            alive, best = np.arange(rows), rank.reshape(rows, width)
             while len(alive):
-                a = rank[alive].argmin(axis=1)
-                more = rank[alive, a] != NONE
-                alive, a = alive[more], a[more]
-                if not len(alive):
-                    break
-                p = piece[alive, a]
-                h = key[alive] ^ ((a.astype(np.uint64) << U(32)) | p.astype(np.uint64)) * U(0x9E3779B97F4A7C15)
-                rank[alive, a] = NONE
+                a = best[alive].argmin(axis=1)
+                i = alive * width + a
+                more = rank[i] != NONE
+                alive, a, i = alive[more], a[more], i[more]
+                p = piece[i]
+                h = key[alive] ^ (((a.astype(np.uint64) - U(1)) << U(32)) | p.astype(np.uint64)) * U(0x9E3779B97F4A7C15)
+                rank[i] = NONE
                 go = free[alive] | ((mix64(h) >> U(32)) >= U(self.rate))
-                r, a, p = alive[go], a[go], p[go]
-                b = after[r, a]
-                c = after[r, b]
-                sym[r, a], sym[r, b], rank[r, b], after[r, a] = p, -2, NONE, c
-                right = c < size[r]
-                x, y, z = r[right], a[right], c[right]
-                before[x, z] = y
-                made = self._joined(p[right], sym[x, z])
-                piece[x, y], rank[x, y] = made, np.where(made >= 0, self.rank[made], NONE)
-                left = before[r, a]
-                has = left >= 0
-                x, y = r[has], left[has]
-                made = self._joined(sym[x, y], p[has])
-                piece[x, y], rank[x, y] = made, np.where(made >= 0, self.rank[made], NONE)
+                i, p = i[go], p[go]
+                b = after[i]
+                c, z = after[b], before[i]
+                sym[i], sym[b], rank[b], after[i], before[c] = p, -2, NONE, c, i
+                made = self._joined(np.concatenate([p, sym[z]]), np.concatenate([sym[c], p]))
+                at = np.concatenate([i, z])
+                piece[at], rank[at] = made, np.where(made >= 0, self.rank[made], NONE)
+            sym = sym.reshape(rows, width)
             kept = inside & (sym != -2)
-            other = (((sym < 0) | (sym >= len(self.pieces))) & kept)  # single characters that are no pieces
+            other = ((sym < 0) | (sym >= len(self.pieces))) & kept  # single characters that are no pieces
             simple = ~other.any(axis=1)
             ids, ends = sym[kept].tolist(), np.cumsum(kept.sum(axis=1)).tolist()
             at = 0
@@ -212,10 +207,10 @@ class Pieces:
                 if ok:
                     out[k] = tuple(ids[at:end])
                 else:
-                    own = []
+                    mixed = []
                     for j, i, odd in zip(np.flatnonzero(kept[r]).tolist(), ids[at:end], other[r][kept[r]].tolist(), strict=True):
-                        own += self._bytes(text[j]) if odd else [i]
-                    out[k] = tuple(own)
+                        mixed += self._bytes(text[j - 1]) if odd else [i]
+                    out[k] = tuple(mixed)
                 at = end
         return out
 
@@ -285,42 +280,38 @@ class Pieces:
 
     def _words(self, text: str, variant: int | None) -> list[int]:
         text = text.replace(" ", MARK)
+        return self._merged([text] if self.whole else CHUNK.findall(text), variant)
+
+    def _merged(self, words: list[str], variant: int | None) -> list[int]:
         out: list[int] = []
-        kept = self.kept
-        for w in [text] if self.whole else CHUNK.findall(text):
-            ids = kept.get((w, variant))
+        kept = self.kept.setdefault(variant, {})
+        for w in words:
+            ids = kept.get(w)
             if ids is None:
                 ids = self.merge(w, variant)
                 if len(w) <= LONGEST_KEPT:
-                    kept[w, variant] = ids
+                    kept[w] = ids
             out += ids
         return out
 
     def encode_many(self, texts: list[str], variants: list[int | None]) -> list[list[int]]:
         """As encode, for many texts; words that are not kept yet are merged together."""
-        if len(self.kept) > LARGEST_CACHE:
+        if sum(map(len, self.kept.values())) > LARGEST_CACHE:
             self.kept.clear()
-        if not self.whole:
-            new = {(w, v) for t, v in zip(texts, variants, strict=True) if MARK not in t for w in CHUNK.findall((MARK + t.replace(" ", MARK)) if t else "")}
-            new = [x for x in new.difference(self.kept) if 1 < len(x[0]) <= LONGEST_KEPT]
-            self.kept.update(zip(new, self.merge_many(new), strict=True))
-        return [self.encode(t, v) for t, v in zip(texts, variants, strict=True)]
+        chunks: list[list[str] | None] = [None if self.whole or not t or MARK in t else CHUNK.findall(MARK + t.replace(" ", MARK)) for t in texts]
+        new: list[tuple[str, int | None]] = []
+        for v in set(variants):
+            own = set().union(*(ws for ws, u in zip(chunks, variants, strict=True) if u == v and ws is not None))
+            new += [(w, v) for w in own.difference(self.kept.setdefault(v, {})) if 1 < len(w) <= LONGEST_KEPT]
+        for (w, v), ids in zip(new, self.merge_many(new), strict=True):
+            self.kept[v][w] = ids
+        return [self.encode(t, v) if ws is None else self._merged(ws, v) for t, v, ws in zip(texts, variants, chunks, strict=True)]
 
     def decode(self, ids: list[int]) -> str:
-        out, held = [], bytearray()
-        for k in ids:
-            b = self.values.get(k)
-            if b is None:
-                if held:
-                    out.append(held.decode("utf-8", "surrogatepass"))
-                    held = bytearray()
-                out.append(self.pieces[k].replace(MARK, " "))
-            else:
-                held.append(b)
-        if held:
-            out.append(held.decode("utf-8", "surrogatepass"))
-        text = "".join(out)
-        return text[1:] if text else ""
+        if self.shown is None:
+            self.shown = [bytes([self.values[k]]) if k in self.values else p.replace(MARK, " ").encode() for k, p in enumerate(self.pieces)]
+        shown = self.shown
+        return b"".join([shown[k] for k in ids])[1:].decode("utf-8", "surrogatepass")
 
 
 RESULT = "doc_id long, n_bytes long, variant int, n_tokens long, ids array<int>, ids_sha256 string, lossless boolean"
@@ -342,8 +333,8 @@ def encode_documents(docs: DataFrame, model: str | None = None, seed: int = 0, r
             docs, texts = b.column(0).to_pylist(), [t or "" for t in b.column(1).to_pylist()]
             chosen = [0 if doc is None else xxhash.xxh32_intdigest(b"%d" % doc, seed) % variants for doc in docs]
             for doc, text, variant, ids in zip(docs, texts, chosen, pieces.encode_many(texts, chosen), strict=True):
-                ids = np.array(ids, np.int32)
-                out.append((doc, len(text.encode("utf-8", "surrogatepass")), variant, len(ids), ids, hashlib.sha256(ids.astype("<i4").tobytes()).hexdigest(), pieces.decode(ids.tolist()) == text))
+                array = np.array(ids, "<i4")
+                out.append((doc, len(text.encode("utf-8", "surrogatepass")), variant, len(ids), array, hashlib.sha256(array.tobytes()).hexdigest(), pieces.decode(ids) == text))
             kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.list_(pa.int32()), pa.string(), pa.bool_()]
             yield pa.record_batch([pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)], [x.split()[0] for x in RESULT.split(", ")])
 
