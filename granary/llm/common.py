@@ -56,7 +56,7 @@ def as_long(x: np.ndarray) -> np.ndarray:
     return x.astype(np.uint64, copy=False).view(np.int64)
 
 
-def slices(batches, column: int, most: int = 1 << 22):
+def slices(batches, column: int, most: int = 1 << 20):
     """The record batches in pieces whose texts or binaries in this column sum up to few MB (a single value may be larger)."""
     import pyarrow.compute as pc
 

@@ -110,7 +110,7 @@ def class_rows(keyed: DataFrame, width: int) -> DataFrame:
     """doc, n, class and sketch of every row."""
 
     def rows(batches):
-        for b in slices(batches, 1, 1 << 20):
+        for b in slices(batches, 1, 1 << 18):
             sets = shingle_sets(b.column(1), width)
             lanes = np.array([sketch_of(s) for s in sets]).reshape(-1, LANES).T
             yield pa.record_batch([b.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array([class_of(s) for s in sets], pa.int64()), *[pa.array(np.ascontiguousarray(x)) for x in lanes]], ["doc", "n", "class", *(f"s{k}" for k in range(LANES))])
@@ -126,7 +126,7 @@ def key_rows(keyed: DataFrame, width: int, percent: int) -> DataFrame:
 
     def rows(batches):
         seen, made = set(), {}
-        for b in slices(batches, 1, 1 << 19):
+        for b in slices(batches, 1, 1 << 18):
             out = []
             for s in shingle_sets(b.column(1), width):
                 if not len(s):
@@ -154,7 +154,7 @@ def verified(keyed: DataFrame, classes: DataFrame, pairs: DataFrame, width: int,
     docs = classes.select("class", "doc").join(wanted, "class", "left_semi").select("doc").distinct()
 
     def sets(batches):
-        for b in slices(batches, 0, 1 << 20):
+        for b in slices(batches, 0, 1 << 18):
             own = [s for s in shingle_sets(b.column(0), width) if len(s)]
             yield pa.record_batch([pa.array([class_of(s) for s in own], pa.int64()), pa.array([s.tobytes() for s in own], pa.binary())], ["class", "shingles"])
 

@@ -105,7 +105,7 @@ def later_spans(keyed: DataFrame, length: int, gram: int, crowd: int) -> DataFra
     wanted = gathered(distinct.filter("kinds > 1"), "fp", "place", "n", "kinds")
 
     def cut(batches):
-        for b in slices(batches, 1, 1 << 19):
+        for b in slices(batches, 1, 1 << 18):
             data, offsets = column_bytes(b.column(1))
             _, begin, end, starts = words_of(data, offsets)
             out = []
@@ -158,7 +158,7 @@ def with_passages_removed(docs: DataFrame, carried: list[str], length: int = LEN
     tagged = with_key(docs) if not carried else docs.select(*[docs[c].alias(n) for c, n in zip(carried, names, strict=True)], docs["doc_id"], docs["text"]).withColumns({"doc": F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)), "text": F.coalesce(F.col("text").cast("string"), F.lit(""))}).withColumn("tag", F.xxhash64("text").bitwiseAND(F.lit(anchors.TAG)))
 
     def strip(batches):
-        for b in slices(batches, 1, 1 << 20):
+        for b in slices(batches, 1, 1 << 18):
             data, offsets = column_bytes(b.column(1))
             _, _, _, starts = words_of(data, offsets)
             out = []

@@ -25,7 +25,7 @@ from granary.llm.common import mix64, slices, table
 
 MARK = "▁"
 CHUNK = re.compile(f"{MARK}*[^{MARK}]+|{MARK}+")
-LARGEST_CACHE = 500_000
+LARGEST_CACHE = 200_000
 #: Longer words are merged one by one and not kept between documents.
 LONGEST_KEPT = 48
 WORDS_AT_ONCE = 8192
@@ -328,7 +328,7 @@ def encode_documents(docs: DataFrame, model: str | None = None, seed: int = 0, r
 
     def rows(batches):
         pieces = Pieces(shared.value, seed, rate)
-        for b in slices(batches, 1, 1 << 20):
+        for b in slices(batches, 1, 1 << 18):
             out = []
             docs, texts = b.column(0).to_pylist(), [t or "" for t in b.column(1).to_pylist()]
             chosen = [0 if doc is None else xxhash.xxh32_intdigest(b"%d" % doc, seed) % variants for doc in docs]

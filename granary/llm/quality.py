@@ -26,7 +26,7 @@ TOKEN = re.compile(r"\w+|[^\w\s]+")
 SLOTS, DIMS, NONZERO, REACH = 1 << 14, 32, 4, 2
 EXTRA = 3  # inputs besides mean and spread
 BLOCK = 256  # slots in a row of partial sums
-LARGEST_SLOT_CACHE = 200_000
+LARGEST_SLOT_CACHE = 100_000
 
 
 def slot_reader(slots: int):
@@ -59,7 +59,7 @@ def context_vectors(docs: DataFrame, slots: int = SLOTS, dims: int = DIMS) -> np
     def partial(batches):
         place, sign = index_vectors(slots, dims)
         read, sums = slot_reader(slots), np.zeros(slots * dims, np.int64)
-        for b in slices(batches, 0, 1 << 20):
+        for b in slices(batches, 0, 1 << 18):
             parts = [read(x) for x in b.column(0).to_pylist()]
             t = np.concatenate(parts)
             doc = np.repeat(np.arange(len(parts)), [len(x) for x in parts])

@@ -156,7 +156,7 @@ def repeated_spans(keyed: DataFrame, length: int, gram: int, crowd: int) -> Data
     wanted = gathered(distinct.filter("kinds > 1"), "fp", "place", "n", "kinds")
 
     def cut(batches):
-        for b in slices(batches, 1, 1 << 20):
+        for b in slices(batches, 1, 1 << 18):
             out = []
             data, offsets = column_bytes(b.column(1))
             for k, (doc, parts) in enumerate(zip(b.column(0).to_pylist(), b.column(2).to_pylist(), strict=True)):
