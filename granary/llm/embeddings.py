@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from granary.llm.anchors import NO_ID
-from granary.llm.common import as_long, mix64, staged, table
+from granary.llm.common import as_long, lean, mix64, staged, table
 from granary.llm.components import components
 
 BLOCK = 1024
@@ -94,6 +94,7 @@ def near_copies(vectors: DataFrame, threshold: float = 0.98, recall: float = 0.9
     linked with nothing. Equal rows are linked with each other. A null vec_id counts as smaller than
     all others, and is given back as null and not kept.
     """
+    lean(vectors.sparkSession)
     emb = F.col("embedding").cast("array<double>")
     fit = F.col("label").isNotNull() & F.coalesce(F.forall("embedding", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists("embedding", lambda x: x != 0), F.lit(False))
     rows = vectors.select(F.coalesce(F.col("vec_id").cast("long"), F.lit(NO_ID)).alias("vec"), F.col("label").cast("string").alias("label"), emb.alias("embedding"))

@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from granary.llm.anchors import LOWER, NO_ID, column_bytes, grams, spans_hash, words_of
-from granary.llm.common import as_long, mix64, slices, staged, table
+from granary.llm.common import as_long, lean, mix64, slices, staged, table
 from granary.llm.components import components
 
 RATIO = 1.6
@@ -245,6 +245,7 @@ def join_documents(docs: DataFrame, width: int = 4, percent: int = 85) -> DataFr
     union. Null, empty and blank texts have no shingles and are their own components; repeated rows
     have equal results; a null doc_id counts as smaller than all others and is given back as null.
     """
+    lean(docs.sparkSession)
     keyed = _keyed(docs)
     info = staged(class_rows(keyed, width), "classes")
     lanes = [F.first(f"s{k}").alias(f"s{k}") for k in range(LANES)]

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from granary.llm.common import slices, table
+from granary.llm.common import lean, slices, table
 
 WORD = re.compile(rb"[0-9a-z\x80-\xff]+")  # on lower-cased UTF-8; the bytes of all characters beyond ASCII are from 80 on
 LOWER = bytes.maketrans(bytes(range(65, 91)), bytes(range(97, 123)))
@@ -132,6 +132,7 @@ def scan(docs: DataFrame) -> DataFrame:
     Null and empty texts have no words and no labels; repeated rows give repeated results. score is
     the largest share among accepted templates, 0.5 for base phrases alone, else 0.
     """
+    lean(docs.sparkSession)
     index_of = word_frequencies(docs)
 
     def rows(batches):

@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 
 from granary.llm import anchors
 from granary.llm.anchors import NO_ID, TAG_BITS, column_bytes, gathered, spans_hash, with_key, words_of
-from granary.llm.common import as_long, mix64, slices, table
+from granary.llm.common import as_long, lean, mix64, release, slices, table
 from granary.llm.suffix import SPAN, cover, runs
 
 LENGTH, GRAM, CROWD = 20, 6, 4096
@@ -94,6 +94,8 @@ def sharded(batches, length: int):
             size += len(piece)
     if held:
         yield solve()
+    held.clear()
+    release()
 
 
 def later_spans(keyed: DataFrame, length: int, gram: int, crowd: int) -> DataFrame:
@@ -152,6 +154,7 @@ def remove_passages(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, cro
 
 def with_passages_removed(docs: DataFrame, carried: list[str], length: int = LENGTH, gram: int = GRAM, crowd: int = CROWD) -> DataFrame:
     """As remove_passages, with columns of docs carried along (under the names carried_0, carried_1, ...)."""
+    lean(docs.sparkSession)
     keyed = with_key(docs)
     spans = gathered(later_spans(keyed, length, gram, crowd), "place", "n")
     names = [f"carried_{k}" for k in range(len(carried))]

@@ -21,7 +21,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from granary.llm.common import mix64, slices, table
+from granary.llm.common import lean, mix64, release, slices, table
 
 MARK = "▁"
 CHUNK = re.compile(f"{MARK}*[^{MARK}]+|{MARK}+")
@@ -323,6 +323,7 @@ def encode_documents(docs: DataFrame, model: str | None = None, seed: int = 0, r
     Null and empty texts have no ids (and are lossless); repeated rows get equal ids; a null doc_id is
     of variant 0. The model file is read by the driver and sent to the tasks.
     """
+    lean(docs.sparkSession)
     with open(model or default_model(), "rb") as f:
         shared = docs.sparkSession.sparkContext.broadcast(f.read())
 
@@ -337,6 +338,8 @@ def encode_documents(docs: DataFrame, model: str | None = None, seed: int = 0, r
                 out.append((doc, len(text.encode("utf-8", "surrogatepass")), variant, len(ids), array, hashlib.sha256(array.tobytes()).hexdigest(), pieces.decode(ids) == text))
             kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.list_(pa.int32()), pa.string(), pa.bool_()]
             yield pa.record_batch([pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)], [x.split()[0] for x in RESULT.split(", ")])
+        del pieces
+        release()
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(rows, RESULT)
 

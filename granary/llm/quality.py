@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from granary.llm.common import slices, table
+from granary.llm.common import lean, slices, table
 
 TOKEN = re.compile(r"\w+|[^\w\s]+")
 SLOTS, DIMS, NONZERO, REACH = 1 << 14, 32, 4, 2
@@ -173,6 +173,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = 20_000) -> tuple[np.nd
     Labels other than 0 and 1, or null, are not used; of repeated labels the smallest counts. No
     labels at all give a network with a score of one half.
     """
+    lean(docs.sparkSession)
     vectors = word_vectors(context_vectors(docs))
     chosen = labels.filter(F.col("quality").isin(0, 1) & F.col("doc_id").isNotNull()).filter(~held_out()).groupBy("doc_id").agg(F.min("quality").alias("quality"))
     chosen = chosen.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)

@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 
 from granary.llm import anchors
 from granary.llm.anchors import NO_ID, SYMBOLS, TAG, TAG_BITS, column_bytes, gathered, spans_hash, with_key
-from granary.llm.common import as_long, mix64, slices, table
+from granary.llm.common import as_long, lean, mix64, release, slices, table
 
 LENGTH, GRAM, CROWD = 200, 64, 2048
 ROOM = 800_000  # bytes sorted at once are about so many at most; places and names must stay below 2^20
@@ -146,6 +146,8 @@ def sorted_groups(batches, length: int):
             size += len(piece)
     if held:
         yield solve()
+    held.clear()
+    release()
 
 
 def repeated_spans(keyed: DataFrame, length: int, gram: int, crowd: int) -> DataFrame:
@@ -208,6 +210,7 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, crow
     bytes; repeated rows lose all strings that are long enough, as each stands in the other; null
     doc_ids are told apart by their texts.
     """
+    lean(docs.sparkSession)
     keyed = with_key(docs)
     spans = gathered(repeated_spans(keyed, length, gram, crowd), "place", "n")
 

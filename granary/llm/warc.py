@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from granary.llm.common import new_path, slices, table
+from granary.llm.common import lean, new_path, slices, table
 
 MAGIC = b"\x1f\x8b\x08"
 VERSION = b"WARC/1."
@@ -150,6 +150,7 @@ def write_warc(pages: DataFrame, path: str, date: str = "2024-01-01T00:00:00Z",
     bytes those with the smallest page_id are responses, the others revisits of it. Repeated rows
     write repeated records; a null page_id is never referred to and its record is a response.
     """
+    lean(pages.sparkSession)
     p = pages.select("page_id", "url", F.coalesce(F.col("html"), F.lit("")).cast("binary").alias("payload"))
     p = p.withColumn("digest", F.sha2("payload", 256))
     first = p.filter(F.length("payload") >= least).groupBy("digest").agg(F.min("page_id").alias("first"), F.count(F.lit(1)).alias("n")).filter("n > 1").select("digest", "first")
