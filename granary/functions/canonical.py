@@ -21,7 +21,7 @@ from pyspark.sql import types as T
 from granary.errors import DecodingError, ValidationError
 
 # Fixed values of the form.
-HEADER = bytes([0x54, 0x45, 0x4E, 0x53, 2])
+HEADER = b"TENS" + bytes([2])
 NULL, TRUE, FALSE, INT8, INT16, INT32, FLOAT64, STRING, ARRAY, OBJECT = range(10)
 LINE_END = re.compile(r"[^\S\n]+$", re.MULTILINE)
 DEEPEST = 50

@@ -40,7 +40,7 @@ def to_text(c: Column, kind: T.DataType) -> Column:
         return c
     if isinstance(kind, (T.DoubleType, T.FloatType)):
         return F.when(F.isnan(c), "NaN").when(c == float("inf"), "Infinity").when(c == float("-inf"), "-Infinity").otherwise(plain_double(c.cast("double")))
-    if isinstance(kind, T.TimestampType):
+    if isinstance(kind, (T.TimestampType, T.TimestampNTZType)):
         return F.date_format(c, "yyyy-MM-dd'T'HH:mm:ss.SSS'Z'")
     if isinstance(kind, T.DecimalType):
         return plain_double(c.cast("double"))
@@ -107,7 +107,7 @@ def record_value(c: Column, kind: T.DataType) -> Column:
         out = record_quoted(c)
     elif isinstance(kind, (T.DoubleType, T.FloatType)):
         out = F.when(F.isnan(c) | (F.abs(c) == float("inf")), F.concat(F.lit('"'), to_text(c, kind), F.lit('"'))).otherwise(to_text(c, kind))
-    elif isinstance(kind, (T.StructType, T.MapType, T.ArrayType, T.TimestampType)):
+    elif isinstance(kind, (T.StructType, T.MapType, T.ArrayType, T.TimestampType, T.TimestampNTZType)):
         out = record_quoted(to_text(c, kind))
     else:
         out = to_text(c, kind)

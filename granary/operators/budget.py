@@ -27,7 +27,7 @@ def rows_within(lines: DataFrame, order: list[str], tokens: Column, budget: int,
     w = Window.partitionBy(*by).orderBy(*order)
     t = lines.select(*by, *order, tokens.alias("t"))
     t = t.withColumn("used", F.sum(F.col("t") + 1).over(w) - 1)
-    return t.filter(F.col("used") <= budget).groupBy(*by).agg(F.count(F.lit(1)).alias("rows"), F.max("used").alias("tokens"))
+    return t.filter(F.col("used") <= budget).groupBy(*by).agg(F.count(F.lit(1)).alias("rows"), F.coalesce(F.max("used"), F.lit(0)).alias("tokens"))
 
 
 def rows_within_large(lines: DataFrame, order: str, tokens: Column, budget: int, bins: int = 1024) -> DataFrame:

@@ -190,11 +190,11 @@ def compact_dictionary(flat: DataFrame, order: list[str], p: CompactPlan) -> Dat
         if k in p.prefixes:
             v = F.when(F.startswith(F.col(f"`{n}`"), F.lit(p.prefixes[k])), _stripped(n, k, p)).otherwise(own)
         v = F.when((F.length(own) > 2) & (F.length(v) > 2), v)
-        counted.append(F.struct(F.lit(k).alias("k"), v.alias("value")))
+        counted.append(F.struct(F.lit(k).alias("_f"), v.alias("value")))
     if not counted:
         return flat.select(F.lit("").alias("value"), F.lit(0).alias("uses")).limit(0)
-    long = flat.select(*order, F.explode(F.array(*counted)).alias("c")).select(*order, "c.k", "c.value").filter("value is not null")
-    g = long.groupBy("value").agg(F.count(F.lit(1)).alias("uses"), F.min(F.struct(*order, "k")).alias("first"))
+    long = flat.select(*order, F.explode(F.array(*counted)).alias("c")).select(*order, "c._f", "c.value").filter("value is not null")
+    g = long.groupBy("value").agg(F.count(F.lit(1)).alias("uses"), F.min(F.struct(*order, "_f")).alias("first"))
     size = g.agg(F.least(F.count(F.lit(1)), F.lit(LARGEST_DICTIONARY)).alias("size"))
     # One row is broadcast.
     g = g.crossJoin(F.broadcast(size))
@@ -249,13 +249,13 @@ def record_dictionary(df: DataFrame, order: list[str]) -> DataFrame:
     for k, f in enumerate(df.drop(*order).schema):
         c = F.col(f"`{f.name}`")
         if isinstance(f.dataType, T.StringType):
-            parts.append(F.array(F.struct(F.lit(k).alias("k"), F.lit(0).alias("j"), c.alias("value"))))
+            parts.append(F.array(F.struct(F.lit(k).alias("_f"), F.lit(0).alias("_i"), c.alias("value"))))
         elif isinstance(f.dataType, T.ArrayType) and isinstance(f.dataType.elementType, T.StringType):
-            parts.append(F.transform(F.coalesce(c, F.array().cast("array<string>")), lambda x, i: F.struct(F.lit(k).alias("k"), i.alias("j"), x.alias("value"))))  # noqa: B023
+            parts.append(F.transform(F.coalesce(c, F.array().cast("array<string>")), lambda x, i: F.struct(F.lit(k).alias("_f"), i.alias("_i"), x.alias("value"))))  # noqa: B023
     if not parts:
         return df.select(F.lit("").alias("value"), F.lit(0).cast("long").alias("uses")).limit(0)
     long = df.select(*order, F.explode(F.concat(*parts)).alias("c")).select(*order, "c.*").filter("value is not null")
-    g = long.groupBy("value").agg(F.count(F.lit(1)).alias("uses"), F.min(F.struct(*order, "k", "j")).alias("first")).filter("uses >= 2")
+    g = long.groupBy("value").agg(F.count(F.lit(1)).alias("uses"), F.min(F.struct(*order, "_f", "_i")).alias("first")).filter("uses >= 2")
     return g.orderBy((F.col("uses") * F.length("value")).desc(), "first").limit(LARGEST_DICTIONARY).select("value", "uses")
 
 

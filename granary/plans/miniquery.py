@@ -60,7 +60,7 @@ def predicate(df: DataFrame, field: str, op: str, value: str) -> Column:
             zero = {">": number < 0, "<": number > 0, ">=": number <= 0, "<=": number >= 0}[op]
             if isinstance(kind, (T.DoubleType, T.FloatType)):
                 test = test & ~F.isnan(c)
-            return F.coalesce(test, F.lit(False)) if not zero else c.isNull() | test
+            return c.isNull() | test if zero else test
         x = to_number(F.coalesce(to_text(c, kind), F.lit("")) if c is not None else F.lit(""))
         y = to_number(F.lit(value))
         return F.coalesce({">": x > y, "<": x < y, ">=": x >= y, "<=": x <= y}[op], F.lit(False))

@@ -1 +1,291 @@
+"""Queries: rendering, expressions of cells, transcoding, tokens."""
 
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from granary.functions import canonical, record_text, token_stream
+from granary.functions import scalar as S
+from granary.functions.tokens import fingerprint, spread, token_count, tokens
+from granary.operators import dataset as D
+from granary.operators import render
+from granary.registry import query
+from granary.sources import files
+
+CSV = "CASE WHEN contains({0}, ',') OR contains({0}, '\"') OR contains({0}, chr(10)) THEN '\"' || replace({0}, '\"', '\"\"') || '\"' ELSE {0} END"
+NUM = "regexp_replace({0}::VARCHAR, '\\.0$', '')"
+
+
+@query("r02_csv_lines", f"SELECT 1 AS part, c_custkey, {CSV.format('c_name')} || ',' || c_nationkey::VARCHAR || ',' || {NUM.format('c_acctbal')} || ',' || c_mktsegment AS line FROM customer UNION ALL SELECT 0, 0, 'c_name,c_nationkey,c_acctbal,c_mktsegment'")
+def _(t):
+    return render.lines(t("customer"), "csv", ["c_custkey"])
+
+
+@query("r02_csv_document", "SELECT 'n_name,n_regionkey' || chr(10) || string_agg(n_name || ',' || n_regionkey::VARCHAR, chr(10) ORDER BY n_nationkey) AS document FROM nation")
+def _(t):
+    return render.document(render.lines(t("nation"), "csv", ["n_nationkey"]), ["n_nationkey"])
+
+
+@query("r02_csv_quotes", f"SELECT doc_id, {CSV.format('text')} || ',' || lang AS line FROM documents")
+def _(t):
+    d = t("documents").select("doc_id", "text", "lang")
+    return d.select("doc_id", render.csv_row(d, ["doc_id"]).alias("line"))
+
+
+@query("r03_markdown_lines", "SELECT doc_id, '| ' || replace(replace(replace(text, '|', '\\|'), chr(10), ' '), chr(13), '') || ' | ' || lang || ' |' AS line FROM documents")
+def _(t):
+    d = t("documents").select("doc_id", "text", "lang")
+    return d.select("doc_id", render.markdown_row(d, ["doc_id"]).alias("line"))
+
+
+@query("r04_tsv_lines", f"SELECT p_partkey, p_name || chr(9) || p_brand || chr(9) || p_type || chr(9) || p_size::VARCHAR || chr(9) || {NUM.format('p_retailprice')} AS line FROM part")
+def _(t):
+    p = t("part")
+    return p.select("p_partkey", render.tsv_row(p, ["p_partkey"]).alias("line"))
+
+
+@query("r02_null_cells", "SELECT o_orderkey, coalesce(nullif(o_orderstatus, 'O'), '') || ',' || o_orderpriority AS line FROM orders")
+def _(t):
+    o = t("orders").select("o_orderkey", F.nullif("o_orderstatus", F.lit("O")).alias("s"), "o_orderpriority")
+    return o.select("o_orderkey", render.csv_row(o, ["o_orderkey"]).alias("line"))
+
+
+@query("r01_json_rows", "SELECT o_orderkey, '{\"o_custkey\":' || o_custkey::VARCHAR || ',\"o_orderstatus\":\"' || o_orderstatus || '\",\"p\":' || coalesce('\"' || nullif(o_orderpriority, '5-LOW') || '\"', 'null') || '}' AS line FROM orders")
+def _(t):
+    o = t("orders").select("o_orderkey", "o_custkey", "o_orderstatus", F.nullif("o_orderpriority", F.lit("5-LOW")).alias("p"))
+    return o.select("o_orderkey", render.json_row(o, ["o_orderkey"]).alias("line"))
+
+
+@query("r05_compact_constants", "SELECT 'c_const' AS field, 'x' AS value")
+def _(t):
+    df = t("customer").withColumn("c_const", F.lit("x"))
+    p = render.compact_plan(df, ["c_custkey"])[1]
+    return df.sparkSession.createDataFrame(list(p.constants.items()), "field string, value string")
+
+
+@query("r05_compact_lines", None)
+def _(t):
+    return render.lines(t("orders").drop("o_orderdate"), "compact", ["o_orderkey"])
+
+
+@query("r05_compact_rows_orders", f"""
+WITH v AS (SELECT o_orderstatus AS v FROM orders WHERE length(o_orderstatus) > 2 UNION ALL SELECT o_orderpriority FROM orders WHERE length(o_orderpriority) > 2),
+ c AS (SELECT v, count(*) AS n FROM v GROUP BY v), s AS (SELECT least(count(*), 10000) AS size FROM c),
+ d AS (SELECT v, '@' || (row_number() OVER (ORDER BY n * length(v) DESC, v) - 1)::VARCHAR AS ref FROM c, s WHERE n >= 2 AND n * (length(v) - 1 - length(size::VARCHAR)) > length(v) + 1)
+SELECT o_orderkey, coalesce(a.ref, o_orderstatus) || chr(9) || coalesce(b.ref, o_orderpriority) AS line FROM orders LEFT JOIN d a ON a.v = o_orderstatus LEFT JOIN d b ON b.v = o_orderpriority""")
+def _(t):
+    flat, p = render.compact_plan(t("orders").select("o_orderkey", "o_orderstatus", "o_orderpriority"), ["o_orderkey"])
+    return flat.select("o_orderkey", render.compact_row(flat, p).alias("line"))
+
+
+@query("r06_compact_sparse", "SELECT o_orderkey, concat_ws(chr(9), '0:' || nullif(nullif(nullif(o_orderstatus, 'O'), 'F'), 'x'), '1:' || CASE WHEN o_orderkey % 10 = 0 THEN o_custkey::VARCHAR END, '2:' || CASE WHEN o_orderkey % 7 = 0 THEN 'T' WHEN o_orderkey % 7 = 1 THEN 'F' END) AS line FROM orders")
+def _(t):
+    o = t("orders").select("o_orderkey", F.when(F.col("o_orderstatus") == "P", "P").alias("s"), F.when(F.col("o_orderkey") % 10 == 0, F.col("o_custkey")).alias("c"), F.when(F.col("o_orderkey") % 7 == 0, True).when(F.col("o_orderkey") % 7 == 1, False).alias("b"))
+    p = render.CompactPlan(["s", "c", "b"], active=["s", "c", "b"], sparse=True)
+    return o.select("o_orderkey", render.compact_row(o, p).alias("line"))
+
+
+@query("r07_record_text_rows", """
+SELECT p_partkey, 'data' || chr(10) || '  p_type ' || CASE WHEN contains(p_type, ' ') OR contains(p_type, '#') THEN '"' || p_type || '"' ELSE p_type END || chr(10) || '  p_size ' || coalesce(nullif(p_size, 1)::VARCHAR, '_') || chr(10) || '  big ' || CASE WHEN p_size > 25 THEN 'true' ELSE 'false' END AS line FROM part""")
+def _(t):
+    p = t("part").select("p_partkey", "p_type", F.nullif("p_size", F.lit(1)).alias("p_size"), (F.col("p_size") > 25).alias("big"))
+    return p.select("p_partkey", render.record_row(p, ["p_partkey"], "data", []).alias("line"))
+
+
+@query("r07_record_text_lines", None)
+def _(t):
+    return render.lines(t("part"), "record_text", ["p_partkey"])
+
+
+@query("r08_record_text_decode", "SELECT n_nationkey, n_name, n_regionkey FROM nation")
+def _(t):
+    n = t("nation").withColumn("k", F.col("n_nationkey"))
+    text = render.document(render.lines(n, "record_text", ["k"]), ["k"]).first()["document"]
+    rows = [(r["n_nationkey"], r["n_name"], r["n_regionkey"]) for r in record_text.decode(text)]
+    return n.sparkSession.createDataFrame(rows, "n_nationkey int, n_name string, n_regionkey int")
+
+
+@query("r11_format_sizes", f"SELECT 'csv' AS format, sum(octet_length(encode(c_custkey::VARCHAR || ',' || c_name || ',' || c_nationkey::VARCHAR || ',' || {NUM.format('c_acctbal')} || ',' || c_mktsegment)) + 1)::BIGINT + 51 AS bytes FROM customer")
+def _(t):
+    c = t("customer").withColumn("k", F.col("c_custkey"))
+    return render.sizes(c, ["k"], ("csv",)).select("format", "bytes")
+
+
+@query("r12_all_format_sizes", None)
+def _(t):
+    return render.sizes(t("customer").withColumn("k", F.col("c_custkey")), ["k"])
+
+
+@query("r15_sorted_render", "SELECT (row_number() OVER (ORDER BY s_acctbal, s_suppkey) - 1)::INTEGER AS pos, s_name || ',' || s_nationkey::VARCHAR AS line FROM supplier")
+def _(t):
+    from pyspark.sql import Window
+
+    s = t("supplier")
+    line = render.csv_row(s.select("s_suppkey", "s_name", "s_nationkey"), ["s_suppkey"])
+    return s.select((F.row_number().over(Window.orderBy("s_acctbal", "s_suppkey")) - 1).alias("pos"), line.alias("line"))
+
+
+@query("p01_flatten_json_props", "SELECT event_id, (props->>'$.k')::BIGINT AS k FROM events")
+def _(t):
+    e = t("events").select("event_id", F.from_json("props", "k bigint").alias("props"))
+    return D.flatten(e).select("event_id", F.col("`props.k`").alias("k"))
+
+
+@query("p02_unflatten", "SELECT n_nationkey AS id, '{\"name\":\"' || n_name || '\",\"region\":{\"key\":' || n_regionkey::VARCHAR || '}}' AS doc FROM nation")
+def _(t):
+    flat = t("nation").select("n_nationkey", F.col("n_name").alias("n.name"), F.col("n_regionkey").alias("n.region.key"))
+    return D.unflatten(flat).select(F.col("n_nationkey").alias("id"), F.to_json("n").alias("doc"))
+
+
+@query("p03_compact_flatten", "SELECT l_orderkey, string_agg(l_linenumber::VARCHAR || ' ' || l_returnflag, '|' ORDER BY l_linenumber, l_partkey, l_suppkey) AS items FROM lineitem GROUP BY 1")
+def _(t):
+    g = t("lineitem").groupBy("l_orderkey").agg(F.array_sort(F.collect_list(F.struct("l_linenumber", "l_partkey", "l_suppkey", "l_returnflag"))).alias("s"))
+    g = g.select("l_orderkey", F.transform("s", lambda x: F.struct(x["l_linenumber"].alias("n"), x["l_returnflag"].alias("f"))).alias("items"))
+    return D.compact_flatten(g, ["l_orderkey"])
+
+
+@query("p04_strip_trailing_ws", "SELECT doc_id, text AS stripped FROM documents")
+def _(t):
+    padded = F.replace(F.concat("text", F.lit("  ")), F.lit("\n"), F.lit(" \t\n"))
+    return t("documents").select("doc_id", S.strip_line_ends(padded).alias("stripped"))
+
+
+@query("p04_nfkc", None)
+def _(t):
+    return t("documents").select("doc_id", canonical.nfkc(F.col("text")).alias("text"))
+
+
+@query("p05_canonical_number", "SELECT event_id, CASE WHEN event_id % 5 = 0 THEN NULL WHEN event_id % 5 = 1 THEN 0.0::DOUBLE ELSE value END AS x FROM events")
+def _(t):
+    x = F.when(F.col("event_id") % 10 == 0, float("nan")).when(F.col("event_id") % 10 == 5, float("-inf")).when(F.col("event_id") % 5 == 1, -0.0).otherwise(F.col("value"))
+    return t("events").select("event_id", S.finite(x).alias("x"))
+
+
+@query("p06_sorted_keys", "SELECT n_nationkey, '{\"a\":' || n_regionkey::VARCHAR || ',\"b\":{\"x\":1,\"y\":\"' || n_name || '\"}}' AS doc FROM nation")
+def _(t):
+    n = t("nation").select("n_nationkey", F.struct(F.struct(F.col("n_name").alias("y"), F.lit(1).alias("x")).alias("b"), F.col("n_regionkey").alias("a")).alias("doc"))
+    return n.select("n_nationkey", F.to_json(D.sorted_keys(n.schema["doc"].dataType, F.col("doc"))).alias("doc"))
+
+
+@query("p06_iso_dates", "SELECT o_orderkey, strftime(o_orderdate, '%Y-%m-%dT%H:%M:%S.%g') || 'Z' AS iso FROM orders")
+def _(t):
+    o = t("orders")
+    return o.select("o_orderkey", S.to_text(F.col("o_orderdate"), o.schema["o_orderdate"].dataType).alias("iso"))
+
+
+@query("p13_short_names", "SELECT * FROM (VALUES ('o_orderkey', 'o_orderk'), ('o_custkey', 'o_c'), ('o_orderstatus', 'o_orders'), ('o_totalprice', 'o_t'), ('o_orderdate', 'o_orderd'), ('o_orderpriority', 'o_orderp')) AS v(name, short)")
+def _(t):
+    o = t("orders")
+    return o.sparkSession.createDataFrame(list(D.short_names(o.columns).items()), "name string, short string")
+
+
+@query("p14_renamed", "SELECT o_orderkey AS o_o, o_custkey AS o_c FROM orders")
+def _(t):
+    return D.rename_short(t("orders").select("o_orderkey", "o_custkey"))
+
+
+@query("p21_row_anchor", "SELECT user_id, 'id:' || event_id::VARCHAR AS anchor FROM events WHERE event_id % 2 = 0 UNION ALL SELECT user_id, 'number:' || user_id::VARCHAR FROM events WHERE event_id % 2 = 1")
+def _(t):
+    e = t("events").select(F.when(F.col("event_id") % 2 == 0, F.col("event_id")).alias("id"), F.col("user_id").alias("number"), "user_id")
+    return e.select("user_id", D.row_anchor(e).alias("anchor"))
+
+
+@query("x01_csv_escape", f"SELECT doc_id, {CSV.format('text')} AS cell FROM documents")
+def _(t):
+    return t("documents").select("doc_id", S.csv_cell(F.col("text")).alias("cell"))
+
+
+@query("x03_compact_values", "SELECT o_orderkey, CASE WHEN o_orderkey % 3 = 0 THEN '_' ELSE '\\@' || (o_orderkey % 7)::VARCHAR END AS v, CASE WHEN o_custkey % 2 = 0 THEN 'T' ELSE 'F' END AS b, '1 ' || o_custkey::VARCHAR AS arr FROM orders")
+def _(t):
+    o = t("orders").select("o_orderkey", F.when(F.col("o_orderkey") % 3 != 0, F.concat(F.lit("@"), (F.col("o_orderkey") % 7).cast("string"))).alias("v"), (F.col("o_custkey") % 2 == 0).alias("b"), F.array(F.lit(1).cast("long"), "o_custkey").alias("arr"))
+    return o.select("o_orderkey", *[S.compact_value(F.col(c), o.schema[c].dataType).alias(c) for c in ("v", "b", "arr")])
+
+
+@query("x06_record_quoting", """
+SELECT doc_id, CASE WHEN doc_id % 4 = 0 THEN '"' || doc_id::VARCHAR || '"' WHEN doc_id % 4 = 1 THEN '"true"' WHEN doc_id % 4 = 2 THEN '"a\\nb \\"q\\""' ELSE 'plain-' || lang END AS word FROM documents""")
+def _(t):
+    k = F.col("doc_id") % 4
+    v = F.when(k == 0, F.col("doc_id").cast("string")).when(k == 1, "true").when(k == 2, 'a\nb "q"').otherwise(F.concat(F.lit("plain-"), "lang"))
+    return t("documents").select("doc_id", S.record_quoted(v).alias("word"))
+
+
+@query("x16_half_up", "SELECT l_orderkey, l_partkey, l_suppkey, l_linenumber, floor(-l_quantity / 2 + 0.5::DOUBLE)::BIGINT AS r FROM lineitem")
+def _(t):
+    return t("lineitem").select("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", S.half_up(-F.col("l_quantity") / 2).alias("r"))
+
+
+@query("x17_number_texts", "SELECT x, s FROM (VALUES (5.0::DOUBLE, '5'), (1e7::DOUBLE, '10000000'), (0.00001::DOUBLE, '0.00001'), (-0.0::DOUBLE, '0'), (1.5::DOUBLE, '1.5'), (123456789.25::DOUBLE, '123456789.25'), (1e21::DOUBLE, '1e+21'), (1.5e-7::DOUBLE, '1.5e-7'), (-250000.0::DOUBLE, '-250000')) AS v(x, s)")
+def _(t):
+    xs = t("region").sparkSession.createDataFrame([(v,) for v in (5.0, 1e7, 0.00001, -0.0, 1.5, 123456789.25, 1e21, 1.5e-7, -250000.0)], "x double")
+    return xs.select("x", S.plain_double(F.col("x")).alias("s"))
+
+
+@query("s14_canonical_rows", None)
+def _(t):
+    n = t("nation")
+    return n.select("n_nationkey", F.sha2(canonical.encoded(render.json_row(n, [])), 256).alias("hash"))
+
+
+@query("s15_canonical_roundtrip", "SELECT n_nationkey, '{\"n_name\":\"' || n_name || '\",\"n_regionkey\":' || n_regionkey::VARCHAR || '}' AS doc FROM nation")
+def _(t):
+    n = t("nation")
+    return n.select("n_nationkey", canonical.decoded(canonical.encoded(render.json_row(n, ["n_nationkey"]))).alias("doc"))
+
+
+@query("s17_token_stream_roundtrip", "SELECT n_nationkey::VARCHAR AS n_nationkey, n_name, n_regionkey::VARCHAR AS n_regionkey FROM nation")
+def _(t):
+    from granary.functions.tokens import decode_tokens, encode_text
+
+    n = t("nation")
+    rows = [r.asDict() for r in n.orderBy("n_nationkey").collect()]
+    blob = token_stream.to_binary(token_stream.encode_rows(rows, encode_text), "o200k_base")
+    back = token_stream.decode_rows(token_stream.from_binary(blob)[1], decode_tokens)
+    return n.sparkSession.createDataFrame([(r["n_nationkey"], r["n_name"], r["n_regionkey"]) for r in back], "n_nationkey string, n_name string, n_regionkey string")
+
+
+@query("s18_field_tokens", None)
+def _(t):
+    cells = D.melt(t("nation"), ["n_nationkey"]).select("n_nationkey", "field", tokens(F.col("value")).alias("ids"))
+    g = cells.groupBy("field").agg(F.array_sort(F.collect_list(F.struct("n_nationkey", "ids"))).alias("s"))
+    return g.select("field", F.flatten(F.transform("s", lambda x: x["ids"])).alias("ids"))
+
+
+@query("s21_transcoded_json", "SELECT r_regionkey, '{\"r_name\":\"' || r_name || '\"}' AS line FROM region")
+def _(t):
+    return files.transcoded(t("region"), "ndjson", ["r_regionkey"])
+
+
+@query("s21_transcoded_yaml", "SELECT r_regionkey, '-' || chr(10) || '  r_name: \"' || r_name || '\"' AS line FROM region")
+def _(t):
+    return files.transcoded(t("region"), "yaml", ["r_regionkey"])
+
+
+@query("t02_token_counts", None)
+def _(t):
+    return t("documents").select("doc_id", token_count(F.col("text")).alias("tokens"))
+
+
+@query("t05_tokenizer_fingerprint", None)
+def _(t):
+    return t("region").sparkSession.createDataFrame([(e, fingerprint(e)) for e in ("o200k_base", "cl100k_base")], "encoding string, fingerprint string")
+
+
+@query("a18_tokenizer_spread", None)
+def _(t):
+    return spread(t("conversations"), "text", ["byte_bpe_50k", "byte_bpe_multi_50k"])
+
+
+@query("w01_prefix_overlap_tokens", None)
+def _(t):
+    from pyspark.sql import Window
+
+    c = t("conversations").select("conv_id", "turn", tokens(F.col("text")).alias("ids"))
+    c = c.withColumn("prev", F.lag("ids").over(Window.partitionBy("conv_id").orderBy("turn")))
+    return c.select("conv_id", "turn", F.size("ids").alias("tokens"), S.prefix_length(F.col("ids"), F.col("prev")).alias("shared"))
+
+
+@query("l05_truncated_tokens", None)
+def _(t):
+    from granary.operators.budget import truncated
+
+    return t("documents").select("doc_id", truncated(tokens(F.col("text")), 100).alias("ids"))
