@@ -15,9 +15,14 @@ DEEPEST = 50
 
 
 def ordered(df: DataFrame, *keys: str) -> DataFrame:
-    """Rows numbered by keys from 0. A range partitioned sort and counts per partition; no single task sees all rows."""
+    """Rows numbered by keys from 0. A range partitioned sort and counts per partition; no single task sees all rows.
+
+    The sorted rows are checkpointed (persisted where no checkpoint folder is set), as the ranges come
+    from a sample: counts and rows must be of one and the same sort.
+    """
     placed = df.repartitionByRange(*[F.col(k) for k in keys]).sortWithinPartitions(*keys).withColumn("_m", F.monotonically_increasing_id())
     placed = placed.withColumn("_p", F.shiftright("_m", 33)).withColumn("_r", F.col("_m").bitwiseAND(F.lit((1 << 33) - 1)))
+    placed = placed.checkpoint() if df.sparkSession.sparkContext.getCheckpointDir() else placed.persist()
     counts = placed.groupBy("_p").agg((F.max("_r") + 1).alias("n"))
     before = counts.withColumn("_b", F.coalesce(F.sum("n").over(Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).select("_p", "_b")
     # One row per partition is broadcast.

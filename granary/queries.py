@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from granary import queries_plans, queries_render, queries_stats, queries_select  # noqa: F401
+from granary import queries_more, queries_plans, queries_render, queries_select, queries_stats  # noqa: F401
 from granary.engine import optimized
 from granary.registry import QUERIES, SQL
 
