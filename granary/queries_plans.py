@@ -202,8 +202,8 @@ def _(t):
 
 
 @query("w05_rle", """
-WITH r AS (SELECT l_orderkey, l_returnflag AS v, row_number() OVER w - row_number() OVER (PARTITION BY l_orderkey, l_returnflag ORDER BY l_linenumber, l_partkey, l_suppkey) AS g, row_number() OVER w AS k
- FROM lineitem WINDOW w AS (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey)),
+WITH r AS (SELECT l_orderkey, l_returnflag AS v, row_number() OVER w - row_number() OVER (PARTITION BY l_orderkey, l_returnflag ORDER BY l_linenumber, l_partkey, l_suppkey, l_returnflag, l_extendedprice, l_quantity, l_shipdate) AS g, row_number() OVER w AS k
+ FROM lineitem WINDOW w AS (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_returnflag, l_extendedprice, l_quantity, l_shipdate)),
  s AS (SELECT l_orderkey, v, g, count(*) AS n, min(k) AS k FROM r GROUP BY 1, 2, 3)
 SELECT l_orderkey, string_agg(v || n::VARCHAR, ' ' ORDER BY k) AS runs FROM s GROUP BY 1""")
 def _(t):

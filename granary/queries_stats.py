@@ -186,9 +186,9 @@ def _(t):
     o = D.ordered(t("orders").select("o_orderkey", "o_orderstatus"), "o_orderkey")
     o = o.select((F.col("_ord") + 1).alias("n"), S.token_estimate(F.concat_ws(",", F.col("o_orderkey").cast("string"), "o_orderstatus")).alias("tok"))
     marks = [100, 500, 1000, 5000]
-    g = o.agg(*[F.sum(F.when(F.col("n") <= m, F.col("tok"))).alias(str(m)) for m in marks])
+    g = o.agg(F.count(F.lit(1)).alias("n"), *[F.sum(F.when(F.col("n") <= m, F.col("tok"))).alias(str(m)) for m in marks])
     steps = [F.struct(F.lit(a).cast("long").alias("from_rows"), F.lit(b).cast("long").alias("to_rows"), F.round((F.col(f"`{b}`") - F.col(f"`{a}`")) / (b - a), 6).alias("tokens_per_row")) for a, b in zip(marks, marks[1:])]
-    return g.select(F.explode(F.array(*steps)).alias("s")).select("s.*")
+    return g.select("n", F.explode(F.array(*steps)).alias("s")).filter("s.to_rows <= n").select("s.*")
 
 
 @query("a16_structural_overhead", """
