@@ -9,11 +9,13 @@ hold windows that occur again.
 
 from __future__ import annotations
 
+import struct
 from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -151,20 +153,65 @@ def segment_rows(keyed: DataFrame, symbols: Callable, length: int, k: int) -> Da
     return keyed.mapInArrow(rows, SEGMENT)
 
 
-def repeated_segments(keyed: DataFrame, symbols: Callable, length: int, k: int) -> tuple[DataFrame, DataFrame]:
-    """Occurrences of segments whose anchor hash occurs again, and a row per distinct one of them.
+STRETCH = 4  # segments in a stretch, on average
 
-    The second has c, how often it occurs, doc, place and n of its earliest occurrence, and kinds, how
-    many distinct segments its anchor has. The counts are combined before they are shuffled, and written,
-    so that the joins read plain shuffles, whose hot keys the adaptive planner splits.
+
+def stretches(found: DataFrame) -> DataFrame:
+    """Segments of a document that follow one another, joined into stretches: code, doc, place, n, parts (fp, whole, n).
+
+    A stretch ends after a segment whose hash says so, so that equal passages fall into equal
+    stretches but for their ends. code hashes all its segments.
+    """
+    per = gathered(found, "fp", "whole", "place", "n")
+
+    def rows(batches):
+        for b in batches:
+            out = []
+            for doc, parts in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                held: list[dict] = []
+                for p in sorted(parts, key=lambda p: p["place"]):
+                    if held and p["place"] != held[-1]["place"] + (held[-1]["n"] << TAG_BITS):
+                        out.append((doc, held))
+                        held = []
+                    held.append(p)
+                    if p["whole"] % STRETCH == 0:
+                        out.append((doc, held))
+                        held = []
+                if held:
+                    out.append((doc, held))
+            code = [xxhash.xxh64_intdigest(struct.pack(f"<{2 * len(h)}q", *(v for p in h for v in (p["fp"], p["whole"])))) for _, h in out]
+            own = [[{"fp": p["fp"], "whole": p["whole"], "n": p["n"]} for p in h] for _, h in out]
+            kind = pa.list_(pa.struct([("fp", pa.int64()), ("whole", pa.int64()), ("n", pa.int32())]))
+            yield pa.record_batch([pa.array(np.array(code, np.uint64).view(np.int64)), pa.array([d for d, _ in out], pa.int64()), pa.array([h[0]["place"] for _, h in out], pa.int64()), pa.array([sum(p["n"] for p in h) for _, h in out], pa.int32()), pa.array(own, kind)], ["code", "doc", "place", "n", "parts"])
+
+    return per.select("doc", "parts").mapInArrow(rows, "code long, doc long, place long, n int, parts array<struct<fp:long,whole:long,n:int>>")
+
+
+def repeated_segments(keyed: DataFrame, symbols: Callable, length: int, k: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """What is repeated in the large, what is left of it, and a row per distinct segment that is left.
+
+    Only segments whose anchor hash occurs again are looked at. The first table has the occurrences of
+    stretches that occur again: code, doc, place, n, doc0 and place0 of the earliest one. The second
+    has the segments (fp, whole, doc, place, n) of the earliest occurrence of every stretch. The third
+    has, for each distinct one of these, c, how often it occurs there, doc, place and n of the earliest
+    one, and kinds, how many distinct segments its anchor has. The counts are combined before they are
+    shuffled, and written, so that the joins read plain shuffles, whose hot keys the adaptive planner splits.
     """
     rows = segment_rows(keyed, symbols, length, k)
     again = staged(rows.groupBy("fp").agg(F.count(F.lit(1)).alias("c")).filter("c > 1").select("fp"), "repeated-anchors")
-    found = staged(rows.join(again, "fp"), "segments")
+    long = staged(stretches(rows.join(again, "fp")), "stretches")
+    first = long.groupBy("code").agg(F.min(F.struct("doc", "place")).alias("first"), F.count(F.lit(1)).alias("c"), F.first("parts").alias("parts"))
+    first = staged(first.select("code", F.col("first.doc").alias("doc0"), F.col("first.place").alias("place0"), "c", "parts"), "distinct-stretches")
+    large = long.select("code", "doc", "place", "n").join(first.filter("c > 1").select("code", "doc0", "place0"), "code")
+
+    ends = F.aggregate("parts", F.array(F.lit(0).cast("long")), lambda a, p: F.concat(a, F.array(F.element_at(a, -1) + p["n"])))
+    found = first.select("doc0", "place0", F.explode(F.zip_with("parts", ends, lambda p, at: F.struct(p.alias("p"), at.alias("at")))).alias("s")).filter("s.p is not null")
+    found = found.select("s.p.fp", "s.p.whole", F.col("doc0").alias("doc"), (F.col("place0") + F.shiftleft("s.at", TAG_BITS)).alias("place"), "s.p.n")
+    found = staged(found, "segments")
     distinct = found.groupBy("fp", "whole").agg(F.count(F.lit(1)).alias("c"), F.min(F.struct("doc", "place", "n")).alias("first"))
     distinct = staged(distinct.select("fp", "whole", "c", "first.doc", "first.place", "first.n"), "distinct-segments")
     kinds = staged(distinct.groupBy("fp").agg(F.count(F.lit(1)).alias("kinds")).filter("kinds > 1"), "anchor-kinds")
-    return found, distinct.join(kinds, "fp", "left").withColumn("kinds", F.coalesce("kinds", F.lit(1)))
+    return large, found, distinct.join(kinds, "fp", "left").withColumn("kinds", F.coalesce("kinds", F.lit(1)))
 
 
 def gathered(rows: DataFrame, *fields: str) -> DataFrame:

@@ -100,9 +100,10 @@ def sharded(batches, length: int):
 
 def later_spans(keyed: DataFrame, length: int, gram: int, crowd: int) -> DataFrame:
     """(doc, place, n): runs of windows that also start earlier."""
-    found, distinct = anchors.repeated_segments(keyed, word_symbols, length, gram)
+    large, found, distinct = anchors.repeated_segments(keyed, word_symbols, length, gram)
     first = distinct.filter("c > 1").select("fp", "whole", F.col("doc").alias("doc0"), F.col("place").alias("place0"))
     whole = found.join(first, ["fp", "whole"]).filter("doc > doc0 OR (doc = doc0 AND place > place0)").select("doc", "place", "n")
+    whole = whole.unionByName(large.filter("doc > doc0 OR (doc = doc0 AND place > place0)").select("doc", "place", "n"))
 
     wanted = gathered(distinct.filter("kinds > 1"), "fp", "place", "n", "kinds")
 

@@ -152,8 +152,9 @@ def sorted_groups(batches, length: int):
 
 def repeated_spans(keyed: DataFrame, length: int, gram: int, crowd: int) -> DataFrame:
     """(doc, place, n): runs of windows of this length that start anywhere else too."""
-    found, distinct = anchors.repeated_segments(keyed, lambda data, offsets: (SYMBOLS[data], offsets), length, gram)
+    large, found, distinct = anchors.repeated_segments(keyed, lambda data, offsets: (SYMBOLS[data], offsets), length, gram)
     whole = found.join(distinct.filter("c > 1").select("fp", "whole"), ["fp", "whole"], "left_semi").select("doc", "place", "n")
+    whole = whole.unionByName(large.select("doc", "place", "n"))
 
     wanted = gathered(distinct.filter("kinds > 1"), "fp", "place", "n", "kinds")
 
