@@ -94,7 +94,8 @@ def optimized(df: DataFrame, order: list[str], filter_: str | None, budget: int,
     rows = filter_text(df, filter_) if filter_ else df
     first = [sort_by, *order] if sort_first and sort_by else order
     row = {"csv": render.csv_row, "tsv": render.tsv_row, "markdown": render.markdown_row}[fmt](rows, [])
-    rows = rows.withColumn("line", row)
+    # Every line costs a token at least: more rows than this cannot fit.
+    rows = rows.orderBy(*first).limit(max(budget, 0) + 1).withColumn("line", row)
     used = F.sum(token_estimate(F.col("line")) + 1).over(Window.orderBy(*first)) - 1
     rows = rows.withColumn("_used", used).filter(F.col("_used") <= budget).drop("_used")
     key = F.col(f"`{sort_by}`").asc_nulls_last() if sort_by and sort_by in rows.columns else None

@@ -21,10 +21,13 @@ def available(window: int, prompt_tokens: int = 0, reserve: int = RESERVE, margi
 def rows_within(lines: DataFrame, order: list[str], tokens: Column, budget: int, by: list[str] | None = None) -> DataFrame:
     """by, rows, tokens: the longest prefix of lines (in order, line feeds between them count one token) within the budget.
 
-    Sums over ranges of the order are added up first, so that no task needs all lines of a group.
+    Every line costs a token at least, so that without groups only the first budget + 1 lines are
+    looked at, whatever there are; they come from a top-k, not a full sort.
     """
     by = by or []
     w = Window.partitionBy(*by).orderBy(*order)
+    if not by:
+        lines = lines.orderBy(*order).limit(max(budget, 0) + 1)
     t = lines.select(*by, *order, tokens.alias("t"))
     t = t.withColumn("used", F.sum(F.col("t") + 1).over(w) - 1)
     return t.filter(F.col("used") <= budget).groupBy(*by).agg(F.count(F.lit(1)).alias("rows"), F.coalesce(F.max("used"), F.lit(0)).alias("tokens"))
