@@ -19,19 +19,38 @@ def finite(x: Column) -> Column:
     return F.when(F.isnan(x) | (F.abs(x) == F.lit(float("inf"))), None).otherwise(x + F.lit(0.0))
 
 
+def _let(value: Column, then) -> Column:
+    """then(value) with value computed once; evaluated outside generated code, for what is rarely needed."""
+    return F.element_at(F.transform(F.array(value), then), 1)
+
+
+def _without_exponent(s: Column) -> Column:
+    """The text of a double with an exponent (1.25E-5) as plain decimals between 1e-6 and 1e21."""
+
+    def parts(v: Column) -> Column:
+        digits, power = v["digits"], v["power"]
+        whole = F.concat(F.substring(F.rpad(digits, 400, "0"), F.lit(1), power + 1), F.when(F.length(digits) > power + 1, F.concat(F.lit("."), F.substring(digits, power + 2, F.lit(400)))).otherwise(""))
+        small = F.concat(F.lit("0."), F.repeat(F.lit("0"), -power - 1), digits)
+        mantissa = F.concat(F.substring(digits, 1, 1), F.when(F.length(digits) > 1, F.concat(F.lit("."), F.substring(digits, 2, 400))).otherwise(""))
+        long = F.concat(mantissa, F.lit("e"), F.when(power > 0, "+").otherwise(""), power.cast("string"))
+        return F.concat(v["sign"], F.when((power >= 0) & (power < 21), whole).when((power < 0) & (power >= -6), small).otherwise(long))
+
+    def split(t: Column) -> Column:
+        digits = F.replace(F.regexp_replace(F.regexp_extract(t, r"^-?([0-9.]+)E", 1), r"\.0$", ""), F.lit("."), F.lit(""))
+        power = F.coalesce(F.regexp_extract(t, r"E(-?[0-9]+)$", 1).try_cast("int"), F.lit(0))
+        return F.struct(digits.alias("digits"), power.alias("power"), F.when(t.startswith("-"), "-").otherwise("").alias("sign"))
+
+    return _let(s, lambda t: F.when(F.contains(t, F.lit("E")), _let(split(t), parts)).otherwise(F.regexp_replace(t, r"\.0$", "")))
+
+
 def plain_double(x: Column) -> Column:
-    """A finite double in decimal notation without a needless fraction; exponents only beyond 1e21 and below 1e-6."""
-    s = (x + F.lit(0.0)).cast("string")
-    body, sign = F.regexp_replace(s, "^-", ""), F.when(s.startswith("-"), "-").otherwise("")
-    digits = F.regexp_replace(F.regexp_replace(F.regexp_extract(body, r"^([0-9.]+)E", 1), r"\.0$", ""), r"\.", "")
-    power = F.expr("0") + F.coalesce(F.regexp_extract(body, r"E(-?[0-9]+)$", 1).try_cast("int"), F.lit(0))
-    whole = F.concat(F.substring(F.rpad(digits, 400, "0"), F.lit(1), power + 1), F.when(F.length(digits) > power + 1, F.concat(F.lit("."), F.substring(digits, power + 2, F.lit(400)))).otherwise(""))
-    small = F.concat(F.lit("0."), F.repeat(F.lit("0"), -power - 1), digits)
-    mantissa = F.concat(F.substring(digits, 1, 1), F.when(F.length(digits) > 1, F.concat(F.lit("."), F.substring(digits, 2, 400))).otherwise(""))
-    long = F.concat(mantissa, F.lit("e"), F.when(power > 0, "+").otherwise(""), power.cast("string"))
-    exponent = F.when((power >= 0) & (power < 21), whole).when((power < 0) & (power >= -6), small).otherwise(long)
-    plain = F.regexp_replace(body, r"\.0$", "")
-    return F.concat(sign, F.when(F.contains(body, F.lit("E")), exponent).otherwise(plain))
+    """A finite double in decimal notation without a needless fraction; exponents only beyond 1e21 and below 1e-6.
+
+    Whole numbers and those whose text has no exponent take the short ways.
+    """
+    y = x + F.lit(0.0)
+    size = F.abs(x)
+    return F.when((size < 1e15) & (x % 1 == 0), y.cast("long").cast("string")).when((size >= 1e-3) & (size < 1e7), y.cast("string")).otherwise(_without_exponent(y.cast("string")))
 
 
 def to_text(c: Column, kind: T.DataType) -> Column:
@@ -39,7 +58,8 @@ def to_text(c: Column, kind: T.DataType) -> Column:
     if isinstance(kind, T.StringType):
         return c
     if isinstance(kind, (T.DoubleType, T.FloatType)):
-        return F.when(F.isnan(c), "NaN").when(c == float("inf"), "Infinity").when(c == float("-inf"), "-Infinity").otherwise(plain_double(c.cast("double")))
+        odd = F.when(F.isnan(c), "NaN").when(c > 0, "Infinity").otherwise("-Infinity")
+        return F.when(F.abs(c) < float("inf"), plain_double(c.cast("double"))).when(c.isNotNull(), odd)
     if isinstance(kind, (T.TimestampType, T.TimestampNTZType)):
         return F.date_format(c, "yyyy-MM-dd'T'HH:mm:ss.SSS'Z'")
     if isinstance(kind, T.DecimalType):

@@ -22,7 +22,9 @@ FORMATS = ("json", "json_min", "csv", "markdown", "tsv", "compact", "record_text
 
 
 def cells(df: DataFrame, order: list[str], escape) -> list[Column]:
-    return [escape(S.to_text(path(n), k)) for n, k in leaves(df.drop(*order).schema)]
+    """Texts of all leaves; numbers and booleans need no escaping."""
+    plain = lambda c: F.coalesce(c, F.lit(""))
+    return [(plain if isinstance(k, (T.NumericType, T.BooleanType)) else escape)(S.to_text(path(n), k)) for n, k in leaves(df.drop(*order).schema)]
 
 
 def csv_row(df: DataFrame, order: list[str]) -> Column:
