@@ -99,11 +99,13 @@ class CompactPlan:
 
 
 def constant_columns(flat: DataFrame, names: list[str]) -> DataFrame:
-    """One row: for each column whether all rows have the same compact text, and that text."""
+    """One row: for each column whether all rows have the same compact text, that text, and for texts how many are longer than five."""
     aggs = []
     for n in names:
         v = S.compact_value(F.col(f"`{n}`"), flat.schema[n].dataType)
         aggs += [(F.min(v) == F.max(v)).alias(f"{n}?"), F.min(v).alias(f"{n}=")]
+        if isinstance(flat.schema[n].dataType, T.StringType):
+            aggs.append(F.count(F.when(F.length(f"`{n}`") > 5, 1)).alias(f"{n}#"))
     return flat.agg(F.count(F.lit(1)).alias("#rows"), *aggs)
 
 
@@ -132,7 +134,7 @@ def compact_plan(df: DataFrame, order: list[str]) -> tuple[DataFrame, CompactPla
     p.constants = {n: one[f"{n}="] for n in names if one[f"{n}?"]}
     varying = [n for n in names if n not in p.constants]
 
-    pairs = [(c, s) for c in varying if isinstance(kinds[c], T.StringType) for s in varying if s != c and isinstance(kinds[s], (T.StringType, T.NumericType))]
+    pairs = [(c, s) for c in varying if isinstance(kinds[c], T.StringType) and one[f"{c}#"] >= 0.7 * p.rows for s in varying if s != c and isinstance(kinds[s], (T.StringType, T.NumericType))]
     if pairs:
         aggs = [a.alias(f"{k}_{j}") for k, (c, s) in enumerate(pairs) for j, a in enumerate(template_aggregates(flat, c, s))]
         got = flat.agg(*aggs).first()
@@ -206,22 +208,42 @@ def compact_dictionary(flat: DataFrame, order: list[str], p: CompactPlan) -> Dat
     return g.filter(keep).orderBy((F.col("uses") * n).desc(), "first").limit(LARGEST_DICTIONARY).select("value", "uses")
 
 
+def _coded(n: str, k: int, kind: T.DataType, p: CompactPlan) -> Column | None:
+    """The text under which a cell is looked up in the dictionary; booleans and others never are."""
+    if isinstance(kind, T.StringType):
+        return _stripped(n, k, p)
+    return S.to_text(F.col(f"`{n}`"), kind) if isinstance(kind, T.NumericType) else None
+
+
+def referenced(flat: DataFrame, p: CompactPlan) -> DataFrame:
+    """With a column _r0, _r1, ... for each active column: the dictionary's reference to its cell, or null.
+
+    The dictionary has at most 10,000 entries and is broadcast; the joins are hash lookups in one stage.
+    """
+    if not p.dictionary:
+        return flat
+    words = flat.sparkSession.createDataFrame([(v, f"@{k}") for k, v in enumerate(p.dictionary)], "_value string, _ref string")
+    for k, n in enumerate(p.active):
+        text = _coded(n, k, flat.schema[n].dataType, p)
+        if text is not None:
+            own = words.select(F.col("_value").alias(f"_v{k}"), F.col("_ref").alias(f"_r{k}"))
+            flat = flat.join(F.broadcast(own), text == F.col(f"_v{k}"), "left").drop(f"_v{k}")
+    return flat
+
+
 def compact_row(flat: DataFrame, p: CompactPlan) -> Column:
-    """The row expression; the dictionary is a literal map of bounded size."""
-    known = F.create_map(*[F.lit(x) for k, v in enumerate(p.dictionary) for x in (v, f"@{k}")]) if p.dictionary else None
+    """The row expression over referenced()."""
 
     def shown(n: str, k: int) -> Column:
         kind = flat.schema[n].dataType
         c = F.col(f"`{n}`")
+        text = _coded(n, k, kind, p)
+        if text is None:
+            return S.compact_value(c, kind)
+        ref = F.col(f"_r{k}") if f"_r{k}" in flat.columns else F.lit(None).cast("string")
         if isinstance(kind, T.StringType):
-            bare = _stripped(n, k, p)
-            ref = known[bare] if known is not None else F.lit(None)
-            return F.when(c.isNull() | (c == ""), "_").otherwise(F.coalesce(ref, S.compact_text(bare)))
-        if isinstance(kind, T.NumericType):
-            t = S.to_text(c, kind)
-            ref = known[t] if known is not None else F.lit(None)
-            return F.when(c.isNull(), "_").otherwise(F.coalesce(ref, t))
-        return S.compact_value(c, kind)
+            return F.when(c.isNull() | (c == ""), "_").otherwise(F.coalesce(ref, S.compact_text(text)))
+        return F.when(c.isNull(), "_").otherwise(F.coalesce(ref, text))
 
     if p.sparse:
         parts = [F.when(~_empty(n, flat.schema[n].dataType), F.concat(F.lit(f"{k}:"), shown(n, k))) for k, n in enumerate(p.active)]
@@ -271,21 +293,36 @@ def record_references(candidates: list[tuple[str, int]]) -> list[str]:
     return out
 
 
-def record_row(df: DataFrame, order: list[str], name: str, dictionary: list[str]) -> Column:
-    known = F.create_map(*[F.lit(x) for k, v in enumerate(dictionary) for x in (v, f"@{k}")]) if dictionary else None
+def record_referenced(df: DataFrame, order: list[str], dictionary: list[str]) -> DataFrame:
+    """With a column _r_NAME for each text column: the dictionary's reference to it, or null; see referenced()."""
+    if not dictionary:
+        return df
+    words = df.sparkSession.createDataFrame([(v, f"@{k}") for k, v in enumerate(dictionary)], "_value string, _ref string")
+    for f in df.drop(*order).schema:
+        if isinstance(f.dataType, T.StringType):
+            own = words.select(F.col("_value").alias("_v"), F.col("_ref").alias(f"_r_{f.name}"))
+            df = df.join(F.broadcast(own), F.col(f"`{f.name}`") == F.col("_v"), "left").drop("_v")
+    return df
+
 
-    def shown(c: Column, kind: T.DataType) -> Column:
-        v = S.record_value(c, kind)
-        return F.coalesce(known[c], v) if known is not None and isinstance(kind, T.StringType) else v
+def record_row(df: DataFrame, order: list[str], name: str, dictionary: list[str], coded: DataFrame | None = None) -> Column:
+    """The record of a row of df. Texts are looked up in coded = record_referenced(df); elements of arrays in a literal map."""
+    own = set(coded.columns if coded is not None else ())
+    arrays = any(isinstance(f.dataType, T.ArrayType) for f in df.schema)
+    known = F.create_map(*[F.lit(x) for k, v in enumerate(dictionary) for x in (v, f"@{k}")]) if dictionary and arrays else None
 
     lines = [F.array(F.lit(name))]
     for f in df.drop(*order).schema:
         c = F.col(f"`{f.name}`")
         if isinstance(f.dataType, T.ArrayType):
             kind = f.dataType.elementType
-            lines.append(F.transform(F.coalesce(c, F.array().cast(f.dataType)), lambda x: F.concat(F.lit(f"  {f.name} "), shown(x, kind))))  # noqa: B023
+            shown = (lambda x: F.coalesce(known[x], S.record_value(x, kind))) if known is not None and isinstance(kind, T.StringType) else (lambda x: S.record_value(x, kind))  # noqa: B023
+            lines.append(F.transform(F.coalesce(c, F.array().cast(f.dataType)), lambda x: F.concat(F.lit(f"  {f.name} "), shown(x))))  # noqa: B023
         else:
-            lines.append(F.array(F.when(c.isNotNull(), F.concat(F.lit(f"  {f.name} "), shown(c, f.dataType))).otherwise(f"  {f.name} _")))
+            value = S.record_value(c, f.dataType)
+            if f"_r_{f.name}" in own:
+                value = F.coalesce(F.col(f"`_r_{f.name}`"), value)
+            lines.append(F.array(F.when(c.isNotNull(), F.concat(F.lit(f"  {f.name} "), value)).otherwise(f"  {f.name} _")))
     return F.array_join(F.concat(*lines), "\n")
 
 
@@ -303,7 +340,8 @@ def lines(df: DataFrame, fmt: str, order: list[str], name: str = "data", encodin
     if fmt == "compact":
         flat, p = compact_plan(df, order)
         top = p.preamble() if p.rows else []
-        body = flat.select(*order, compact_row(flat, p).alias("line"))
+        coded = referenced(flat, p)
+        body = coded.select(*order, compact_row(coded, p).alias("line"))
     elif fmt == "record_text":
         types = record_types(df, order).first()
         words = record_references([(r.value, r.uses) for r in record_dictionary(df, order).collect()])
@@ -311,7 +349,8 @@ def lines(df: DataFrame, fmt: str, order: list[str], name: str = "data", encodin
         top = ["@version 1", f"@encoding {encoding}", f"@schema {name}" + "".join(f" {k}:{v}" for k, v in types.asDict().items())] + ([""] if has else [])
         if words and has:
             top += ["@dict " + " ".join(map(_json_quoted, words)), ""]
-        body = df.select(*order, record_row(df, order, name, words).alias("line"))
+        coded = record_referenced(df, order, words)
+        body = coded.select(*order, record_row(df, order, name, words, coded).alias("line"))
     elif fmt in ("csv", "markdown", "tsv", "json_min", "json"):
         row = {"csv": csv_row, "markdown": markdown_row, "tsv": tsv_row, "json_min": json_row, "json": json_row}[fmt](df, order)
         top = header(df, order, fmt)

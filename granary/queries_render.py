@@ -75,7 +75,8 @@ WITH v AS (SELECT o_orderstatus AS v FROM orders WHERE length(o_orderstatus) > 2
 SELECT o_orderkey, coalesce(a.ref, o_orderstatus) || chr(9) || coalesce(b.ref, o_orderpriority) AS line FROM orders LEFT JOIN d a ON a.v = o_orderstatus LEFT JOIN d b ON b.v = o_orderpriority""")
 def _(t):
     flat, p = render.compact_plan(t("orders").select("o_orderkey", "o_orderstatus", "o_orderpriority"), ["o_orderkey"])
-    return flat.select("o_orderkey", render.compact_row(flat, p).alias("line"))
+    coded = render.referenced(flat, p)
+    return coded.select("o_orderkey", render.compact_row(coded, p).alias("line"))
 
 
 @query("r06_compact_sparse", "SELECT o_orderkey, concat_ws(chr(9), '0:' || nullif(nullif(nullif(o_orderstatus, 'O'), 'F'), 'x'), '1:' || CASE WHEN o_orderkey % 10 = 0 THEN o_custkey::VARCHAR END, '2:' || CASE WHEN o_orderkey % 7 = 0 THEN 'T' WHEN o_orderkey % 7 = 1 THEN 'F' END) AS line FROM orders")
