@@ -9,13 +9,11 @@ hold windows that occur again.
 
 from __future__ import annotations
 
-import struct
 from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -166,23 +164,22 @@ def stretches(found: DataFrame) -> DataFrame:
 
     def rows(batches):
         for b in batches:
-            out = []
-            for doc, parts in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                held: list[dict] = []
-                for p in sorted(parts, key=lambda p: p["place"]):
-                    if held and p["place"] != held[-1]["place"] + (held[-1]["n"] << TAG_BITS):
-                        out.append((doc, held))
-                        held = []
-                    held.append(p)
-                    if p["whole"] % STRETCH == 0:
-                        out.append((doc, held))
-                        held = []
-                if held:
-                    out.append((doc, held))
-            code = [xxhash.xxh64_intdigest(struct.pack(f"<{2 * len(h)}q", *(v for p in h for v in (p["fp"], p["whole"])))) for _, h in out]
-            own = [[{"fp": p["fp"], "whole": p["whole"], "n": p["n"]} for p in h] for _, h in out]
-            kind = pa.list_(pa.struct([("fp", pa.int64()), ("whole", pa.int64()), ("n", pa.int32())]))
-            yield pa.record_batch([pa.array(np.array(code, np.uint64).view(np.int64)), pa.array([d for d, _ in out], pa.int64()), pa.array([h[0]["place"] for _, h in out], pa.int64()), pa.array([sum(p["n"] for p in h) for _, h in out], pa.int32()), pa.array(own, kind)], ["code", "doc", "place", "n", "parts"])
+            parts = b.column(1)
+            flat = parts.flatten()
+            if not len(flat):
+                continue
+            fp, whole, place, n = (flat.field(k).to_numpy().astype(np.int64) for k in range(4))
+            row = np.repeat(np.arange(len(parts)), parts.value_lengths().to_numpy())
+            order = np.lexsort((place, row))
+            fp, whole, place, n, row = fp[order], whole[order], place[order], n[order], row[order]
+            first = np.ones(len(row), bool)
+            first[1:] = (row[1:] != row[:-1]) | (place[1:] != place[:-1] + (n[:-1] << TAG_BITS)) | (whole[:-1] % STRETCH == 0)
+            begin = np.flatnonzero(first)
+            end = np.append(begin[1:], len(row))
+            code = spans_hash(mix64(fp.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + whole.view(np.uint64)), begin, end)
+            own = pa.StructArray.from_arrays([pa.array(fp), pa.array(whole), pa.array(n.astype(np.int32))], ["fp", "whole", "n"])
+            lists = pa.ListArray.from_arrays(pa.array(np.append(begin, len(row)).astype(np.int32)), own)
+            yield pa.record_batch([pa.array(as_long(code)), pa.array(b.column(0).to_numpy()[row[begin]]), pa.array(place[begin]), pa.array(np.add.reduceat(n, begin).astype(np.int32)), lists], ["code", "doc", "place", "n", "parts"])
 
     return per.select("doc", "parts").mapInArrow(rows, "code long, doc long, place long, n int, parts array<struct<fp:long,whole:long,n:int>>")
 
