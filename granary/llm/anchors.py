@@ -2,9 +2,13 @@
 
 A window of ``length`` symbols is assigned to the smallest, leftmost hashed k-gram inside it, its
 anchor. Equal windows have equal anchors at equal places. The windows of one anchor occurrence are
-neighbours; they and the symbols they span are a segment, (anchor hash, hash of all its symbols,
-document, first window, number of windows). Only segments whose anchor hash occurs again can
+neighbours; they and the symbols they span are a segment, (anchor hash, two hashes of all its symbols,
+row, first window, number of windows). Only segments whose anchor hash occurs again can
 hold windows that occur again.
+
+A row is known by doc_id and 96 bits of hashes of its text, so that rows of one doc_id, and rows
+without one, are told apart; rows that are equal in both are one row. Segments and stretches are
+equal where two 64-bit hashes from independent tables of symbols agree.
 """
 
 from __future__ import annotations
@@ -22,13 +26,16 @@ from granary.llm.common import as_long, mix64, slices, staged
 BASE = pow(0x9E3779B97F4A7C15, 5, 2**64) | 1
 INVERSE = pow(BASE, -1, 2**64)
 SYMBOLS = np.random.default_rng(20).integers(1, 2**64, 256, dtype=np.uint64) | np.uint64(1)
+OTHERS = np.random.default_rng(21).integers(1, 2**64, 256, dtype=np.uint64) | np.uint64(1)
 SPACE = np.zeros(256, bool)
 SPACE[[9, 10, 11, 12, 13, 32]] = True
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
-TAG_BITS = 24
-TAG = (1 << TAG_BITS) - 1
-NO_ID = -(2**63)
+#: Low bits of a place that hold bits of a second hash of the row's text.
+MARK_BITS = 32
+MARK = (1 << MARK_BITS) - 1
+#: Orders null doc_ids before all others; never told apart by it, nor given back.
+LEAST = -(2**63)
 
 _powers: list[np.ndarray] = []
 
@@ -84,6 +91,12 @@ def column_bytes(column) -> tuple[np.ndarray, np.ndarray]:
 
 def words_of(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Words (runs of bytes other than blanks) of values one after the other: hash, first byte, end, and where each value's words begin."""
+    begin, end, starts = word_spans(data, offsets)
+    return spans_hash(SYMBOLS[data], begin, end), begin, end, starts
+
+
+def word_spans(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """First byte and end of every word, and where each value's words begin."""
     word = ~SPACE[data]
     first = word.copy()
     inner = np.unique(offsets[(offsets > 0) & (offsets < len(data))])
@@ -94,14 +107,25 @@ def words_of(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndar
     last[:-1] &= ~word[1:]
     last[inner - 1] = word[inner - 1]
     end = np.flatnonzero(last) + 1
-    return spans_hash(SYMBOLS[data], begin, end), begin, end, np.searchsorted(begin, offsets)
+    return begin, end, np.searchsorted(begin, offsets)
+
+
+def byte_symbols(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Two hashes of every byte, and where values begin."""
+    return SYMBOLS[data], OTHERS[data], offsets
+
 
+def word_symbols(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Two hashes of every word, and where values begin."""
+    begin, end, starts = word_spans(data, offsets)
+    return spans_hash(SYMBOLS[data], begin, end), spans_hash(OTHERS[data], begin, end), starts
 
-def segments(h: np.ndarray, starts: np.ndarray, length: int, k: int) -> tuple[np.ndarray, ...]:
-    """Segments of values whose symbol hashes stand one after the other: value, first window (in the value), number of windows, anchor hash, hash of all symbols."""
+
+def segments(h: np.ndarray, g: np.ndarray, starts: np.ndarray, length: int, k: int) -> tuple[np.ndarray, ...]:
+    """Segments of values whose symbol hashes (h, and g from another table) stand one after the other: value, first window (in the value), number of windows, anchor hash, two hashes of all symbols."""
     none = np.zeros(0, np.int64)
     if len(h) < length:
-        return none, none, none, none.astype(np.uint64), none.astype(np.uint64)
+        return none, none, none, *[none.astype(np.uint64)] * 3
     gram = mix64(grams(h, k))
     key = (gram & ~np.uint64(0xFFFFFFFF)) | np.arange(len(gram), dtype=np.uint64)
     span, low, size = length - k + 1, key, 1
@@ -121,96 +145,128 @@ def segments(h: np.ndarray, starts: np.ndarray, length: int, k: int) -> tuple[np
     n = ends - begin + 1
     own = value[begin]
     # The anchor's place among the segment's symbols belongs to what must be equal.
-    whole = mix64(spans_hash(h, begin, begin + n - 1 + length) + (anchor[begin] - begin).astype(np.uint64))
-    return own, begin - starts[own], n, gram[anchor[begin]], whole
+    inside = (anchor[begin] - begin).astype(np.uint64)
+    whole, twin = (mix64(spans_hash(x, begin, begin + n - 1 + length) + inside) for x in (h, g))
+    return own, begin - starts[own], n, gram[anchor[begin]], whole, twin
 
 
-def with_key(docs: DataFrame) -> DataFrame:
-    """doc, tag, text: doc_id (null: NO_ID) and bits of the text's hash, which tell rows of one doc_id apart."""
-    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
+def with_key(docs: DataFrame, *carried: str) -> DataFrame:
+    """doc, tag, mark, doc_id, text, and other columns as carried_0, carried_1, ...: doc orders the rows (null first), and with tag and mark (64 and 32 bits of hashes) tells them apart."""
+    text = F.coalesce(docs["text"].cast("string"), F.lit(""))
+    doc = docs["doc_id"].cast("long")
     return docs.select(
-        F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("doc"),
-        F.xxhash64(text).bitwiseAND(F.lit(TAG)).alias("tag"),
+        F.coalesce(doc, F.lit(LEAST)).alias("doc"),
+        F.xxhash64(text, docs["doc_id"].isNull()).alias("tag"),
+        F.hash(text).cast("long").bitwiseAND(F.lit(MARK)).alias("mark"),
+        doc.alias("doc_id"),
         text.alias("text"),
+        *[docs[c].alias(f"carried_{k}") for k, c in enumerate(carried)],
     )
 
 
-SEGMENT = "fp long, whole long, doc long, place long, n int"
+KEY = ["doc", "tag", "mark"]
+SEGMENT = "fp long, whole long, twin long, doc long, tag long, place long, n int"
 
 
 def segment_rows(keyed: DataFrame, symbols: Callable, length: int, k: int) -> DataFrame:
-    """A row per segment; place: the first window, shifted by TAG_BITS, and the tag. symbols: (bytes, offsets) -> (hashes, starts)."""
+    """A row per segment; place: the first window, shifted by MARK_BITS, and the mark. symbols: (bytes, offsets) -> (hashes, other hashes, starts)."""
 
     def rows(batches):
-        for b in slices(batches, 2, 1 << 18):
-            h, starts = symbols(*column_bytes(b.column(2)))
-            own, first, n, fp, whole = segments(h, starts, length, k)
-            doc, tag = (b.column(c).to_numpy()[own] for c in (0, 1))
-            yield pa.record_batch([pa.array(as_long(fp)), pa.array(as_long(whole)), pa.array(doc), pa.array((first << TAG_BITS) | tag), pa.array(n.astype(np.int32))], ["fp", "whole", "doc", "place", "n"])
+        for b in slices(batches, 3, 1 << 18):
+            own, first, n, *hashes = segments(*symbols(*column_bytes(b.column(3))), length, k)
+            doc, tag, mark = (b.column(c).to_numpy()[own] for c in range(3))
+            made = [*map(as_long, hashes), doc, tag, (first << MARK_BITS) | mark, n.astype(np.int32)]
+            yield pa.record_batch([pa.array(x) for x in made], [x.split()[0] for x in SEGMENT.split(", ")])
 
-    return keyed.mapInArrow(rows, SEGMENT)
+    return keyed.select(*KEY, "text").mapInArrow(rows, SEGMENT)
 
 
 STRETCH = 4  # segments in a stretch, on average
+PART = "struct<fp:long,whole:long,twin:long,n:int>"
 
 
 def stretches(found: DataFrame) -> DataFrame:
-    """Segments of a document that follow one another, joined into stretches: code, doc, place, n, parts (fp, whole, n).
+    """Segments of a row that follow one another, joined into stretches: code, twin, doc, tag, place, n, parts (fp, whole, twin, n), local.
 
-    A stretch ends after a segment whose hash says so, so that equal passages fall into equal
-    stretches but for their ends. code hashes all its segments.
+    What repeats inside a row is settled there: of equal segments of a row only the first belongs to a
+    stretch; a row of its own, with local = 1, stands for each further one, and one with local = 2
+    says that the first one has such followers. A stretch ends after a segment whose hash says so, so
+    that equal passages fall into equal stretches but for their ends. code and twin hash all its segments.
     """
-    per = gathered(found, "fp", "whole", "place", "n")
+    per = gathered(found, "fp", "whole", "twin", "place", "n")
 
     def rows(batches):
         for b in batches:
-            parts = b.column(1)
+            parts = b.column(3)
             flat = parts.flatten()
             if not len(flat):
                 continue
-            fp, whole, place, n = (flat.field(k).to_numpy().astype(np.int64) for k in range(4))
+            fp, whole, twin, place, n = (flat.field(k).to_numpy().astype(np.int64) for k in range(5))
             row = np.repeat(np.arange(len(parts)), parts.value_lengths().to_numpy())
             order = np.lexsort((place, row))
-            fp, whole, place, n, row = fp[order], whole[order], place[order], n[order], row[order]
-            first = np.ones(len(row), bool)
-            first[1:] = (row[1:] != row[:-1]) | (place[1:] != place[:-1] + (n[:-1] << TAG_BITS)) | (whole[:-1] % STRETCH == 0)
+            fp, whole, twin, place, n, row = (x[order] for x in (fp, whole, twin, place, n, row))
+            order = np.lexsort((fp, twin, whole, row))  # stable: by place among equal ones
+            same = np.all([x[order][1:] == x[order][:-1] for x in (row, fp, whole, twin)], axis=0)
+            later, before = np.zeros(len(row), bool), np.zeros(len(row), bool)
+            later[order[1:][same]] = True
+            before[order[:-1][same]] = True
+            before &= ~later
+            at = np.flatnonzero(~later)
+            first = np.ones(len(at), bool)
+            first[1:] = (at[1:] != at[:-1] + 1) | (row[at[1:]] != row[at[:-1]]) | (place[at[1:]] != place[at[:-1]] + (n[at[:-1]] << MARK_BITS)) | (whole[at[:-1]] % STRETCH == 0)
             begin = np.flatnonzero(first)
-            end = np.append(begin[1:], len(row))
-            code = spans_hash(mix64(fp.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + whole.view(np.uint64)), begin, end)
-            own = pa.StructArray.from_arrays([pa.array(fp), pa.array(whole), pa.array(n.astype(np.int32))], ["fp", "whole", "n"])
-            lists = pa.ListArray.from_arrays(pa.array(np.append(begin, len(row)).astype(np.int32)), own)
-            yield pa.record_batch([pa.array(as_long(code)), pa.array(b.column(0).to_numpy()[row[begin]]), pa.array(place[begin]), pa.array(np.add.reduceat(n, begin).astype(np.int32)), lists], ["code", "doc", "place", "n", "parts"])
-
-    return per.select("doc", "parts").mapInArrow(rows, "code long, doc long, place long, n int, parts array<struct<fp:long,whole:long,n:int>>")
-
-
-def repeated_segments(keyed: DataFrame, symbols: Callable, length: int, k: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+            end = np.append(begin[1:], len(at))
+            one, two = (mix64(fp[at].view(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + x[at].view(np.uint64)) for x in (whole, twin))
+            code, other = spans_hash(one, begin, end), spans_hash(two, begin, end)
+            own = pa.StructArray.from_arrays([pa.array(fp[at]), pa.array(whole[at]), pa.array(twin[at]), pa.array(n[at].astype(np.int32))], ["fp", "whole", "twin", "n"])
+            lists = pa.ListArray.from_arrays(pa.array(np.append(begin, len(at)).astype(np.int32)), own)
+            key = [b.column(c).to_numpy() for c in range(2)]
+            head = at[begin]
+            names = ["code", "twin", "doc", "tag", "place", "n", "parts", "local"]
+            yield pa.record_batch([pa.array(as_long(code)), pa.array(as_long(other)), *(pa.array(x[row[head]]) for x in key), pa.array(place[head]), pa.array(np.add.reduceat(n[at], begin).astype(np.int32)), lists, pa.array(np.zeros(len(head), np.int32))], names)
+            head = np.flatnonzero(later | before)
+            if len(head):
+                kinds = np.where(later[head], 1, 2).astype(np.int32)
+                nothing = np.zeros(len(head), np.int64)
+                yield pa.record_batch([pa.array(nothing), pa.array(nothing), *(pa.array(x[row[head]]) for x in key), pa.array(place[head]), pa.array(n[head].astype(np.int32)), pa.nulls(len(head), lists.type), pa.array(kinds)], names)
+
+    return per.select(*KEY, "parts").mapInArrow(rows, f"code long, twin long, doc long, tag long, place long, n int, parts array<{PART}>, local int")
+
+
+def repeated_segments(keyed: DataFrame, symbols: Callable, length: int, k: int) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
     """What is repeated in the large, what is left of it, and a row per distinct segment that is left.
 
-    Only segments whose anchor hash occurs again are looked at. The first table has the occurrences of
-    stretches that occur again: code, doc, place, n, doc0 and place0 of the earliest one. The second
-    has the segments (fp, whole, doc, place, n) of the earliest occurrence of every stretch. The third
-    has, for each distinct one of these, c, how often it occurs there, doc, place and n of the earliest
-    one, and kinds, how many distinct segments its anchor has. The counts are combined before they are
+    Only segments whose anchor hash occurs again are looked at. The first table has what repeats inside
+    rows: doc, tag, place, n, local. The second has the occurrences of stretches that occur again: doc,
+    tag, place, n, and doc0, tag0, place0 of the earliest one. The third has the segments (fp, whole,
+    twin, doc, tag, place, n) of the earliest occurrence of every stretch. The fourth has, for each
+    distinct one of these, c, how often it occurs there, doc, tag, place and n of the earliest one, and
+    kinds, how many distinct segments its anchor has. The counts are combined before they are
     shuffled, and written, so that the joins read plain shuffles, whose hot keys the adaptive planner splits.
     """
     rows = segment_rows(keyed, symbols, length, k)
     again = staged(rows.groupBy("fp").agg(F.count(F.lit(1)).alias("c")).filter("c > 1").select("fp"), "repeated-anchors")
-    long = staged(stretches(rows.join(again, "fp")), "stretches")
-    first = long.groupBy("code").agg(F.min(F.struct("doc", "place")).alias("first"), F.count(F.lit(1)).alias("c"), F.first("parts").alias("parts"))
-    first = staged(first.select("code", F.col("first.doc").alias("doc0"), F.col("first.place").alias("place0"), "c", "parts"), "distinct-stretches")
-    large = long.select("code", "doc", "place", "n").join(first.filter("c > 1").select("code", "doc0", "place0"), "code")
+    every = staged(stretches(rows.join(again, "fp")), "stretches")
+    local, long = every.filter("local > 0").select("doc", "tag", "place", "n", "local"), every.filter("local = 0")
+    first = long.groupBy("code", "twin").agg(F.min(F.struct("doc", "tag", "place")).alias("first"), F.count(F.lit(1)).alias("c"), F.first("parts").alias("parts"))
+    first = staged(first.select("code", "twin", *[F.col(f"first.{c}").alias(f"{c}0") for c in ("doc", "tag", "place")], "c", "parts"), "distinct-stretches")
+    large = long.select("code", "twin", "doc", "tag", "place", "n").join(first.filter("c > 1").select("code", "twin", "doc0", "tag0", "place0"), ["code", "twin"])
 
     ends = F.aggregate("parts", F.array(F.lit(0).cast("long")), lambda a, p: F.concat(a, F.array(F.element_at(a, -1) + p["n"])))
-    found = first.select("doc0", "place0", F.explode(F.zip_with("parts", ends, lambda p, at: F.struct(p.alias("p"), at.alias("at")))).alias("s")).filter("s.p is not null")
-    found = found.select("s.p.fp", "s.p.whole", F.col("doc0").alias("doc"), (F.col("place0") + F.shiftleft("s.at", TAG_BITS)).alias("place"), "s.p.n")
+    found = first.select("doc0", "tag0", "place0", F.explode(F.zip_with("parts", ends, lambda p, at: F.struct(p.alias("p"), at.alias("at")))).alias("s")).filter("s.p is not null")
+    found = found.select("s.p.fp", "s.p.whole", "s.p.twin", F.col("doc0").alias("doc"), F.col("tag0").alias("tag"), (F.col("place0") + F.shiftleft("s.at", MARK_BITS)).alias("place"), "s.p.n")
     found = staged(found, "segments")
-    distinct = found.groupBy("fp", "whole").agg(F.count(F.lit(1)).alias("c"), F.min(F.struct("doc", "place", "n")).alias("first"))
-    distinct = staged(distinct.select("fp", "whole", "c", "first.doc", "first.place", "first.n"), "distinct-segments")
+    distinct = found.groupBy("fp", "whole", "twin").agg(F.count(F.lit(1)).alias("c"), F.min(F.struct("doc", "tag", "place", "n")).alias("first"))
+    distinct = staged(distinct.select("fp", "whole", "twin", "c", "first.*"), "distinct-segments")
     kinds = staged(distinct.groupBy("fp").agg(F.count(F.lit(1)).alias("kinds")).filter("kinds > 1"), "anchor-kinds")
-    return large, found, distinct.join(kinds, "fp", "left").withColumn("kinds", F.coalesce("kinds", F.lit(1)))
+    return local, large, found, distinct.join(kinds, "fp", "left").withColumn("kinds", F.coalesce("kinds", F.lit(1)))
+
+
+def later():
+    """Whether a row's place comes after doc0, tag0, place0."""
+    return F.struct("doc", "tag", "place") > F.struct("doc0", "tag0", "place0")
 
 
 def gathered(rows: DataFrame, *fields: str) -> DataFrame:
-    """Rows with doc and place -> doc, tag and an array of the fields; as many entries as a document has segments at most."""
-    return rows.groupBy("doc", F.col("place").bitwiseAND(F.lit(TAG)).alias("tag")).agg(F.collect_list(F.struct(*fields)).alias("parts"))
+    """Rows with doc, tag and place -> doc, tag, mark and the distinct entries of the fields; as many as a text has segments at most, however often a row is repeated."""
+    return rows.groupBy("doc", "tag", F.col("place").bitwiseAND(F.lit(MARK)).alias("mark")).agg(F.collect_set(F.struct(*fields)).alias("parts"))

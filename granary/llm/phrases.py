@@ -21,24 +21,19 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from granary.llm import anchors
-from granary.llm.anchors import NO_ID, TAG_BITS, column_bytes, gathered, spans_hash, with_key, words_of
-from granary.llm.common import as_long, lean, mix64, release, slices, table
-from granary.llm.suffix import SPAN, cover, runs
+from granary.llm.anchors import KEY, MARK_BITS, column_bytes, gathered, later, spans_hash, with_key, word_spans, word_symbols
+from granary.llm.common import as_long, lean, release, slices, table
+from granary.llm.suffix import SPAN, cover, runs, span_batch
 
 LENGTH, GRAM, CROWD = 20, 6, 4096
 PHRASES = 4000  # windows in an automaton
-ROOM = 1_000_000  # bytes of segments held in a shard at once
+ROOM = 250_000  # bytes of segments held in a shard at once
 
 
-def word_symbols(data: np.ndarray, offsets: np.ndarray):
-    h, _, _, starts = words_of(data, offsets)
-    return h, starts
-
-
-def located(segments: list[tuple[int, int, int, str]], length: int) -> list[tuple[int, int, np.ndarray]]:
-    """Segments (doc, place, windows, words joined by spaces) -> (doc, place, flags): which windows start earlier in another one."""
+def located(segments: list[tuple[int, int, int, int, str]], length: int) -> list[np.ndarray]:
+    """Segments (doc, tag, place, windows, words joined by spaces) -> for each, which windows start earlier in another one."""
     keys, seen, again = [], set(), set()
-    for _, _, n, text in segments:
+    for *_, n, text in segments:
         padded = f" {text} "
         at = [k for k, c in enumerate(padded) if c == " "]
         own = [padded[at[k] : at[k + length] + 1] for k in range(n)]
@@ -46,7 +41,7 @@ def located(segments: list[tuple[int, int, int, str]], length: int) -> list[tupl
         seen.update(own)
         keys.append((padded, at))
     del seen
-    out = [(doc, place, np.zeros(n, bool)) for doc, place, n, _ in segments]
+    out = [np.zeros(n, bool) for *_, n, _ in segments]
     phrases = sorted(again)
     for begin in range(0, len(phrases), PHRASES):
         machine = ahocorasick.Automaton()
@@ -57,41 +52,35 @@ def located(segments: list[tuple[int, int, int, str]], length: int) -> list[tupl
         first: list = [None] * len(part)
         hits = []
         for s, (padded, at) in enumerate(keys):
-            doc, place, n, _ = segments[s]
+            doc, tag, place, n, _ = segments[s]
             index = {c: k for k, c in enumerate(at[:n])}
             for end, (k, size) in machine.iter(padded):
                 j = index[end - size + 1]
-                where = (doc, place + (j << TAG_BITS))
+                where = (doc, tag, place + (j << MARK_BITS))
                 hits.append((s, j, k, where))
                 if first[k] is None or where < first[k]:
                     first[k] = where
         for s, j, k, where in hits:
             if where > first[k]:
-                out[s][2][j] = True
+                out[s][j] = True
     return out
 
 
 def sharded(batches, length: int):
-    """Segments sorted by anchor (fp, doc, place, n, piece) -> runs of windows to remove, in portions of about ROOM bytes."""
+    """Segments sorted by anchor (fp, doc, tag, place, n, piece) -> runs of windows to remove, in portions of about ROOM bytes."""
     held, size, last = [], 0, None
 
     def solve():
-        docs, spots, ns = [], [], []
-        for doc, place, flags in located(held, length):
-            for a, b in zip(*runs(flags), strict=True):
-                docs.append(doc)
-                spots.append(place + (int(a) << TAG_BITS))
-                ns.append(b - a)
-        return pa.record_batch([pa.array(docs, pa.int64()), pa.array(spots, pa.int64()), pa.array(np.array(ns, np.int32))], ["doc", "place", "n"])
+        return span_batch([(doc, tag, place + (int(a) << MARK_BITS), int(b - a)) for (doc, tag, place, *_), flags in zip(held, located(held, length), strict=True) for a, b in zip(*runs(flags), strict=True)])
 
     for b in batches:
-        for fp, doc, place, n, piece in zip(*(b.column(k).to_pylist() for k in range(5)), strict=True):
+        for fp, *one in zip(*(b.column(k).to_pylist() for k in range(6)), strict=True):
             if fp != last and size > ROOM:
                 yield solve()
                 held, size = [], 0
             last = fp
-            held.append((doc, place, n, piece))
-            size += len(piece)
+            held.append(one)
+            size += len(one[4])
     if held:
         yield solve()
     held.clear()
@@ -99,45 +88,49 @@ def sharded(batches, length: int):
 
 
 def later_spans(keyed: DataFrame, length: int, gram: int, crowd: int) -> DataFrame:
-    """(doc, place, n): runs of windows that also start earlier."""
-    large, found, distinct = anchors.repeated_segments(keyed, word_symbols, length, gram)
-    first = distinct.filter("c > 1").select("fp", "whole", F.col("doc").alias("doc0"), F.col("place").alias("place0"))
-    whole = found.join(first, ["fp", "whole"]).filter("doc > doc0 OR (doc = doc0 AND place > place0)").select("doc", "place", "n")
-    whole = whole.unionByName(large.filter("doc > doc0 OR (doc = doc0 AND place > place0)").select("doc", "place", "n"))
+    """(doc, tag, place, n): runs of windows that also start earlier."""
+    local, large, found, distinct = anchors.repeated_segments(keyed, word_symbols, length, gram)
+    first = distinct.filter("c > 1").select("fp", "whole", "twin", *[F.col(c).alias(f"{c}0") for c in ("doc", "tag", "place")])
+    whole = found.join(first, ["fp", "whole", "twin"]).filter(later())
 
     wanted = gathered(distinct.filter("kinds > 1"), "fp", "place", "n", "kinds")
 
     def cut(batches):
-        for b in slices(batches, 1, 1 << 18):
-            data, offsets = column_bytes(b.column(1))
-            _, begin, end, starts = words_of(data, offsets)
+        for b in slices(batches, 2, 1 << 18):
+            data, offsets = column_bytes(b.column(2))
+            begin, end, starts = word_spans(data, offsets)
             out = []
-            for k, (doc, parts) in enumerate(zip(b.column(0).to_pylist(), b.column(2).to_pylist(), strict=True)):
+            for k, (doc, tag, parts) in enumerate(zip(*(b.column(c).to_pylist() for c in (0, 1, 3)), strict=True)):
                 for p in parts:
-                    a = starts[k] + (p["place"] >> TAG_BITS)
+                    a = starts[k] + (p["place"] >> MARK_BITS)
                     z = a + p["n"] - 2 + length
                     piece = b" ".join(data[begin[a] : end[z]].tobytes().split())
-                    out.append((p["fp"], doc, p["place"], p["n"], p["kinds"], piece))
-            kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.binary()]
-            rows = pa.record_batch([pa.array(c, t) for c, t in zip(zip(*out, strict=True) if out else [()] * 6, kinds, strict=True)], ["fp", "doc", "place", "n", "kinds", "piece"])
-            yield rows.set_column(5, "piece", rows.column(5).cast(pa.string()))
+                    out.append((p["fp"], doc, tag, p["place"], p["n"], p["kinds"], piece))
+            kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.binary()]
+            rows = pa.record_batch([pa.array(c, t) for c, t in zip(zip(*out, strict=True) if out else [()] * 7, kinds, strict=True)], ["fp", "doc", "tag", "place", "n", "kinds", "piece"])
+            yield rows.set_column(6, "piece", rows.column(6).cast(pa.string()))
 
-    pieces = keyed.join(wanted, ["doc", "tag"]).select("doc", "text", "parts").mapInArrow(cut, "fp long, doc long, place long, n int, kinds long, piece string")
-    few = pieces.filter(F.col("kinds") <= crowd).select("fp", "doc", "place", "n", "piece")
+    pieces = keyed.join(wanted, KEY).select("doc", "tag", "text", "parts").mapInArrow(cut, "fp long, doc long, tag long, place long, n int, kinds long, piece string")
+    few = pieces.filter(F.col("kinds") <= crowd).select("fp", "doc", "tag", "place", "n", "piece")
     met = few.repartition("fp").sortWithinPartitions("fp").mapInArrow(lambda batches: sharded(batches, length), SPAN)
 
     def single(batches):
-        for b in slices(batches, 2, 1 << 18):
-            h, starts = word_symbols(*column_bytes(b.column(2)))
+        for b in slices(batches, 3, 1 << 18):
+            h, g, starts = word_symbols(*column_bytes(b.column(3)))
             count = np.diff(starts) - length + 1
             step = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
             at = np.repeat(starts[:-1], count) + step
-            yield pa.record_batch([pa.array(as_long(spans_hash(h, at, at + length))), pa.array(as_long(spans_hash(mix64(h), at, at + length))), pa.array(np.repeat(b.column(0).to_numpy(), count)), pa.array(np.repeat(b.column(1).to_numpy(), count) + (step << TAG_BITS))], ["one", "two", "doc", "place"])
-
-    windows = pieces.filter(F.col("kinds") > crowd).select("doc", "place", "piece").mapInArrow(single, "one long, two long, doc long, place long")
-    counted = windows.groupBy("one", "two").agg(F.min(F.struct("doc", "place")).alias("first"), F.count(F.lit(1)).alias("c")).filter("c > 1")
-    crowded = windows.join(counted.select("one", "two", "first"), ["one", "two"]).filter("doc > first.doc OR (doc = first.doc AND place > first.place)").select("doc", "place", F.lit(1).alias("n"))
-    return whole.unionByName(met).unionByName(crowded)
+            own = [np.repeat(b.column(c).to_numpy(), count) for c in range(3)]
+            yield pa.record_batch([pa.array(x) for x in (*(as_long(spans_hash(x, at, at + length)) for x in (h, g)), own[0], own[1], own[2] + (step << MARK_BITS))], ["one", "two", "doc", "tag", "place"])
+
+    windows = pieces.filter(F.col("kinds") > crowd).select("doc", "tag", "place", "piece").mapInArrow(single, "one long, two long, doc long, tag long, place long")
+    counted = windows.groupBy("one", "two").agg(F.min(F.struct("doc", "tag", "place")).alias("first"), F.count(F.lit(1)).alias("c")).filter("c > 1")
+    counted = counted.select("one", "two", *[F.col(f"first.{c}").alias(f"{c}0") for c in ("doc", "tag", "place")])
+    crowded = windows.join(counted, ["one", "two"]).filter(later()).withColumn("n", F.lit(1))
+    out = local.filter("local = 1").select("doc", "tag", "place", "n")
+    for more in (whole, large.filter(later()), met, crowded):
+        out = out.unionByName(more.select("doc", "tag", "place", "n"))
+    return out
 
 
 RESULT = "doc_id long, n_words long, n_removed long, kept_sha256 string, kept string"
@@ -147,40 +140,45 @@ def remove_passages(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, cro
     """Every row of docs (doc_id, text; other columns are ignored) without the words of passages that start earlier.
 
     kept holds the remaining words joined by spaces. Null and empty texts have no words; of repeated
-    rows (equal doc_id and text) each is kept alike; rows of one doc_id with different texts are told
-    apart by a hash of the text, and a null doc_id counts as smaller than all others.
+    rows (equal doc_id and text) each is kept alike; rows of one doc_id, or without one, are told
+    apart by hashes of their texts, which order them too, and a null doc_id comes before all others.
+    An empty table gives an empty one. A text is held whole by the task that cuts it (2 GB at most).
     """
     return with_passages_removed(docs, [], length, gram, crowd)
 
 
 def with_passages_removed(docs: DataFrame, carried: list[str], length: int = LENGTH, gram: int = GRAM, crowd: int = CROWD) -> DataFrame:
-    """As remove_passages, with columns of docs carried along (under the names carried_0, carried_1, ...)."""
+    """As remove_passages, with columns of docs carried along (as carried_0, carried_1, ...) and rest: the text without the removed words and the blanks behind them, so that its lines stay."""
     lean(docs.sparkSession)
-    keyed = with_key(docs)
-    spans = gathered(later_spans(keyed, length, gram, crowd), "place", "n")
+    spans = gathered(later_spans(with_key(docs), length, gram, crowd), "place", "n")
     names = [f"carried_{k}" for k in range(len(carried))]
-    tagged = with_key(docs) if not carried else docs.select(*[docs[c].alias(n) for c, n in zip(carried, names, strict=True)], docs["doc_id"], docs["text"]).withColumns({"doc": F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)), "text": F.coalesce(F.col("text").cast("string"), F.lit(""))}).withColumn("tag", F.xxhash64("text").bitwiseAND(F.lit(anchors.TAG)))
+    header = [x.split()[0] for x in RESULT.split(", ")]
 
     def strip(batches):
         for b in slices(batches, 1, 1 << 18):
             data, offsets = column_bytes(b.column(1))
-            _, _, _, starts = words_of(data, offsets)
+            begin, _, starts = word_spans(data, offsets)
             out = []
-            for k, (doc, parts, text) in enumerate(zip(b.column(0).to_pylist(), b.column(2).to_pylist(), b.column(1), strict=True)):
+            for k, (doc, parts) in enumerate(zip(b.column(0).to_pylist(), b.column(2).to_pylist(), strict=True)):
                 n = int(starts[k + 1] - starts[k])
-                words = data[offsets[k] : offsets[k + 1]].tobytes().split()
+                text = data[offsets[k] : offsets[k + 1]]
+                words, rest = text.tobytes().split(), None
                 if parts:
                     gone = cover(parts, length, n)
                     words = [w for w, g in zip(words, gone.tolist(), strict=True) if not g]
+                    if names:
+                        edge = np.append(begin[starts[k] : starts[k + 1]] - offsets[k], len(text))
+                        gone = np.concatenate([np.zeros(edge[0], bool), np.repeat(gone, np.diff(edge))])
+                        rest = text[~gone].tobytes().decode()
                 kept = b" ".join(words)
-                out.append((None if doc == NO_ID else doc, n, n - len(words), hashlib.sha256(kept).hexdigest(), kept.decode()))
-            kinds = [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string()]
+                out.append((doc, n, n - len(words), hashlib.sha256(kept).hexdigest(), kept.decode(), rest))
+            kinds = [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string()]
             made = [pa.array(c, t) for c, t in zip(zip(*out, strict=True), kinds, strict=True)]
-            yield pa.record_batch(made + [b.column(k) for k in range(3, b.num_columns)], [x.split()[0] for x in RESULT.split(", ")] + names)
+            yield pa.record_batch((made if names else made[:5]) + [b.column(k) for k in range(3, b.num_columns)], header + (["rest", *names] if names else []))
 
-    rows = tagged.join(spans, ["doc", "tag"], "left").select("doc", "text", "parts", *names)
+    rows = with_key(docs, *carried).join(spans, KEY, "left").select("doc_id", "text", "parts", *names)
     more = "".join(f", {n} {docs.schema[c].dataType.simpleString()}" for n, c in zip(names, carried, strict=True))
-    return rows.mapInArrow(strip, RESULT + more)
+    return rows.mapInArrow(strip, RESULT + (", rest string" + more if names else ""))
 
 
 def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

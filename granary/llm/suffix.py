@@ -21,8 +21,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from granary.llm import anchors
-from granary.llm.anchors import NO_ID, SYMBOLS, TAG, TAG_BITS, column_bytes, gathered, spans_hash, with_key
-from granary.llm.common import as_long, lean, mix64, release, slices, table
+from granary.llm.anchors import KEY, MARK_BITS, OTHERS, SYMBOLS, byte_symbols, column_bytes, gathered, spans_hash, with_key
+from granary.llm.common import as_long, lean, release, slices, table
 
 LENGTH, GRAM, CROWD = 200, 64, 2048
 ROOM = 800_000  # bytes sorted at once are about so many at most; places and names must stay below 2^20
@@ -109,41 +109,37 @@ def runs(flags: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return edge[::2], edge[1::2]
 
 
-SPAN = "doc long, place long, n int"
+SPAN = "doc long, tag long, place long, n int"
 
 
-def _span_batch(doc, place, n):
-    return pa.record_batch([pa.array(np.asarray(doc, np.int64)), pa.array(np.asarray(place, np.int64)), pa.array(np.asarray(n, np.int32))], ["doc", "place", "n"])
+def span_batch(spans: list[tuple]) -> pa.RecordBatch:
+    """(doc, tag, place, n) tuples as a batch."""
+    doc, tag, place, n = zip(*spans, strict=True) if spans else ((),) * 4
+    return pa.record_batch([pa.array(doc, pa.int64()), pa.array(tag, pa.int64()), pa.array(place, pa.int64()), pa.array(n, pa.int32())], ["doc", "tag", "place", "n"])
 
 
 def sorted_groups(batches, length: int):
-    """Segments sorted by anchor (fp, doc, place, n, piece) -> repeated windows as (doc, place, n), each task in portions of ROOM bytes."""
+    """Segments sorted by anchor (fp, doc, tag, place, n, piece) -> repeated windows as (doc, tag, place, n), each task in portions of ROOM bytes."""
     held, size, last = [], 0, None
 
     def solve():
-        text = np.concatenate([np.frombuffer(x[3], np.uint8) for x in held])
-        lengths = np.array([len(x[3]) for x in held])
+        text = np.concatenate([np.frombuffer(x[4], np.uint8) for x in held])
+        lengths = np.array([len(x[4]) for x in held])
         begin = np.cumsum(lengths) - lengths
-        count = np.array([x[2] for x in held])
+        count = np.array([x[3] for x in held])
         places = np.repeat(begin, count) + np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
         flags = repeated_windows(text, places, length)
         first = np.cumsum(count) - count
-        docs, spots, ns = [], [], []
-        for k, (doc, place, n, _) in enumerate(held):
-            for a, b in zip(*runs(flags[first[k] : first[k] + n]), strict=True):
-                docs.append(doc)
-                spots.append(place + (int(a) << TAG_BITS))
-                ns.append(b - a)
-        return _span_batch(docs, spots, ns)
+        return span_batch([(doc, tag, place + (int(a) << MARK_BITS), int(b - a)) for k, (doc, tag, place, n, _) in enumerate(held) for a, b in zip(*runs(flags[first[k] : first[k] + n]), strict=True)])
 
     for b in batches:
-        for fp, doc, place, n, piece in zip(*(b.column(k).to_pylist() for k in range(5)), strict=True):
+        for fp, *one in zip(*(b.column(k).to_pylist() for k in range(6)), strict=True):
             if fp != last and size > ROOM // 2:
                 yield solve()
                 held, size = [], 0
             last = fp
-            held.append((doc, place, n, piece))
-            size += len(piece)
+            held.append(one)
+            size += len(one[4])
     if held:
         yield solve()
     held.clear()
@@ -151,42 +147,47 @@ def sorted_groups(batches, length: int):
 
 
 def repeated_spans(keyed: DataFrame, length: int, gram: int, crowd: int) -> DataFrame:
-    """(doc, place, n): runs of windows of this length that start anywhere else too."""
-    large, found, distinct = anchors.repeated_segments(keyed, lambda data, offsets: (SYMBOLS[data], offsets), length, gram)
-    whole = found.join(distinct.filter("c > 1").select("fp", "whole"), ["fp", "whole"], "left_semi").select("doc", "place", "n")
-    whole = whole.unionByName(large.select("doc", "place", "n"))
+    """(doc, tag, place, n): runs of windows of this length that start anywhere else too."""
+    local, large, found, distinct = anchors.repeated_segments(keyed, byte_symbols, length, gram)
+    whole = found.join(distinct.filter("c > 1").select("fp", "whole", "twin"), ["fp", "whole", "twin"], "left_semi")
+    # Rows that stand in the table more than once: each is repeated in the other.
+    twice = keyed.groupBy(*KEY).agg(F.count(F.lit(1)).alias("c"), F.first(F.octet_length("text")).alias("size")).filter((F.col("c") > 1) & (F.col("size") >= length))
+    twice = twice.select("doc", "tag", F.col("mark").alias("place"), (F.col("size") - length + 1).cast("int").alias("n"))
 
     wanted = gathered(distinct.filter("kinds > 1"), "fp", "place", "n", "kinds")
 
     def cut(batches):
-        for b in slices(batches, 1, 1 << 18):
+        for b in slices(batches, 2, 1 << 18):
             out = []
-            data, offsets = column_bytes(b.column(1))
-            for k, (doc, parts) in enumerate(zip(b.column(0).to_pylist(), b.column(2).to_pylist(), strict=True)):
+            data, offsets = column_bytes(b.column(2))
+            for k, (doc, tag, parts) in enumerate(zip(*(b.column(c).to_pylist() for c in (0, 1, 3)), strict=True)):
                 for p in parts:
-                    a = offsets[k] + (p["place"] >> TAG_BITS)
-                    out.append((p["fp"], doc, p["place"], p["n"], p["kinds"], data[a : a + p["n"] - 1 + length].tobytes()))
-            kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.binary()]
-            yield pa.record_batch([pa.array(c, t) for c, t in zip(zip(*out, strict=True) if out else [()] * 6, kinds, strict=True)], ["fp", "doc", "place", "n", "kinds", "piece"])
+                    a = offsets[k] + (p["place"] >> MARK_BITS)
+                    out.append((p["fp"], doc, tag, p["place"], p["n"], p["kinds"], data[a : a + p["n"] - 1 + length].tobytes()))
+            kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.binary()]
+            yield pa.record_batch([pa.array(c, t) for c, t in zip(zip(*out, strict=True) if out else [()] * 7, kinds, strict=True)], ["fp", "doc", "tag", "place", "n", "kinds", "piece"])
 
-    pieces = keyed.join(wanted, ["doc", "tag"]).select("doc", "text", "parts").mapInArrow(cut, "fp long, doc long, place long, n int, kinds long, piece binary")
-    few = pieces.filter(F.col("kinds") <= crowd).select("fp", "doc", "place", "n", "piece")
+    pieces = keyed.join(wanted, KEY).select("doc", "tag", "text", "parts").mapInArrow(cut, "fp long, doc long, tag long, place long, n int, kinds long, piece binary")
+    few = pieces.filter(F.col("kinds") <= crowd).select("fp", "doc", "tag", "place", "n", "piece")
     met = few.repartition("fp").sortWithinPartitions("fp").mapInArrow(lambda batches: sorted_groups(batches, length), SPAN)
 
     def single(batches):
-        for b in slices(batches, 3, 1 << 16):
-            data, offsets = column_bytes(b.column(3).cast(pa.large_binary()).view(pa.large_string()))
-            count = b.column(2).to_numpy().astype(np.int64)
+        for b in slices(batches, 4, 1 << 16):
+            data, offsets = column_bytes(b.column(4).cast(pa.large_binary()).view(pa.large_string()))
+            count = b.column(3).to_numpy().astype(np.int64)
             step = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
             at = np.repeat(offsets[:-1], count) + step
-            one = spans_hash(SYMBOLS[data], at, at + length)
-            two = spans_hash(mix64(SYMBOLS)[data], at, at + length)
-            yield pa.record_batch([pa.array(as_long(one)), pa.array(as_long(two)), pa.array(np.repeat(b.column(0).to_numpy(), count)), pa.array(np.repeat(b.column(1).to_numpy(), count) + (step << TAG_BITS))], ["one", "two", "doc", "place"])
+            made = [as_long(spans_hash(x[data], at, at + length)) for x in (SYMBOLS, OTHERS)]
+            own = [np.repeat(b.column(c).to_numpy(), count) for c in range(3)]
+            yield pa.record_batch([pa.array(x) for x in (*made, own[0], own[1], own[2] + (step << MARK_BITS))], ["one", "two", "doc", "tag", "place"])
 
-    windows = pieces.filter(F.col("kinds") > crowd).select("doc", "place", "n", "piece").mapInArrow(single, "one long, two long, doc long, place long")
+    windows = pieces.filter(F.col("kinds") > crowd).select("doc", "tag", "place", "n", "piece").mapInArrow(single, "one long, two long, doc long, tag long, place long")
     counted = windows.groupBy("one", "two").agg(F.count(F.lit(1)).alias("c")).filter("c > 1").select("one", "two")
-    crowded = windows.join(counted, ["one", "two"], "left_semi").select("doc", "place", F.lit(1).alias("n"))
-    return whole.unionByName(met).unionByName(crowded)
+    crowded = windows.join(counted, ["one", "two"], "left_semi").withColumn("n", F.lit(1))
+    out = twice
+    for more in (local, whole, large, met, crowded):
+        out = out.unionByName(more.select("doc", "tag", "place", "n"))
+    return out
 
 
 RESULT = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary"
@@ -196,7 +197,7 @@ def cover(parts: list[dict] | None, length: int, size: int) -> np.ndarray:
     """Which of ``size`` symbols are covered by the windows of runs (place, n)."""
     edge = np.zeros(size + 1, np.int32)
     if parts:
-        begin = np.array([p["place"] for p in parts], np.int64) >> TAG_BITS
+        begin = np.array([p["place"] for p in parts], np.int64) >> MARK_BITS
         n = np.array([p["n"] for p in parts], np.int64)
         np.add.at(edge, begin, 1)
         np.add.at(edge, begin + n - 1 + length, -1)
@@ -208,8 +209,10 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, crow
 
     A byte is removed if a string of ``length`` bytes over it also starts anywhere else, in any row.
     kept holds the remaining bytes, n_spans counts maximal removed runs. Null and empty texts have no
-    bytes; repeated rows lose all strings that are long enough, as each stands in the other; null
-    doc_ids are told apart by their texts.
+    bytes; repeated rows lose all strings that are long enough, as each stands in the other; rows of
+    one doc_id, or without one, are told apart by their texts. An empty table gives an empty one. A
+    text is held whole by the task that cuts it (2 GB at most); equal strings inside a text are
+    settled there, however many there are.
     """
     lean(docs.sparkSession)
     keyed = with_key(docs)
@@ -223,11 +226,11 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, crow
                 own = data[offsets[k] : offsets[k + 1]]
                 gone = cover(parts, length, len(own))
                 kept = own[~gone].tobytes()
-                out.append((None if doc == NO_ID else doc, len(own), int(gone.sum()), len(runs(gone)[0]), hashlib.sha256(kept).hexdigest(), kept))
+                out.append((doc, len(own), int(gone.sum()), len(runs(gone)[0]), hashlib.sha256(kept).hexdigest(), kept))
             kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.binary()]
             yield pa.record_batch([pa.array(c, t) for c, t in zip(zip(*out, strict=True), kinds, strict=True)], [x.split()[0] for x in RESULT.split(", ")])
 
-    return keyed.join(spans, ["doc", "tag"], "left").select("doc", "text", "parts").mapInArrow(strip, RESULT)
+    return keyed.join(spans, KEY, "left").select("doc_id", "text", "parts").mapInArrow(strip, RESULT)
 
 
 def op1_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

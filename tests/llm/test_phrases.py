@@ -66,5 +66,5 @@ def test_repeated_rows_and_equal_ids(spark):
 def test_portions_of_automata(monkeypatch):
     monkeypatch.setattr(phrases, "PHRASES", 3)
     text = " ".join(f"w{k}" for k in range(40))
-    got = phrases.located([(2, 0, 38, text), (1, 0, 38, text), (1, 50 << 24, 38, text)], 3)
-    assert [f.all() for _, _, f in got] == [True, False, True] and not got[1][2].any()
+    got = phrases.located([(2, 5, 0, 38, text), (1, 5, 0, 38, text), (1, 5, 50 << 32, 38, text), (1, 6, 0, 38, text)], 3)
+    assert [f.all() for f in got] == [True, False, True, True] and not got[1].any()
