@@ -10,8 +10,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from granary.llm.common import new_path, table
-from granary.llm.jaccard import join_documents
-from granary.llm.mixing import mix
+from granary.llm.jaccard import one_of_each
+from granary.llm.mixing import mixed
 from granary.llm.phrases import with_passages_removed
 from granary.llm.pieces import encode_documents
 from granary.llm.quality import keep_good
@@ -23,28 +23,24 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest doc_id of every group of near duplicates; repeated rows once."""
-    found = join_documents(docs)
-    kept = found.filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("__kept")).distinct()
-    return docs.join(kept, docs["doc_id"].eqNullSafe(kept["__kept"]), "left_semi").dropDuplicates(["doc_id", "text"])
+    """One document of every group of near duplicates (shingles of five words, similarity 0.8): that with the smallest doc_id; repeated rows once."""
+    return one_of_each(docs)
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Passages of 20 words or more that start earlier are cut; a document that loses nothing stays as it is."""
+    """Passages of 20 words or more that start earlier are cut, with the blanks behind their words; a document that loses nothing stays as it is."""
     found = with_passages_removed(docs, docs.columns)
     named = {c: F.col(f"carried_{k}") for k, c in enumerate(docs.columns)}
     cut = F.col("n_removed") > 0
-    named["text"] = F.when(cut, F.col("kept")).otherwise(named["text"])
+    named["text"] = F.when(cut, F.col("rest")).otherwise(named["text"])
     if "n_chars" in named:
-        named["n_chars"] = F.when(cut, F.length("kept").cast(docs.schema["n_chars"].dataType)).otherwise(named["n_chars"])
+        named["n_chars"] = F.when(cut, F.length("rest").cast(docs.schema["n_chars"].dataType)).otherwise(named["n_chars"])
     return found.select(*[v.alias(c) for c, v in named.items()])
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each document as often as the mix takes it."""
-    taken = mix(docs).filter("copies > 0").groupBy(F.col("doc_id").alias("__id")).agg(F.min("copies").cast("int").alias("__copies"))
-    rows = docs.join(taken, docs["doc_id"].eqNullSafe(taken["__id"]))
-    return rows.withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__copies")))).select(*docs.columns)
+    return mixed(docs)
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -9,6 +9,7 @@ import uuid
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -60,6 +61,23 @@ def staged(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def numbered(df: DataFrame, order, name: str, label: str) -> DataFrame:
+    """df with a column ``name`` that counts its rows from 0 in this order; a written table.
+
+    The sorted partitions are written with their own counts; the driver adds one offset for each partition.
+    """
+    rows = staged(df.orderBy(order).withColumn("__own", F.monotonically_increasing_id()), label)
+    counts = {r[0]: r[1] for r in rows.groupBy(F.shiftright("__own", 33)).count().collect()}
+    at, offsets = 0, []
+    for part in sorted(counts):
+        offsets.append((part, at))
+        at += counts[part]
+    offset = rows.sparkSession.createDataFrame(offsets, "__part long, __offset long")
+    low = F.col("__own").bitwiseAND(F.lit((1 << 33) - 1))
+    found = rows.join(F.broadcast(offset), F.shiftright("__own", 33) == F.col("__part"))
+    return found.withColumn(name, F.col("__offset") + low).drop("__own", "__part", "__offset")
+
+
 def mix64(x: np.ndarray) -> np.ndarray:
     """A 64-bit finaliser (xor-shift, multiply), elementwise on uint64."""
     x = x ^ (x >> np.uint64(31))

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from granary.llm.anchors import LOWER, NO_ID, column_bytes, grams, spans_hash, words_of
+from granary.llm.anchors import KEY, LOWER, column_bytes, grams, spans_hash, with_key, words_of
 from granary.llm.common import as_long, lean, mix64, slices, staged, table
 from granary.llm.components import components
 
@@ -86,10 +86,11 @@ def shingle_sets(column, width: int) -> list[np.ndarray]:
     return out
 
 
-def class_of(s: np.ndarray) -> int:
-    """A number that equal sets share; sums don't depend on order."""
+def class_of(s: np.ndarray, salt: int = 0) -> tuple[int, int]:
+    """Two numbers that equal sets share; sums don't depend on order. The first one depends on the salt, the second does not."""
     one, two = (mix64(x).sum(keepdims=True, dtype=np.uint64) for x in (s ^ U(0x2545F4914F6CDD1D), s + U(0x632BE59BD9B4E019)))
-    return int(as_long(mix64(one * U(0x9E3779B97F4A7C15) + two + U(len(s))))[0])
+    made = mix64(one * U(0x9E3779B97F4A7C15) + two + U(len(s)) + mix64(np.array([salt], np.uint64)))
+    return int(as_long(made)[0]), int(as_long(mix64(one ^ mix64(two)))[0])
 
 
 LANES = 8
@@ -102,36 +103,34 @@ def sketch_of(s: np.ndarray) -> np.ndarray:
     return np.packbits((np.bincount(at, minlength=64 * LANES) & 1).astype(np.uint8)).view(np.int64)
 
 
-def _keyed(docs: DataFrame) -> DataFrame:
-    return docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("doc"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-
-
-def class_rows(keyed: DataFrame, width: int) -> DataFrame:
-    """doc, n, class and sketch of every row."""
+def class_rows(keyed: DataFrame, width: int, salt: int) -> DataFrame:
+    """KEY, doc_id, n, class, twin and sketch of every row."""
+    names = ["doc", "tag", "mark", "doc_id", "n", "class", "twin", *(f"s{k}" for k in range(LANES))]
 
     def rows(batches):
-        for b in slices(batches, 1, 1 << 18):
-            sets = shingle_sets(b.column(1), width)
+        for b in slices(batches, 4, 1 << 18):
+            sets = shingle_sets(b.column(4), width)
             lanes = np.array([sketch_of(s) for s in sets]).reshape(-1, LANES).T
-            yield pa.record_batch([b.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array([class_of(s) for s in sets], pa.int64()), *[pa.array(np.ascontiguousarray(x)) for x in lanes]], ["doc", "n", "class", *(f"s{k}" for k in range(LANES))])
+            classes = np.array([class_of(s, salt) for s in sets], np.int64).reshape(-1, 2).T
+            yield pa.record_batch([*(b.column(k) for k in range(4)), pa.array([len(s) for s in sets], pa.int64()), *(pa.array(np.ascontiguousarray(x)) for x in (*classes, *lanes))], names)
 
-    return keyed.mapInArrow(rows, "doc long, n long, class long" + "".join(f", s{k} long" for k in range(LANES)))
+    return keyed.select(*KEY, "doc_id", "text").mapInArrow(rows, ", ".join(f"{x} long" for x in names))
 
 
 KEYS = "key long, class long, n int, spare int, band int"
 
 
-def key_rows(keyed: DataFrame, width: int, percent: int) -> DataFrame:
+def key_rows(keyed: DataFrame, width: int, percent: int, salt: int) -> DataFrame:
     """A row per key of every class; copies in one task are indexed once."""
 
     def rows(batches):
         seen, made = set(), {}
-        for b in slices(batches, 1, 1 << 18):
+        for b in slices(batches, 0, 1 << 18):
             out = []
-            for s in shingle_sets(b.column(1), width):
+            for s in shingle_sets(b.column(0), width):
                 if not len(s):
                     continue
-                c = class_of(s)
+                c = class_of(s, salt)[0]
                 if c in seen:
                     continue
                 if len(seen) >= SEEN:
@@ -145,20 +144,20 @@ def key_rows(keyed: DataFrame, width: int, percent: int) -> DataFrame:
                 rest = np.repeat(np.array([x for _, x in out]), count, axis=0)
                 yield pa.record_batch([pa.array(as_long(np.concatenate([k for k, _ in out]))), pa.array(np.ascontiguousarray(rest[:, 0])), *[pa.array(rest[:, k].astype(np.int32)) for k in (1, 2, 3)]], ["key", "class", "n", "spare", "band"])
 
-    return keyed.mapInArrow(rows, KEYS)
+    return keyed.select("text").mapInArrow(rows, KEYS)
 
 
-def verified(keyed: DataFrame, classes: DataFrame, pairs: DataFrame, width: int, percent: int) -> DataFrame:
+def verified(keyed: DataFrame, classes: DataFrame, pairs: DataFrame, width: int, percent: int, salt: int) -> DataFrame:
     """The pairs (a, b) of classes whose whole sets, made again from a text of each class, reach the similarity."""
     wanted = pairs.select(F.explode(F.array("a", "b")).alias("class")).distinct()
-    docs = classes.select("class", "doc").join(wanted, "class", "left_semi").select("doc").distinct()
+    docs = classes.select("class", *KEY).join(wanted, "class", "left_semi").select(*KEY)
 
     def sets(batches):
         for b in slices(batches, 0, 1 << 18):
             own = [s for s in shingle_sets(b.column(0), width) if len(s)]
-            yield pa.record_batch([pa.array([class_of(s) for s in own], pa.int64()), pa.array([s.tobytes() for s in own], pa.binary())], ["class", "shingles"])
+            yield pa.record_batch([pa.array([class_of(s, salt)[0] for s in own], pa.int64()), pa.array([s.tobytes() for s in own], pa.binary())], ["class", "shingles"])
 
-    made = keyed.join(docs, "doc", "left_semi").select("text").mapInArrow(sets, "class long, shingles binary")
+    made = keyed.join(docs, KEY, "left_semi").select("text").mapInArrow(sets, "class long, shingles binary")
     made = staged(made.join(wanted, "class", "left_semi").dropDuplicates(["class"]), "shingle-sets")
 
     def rows(batches):
@@ -181,9 +180,9 @@ def near(percent: int):
     return sizes & (apart * (100 + percent) <= (F.col("n") + F.col("m")) * (100 - percent))
 
 
-def class_links(keyed: DataFrame, classes: DataFrame, width: int, percent: int) -> DataFrame:
-    """(class, component) of all classes that are linked to another one. classes: class, doc, n and sketch, a row per class."""
-    keys = key_rows(keyed, width, percent)
+def class_links(keyed: DataFrame, classes: DataFrame, width: int, percent: int, salt: int) -> DataFrame:
+    """(class, component) of all classes that are linked to another one. classes: class, KEY of a row, n and sketch, a row per class."""
+    keys = key_rows(keyed, width, percent, salt)
     again = keys.groupBy("key").agg(F.min("class").alias("lo"), F.max("class").alias("hi"), F.count(F.lit(1)).alias("c")).filter("lo <> hi").select("key", "c", F.col("lo").alias("pivot"))
     again = staged(again, "repeated-keys")
     shared = keys.join(again, "key").select("key", "class", "spare", "band", "c", "pivot").distinct()
@@ -201,7 +200,7 @@ def class_links(keyed: DataFrame, classes: DataFrame, width: int, percent: int)
     star = staged(star.withColumn("best", F.row_number().over(Window.partitionBy("class").orderBy(F.col("c").desc(), "other")) == 1), "stars")
 
     def check(pairs: DataFrame) -> DataFrame:
-        return staged(verified(keyed, classes, pairs, width, percent), "links")
+        return staged(verified(keyed, classes, pairs, width, percent, salt), "links")
 
     def label(df: DataFrame, name: str, to: str) -> DataFrame:
         own = found.select(F.col("id").alias(name), F.col("component").alias("__c"))
@@ -238,30 +237,57 @@ def class_links(keyed: DataFrame, classes: DataFrame, width: int, percent: int)
     return found.select(F.col("id").alias("class"), "component")
 
 
-def join_documents(docs: DataFrame, width: int = 4, percent: int = 85) -> DataFrame:
+def grouped(docs: DataFrame, width: int, percent: int) -> DataFrame:
+    """KEY, doc_id, n and component (a class; null without shingles) of every row of docs; a written table.
+
+    Classes are numbers of 64 bits, held against a second one: if two different sets had one number,
+    all would be numbered anew with the next salt.
+    """
+    keyed = with_key(docs)
+    lanes = [F.first(f"s{k}").alias(f"s{k}") for k in range(LANES)]
+    for salt in range(1 << 16):
+        info = staged(class_rows(keyed, width, salt), "classes")
+        classes = info.filter("n > 0").groupBy("class").agg(F.min(F.struct(*KEY)).alias("one"), F.first("n").alias("n"), F.min("twin").alias("lo"), F.max("twin").alias("hi"), *lanes)
+        classes = staged(classes.select("class", "one.*", "n", "lo", "hi", *(f"s{k}" for k in range(LANES))), "distinct-classes")
+        if classes.filter("lo <> hi").isEmpty():
+            break
+    found = class_links(keyed, classes, width, percent, salt)
+    out = info.select(*KEY, "doc_id", "n", "class").join(found, "class", "left")
+    return staged(out.select(*KEY, "doc_id", "n", F.when(F.col("n") > 0, F.coalesce("component", "class")).alias("component")), "groups")
+
+
+def join_documents(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
     """doc_id, n_shingles, component_id of every row of docs (doc_id, text; other columns are ignored).
 
     Linked are texts whose shingle sets have an intersection of at least ``percent`` hundredths of their
     union. Null, empty and blank texts have no shingles and are their own components; repeated rows
-    have equal results; a null doc_id counts as smaller than all others and is given back as null.
+    have equal results; a null doc_id counts as smaller than all others and is given back as null. An
+    empty table gives an empty one. A text is held whole by the task that cuts its shingles (2 GB at most).
     """
     lean(docs.sparkSession)
-    keyed = _keyed(docs)
-    info = staged(class_rows(keyed, width), "classes")
-    lanes = [F.first(f"s{k}").alias(f"s{k}") for k in range(LANES)]
-    classes = staged(info.filter("n > 0").groupBy("class").agg(F.min("doc").alias("doc"), F.first("n").alias("n"), *lanes), "distinct-classes")
-    found = class_links(keyed, classes, width, percent)
-    named = classes.select("class", "doc").join(found, "class", "left").withColumn("component", F.coalesce("component", "class"))
-    low = named.groupBy("component").agg(F.min("doc").alias("low"))
-    named = named.join(low, "component").select("class", "low")
-    out = info.join(named, "class", "left")
-    low = F.when(F.col("n") > 0, F.col("low")).otherwise(F.col("doc"))
-    back = lambda c: F.when(c != NO_ID, c)
-    return out.select(back(F.col("doc")).alias("doc_id"), F.col("n").alias("n_shingles"), back(low).alias("component_id"))
+    rows = grouped(docs, width, percent)
+    low = rows.filter("n > 0").groupBy("component").agg(F.when(F.max(F.col("doc_id").isNull()), F.lit(None)).otherwise(F.min("doc_id")).alias("low"))
+    low_id = F.when(F.col("n") > 0, F.col("low")).otherwise(F.col("doc_id"))
+    return rows.join(low, "component", "left").select("doc_id", F.col("n").alias("n_shingles"), low_id.alias("component_id"))
+
+
+def one_of_each(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
+    """Of every group of linked rows of docs the one with the smallest doc_id (ids go before none), all columns.
+
+    Rows of one doc_id are ordered by hashes of their texts; of rows equal in doc_id and text one
+    stays. Rows without words are linked with nothing.
+    """
+    lean(docs.sparkSession)
+    rows = grouped(docs, width, percent)
+    best = rows.filter("n > 0").groupBy("component").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), *KEY)).alias("best"))
+    kept = best.select(*[F.col(f"best.{c}") for c in KEY]).unionByName(rows.filter("n = 0").select(*KEY).distinct())
+    carried = [f"carried_{k}" for k in range(len(docs.columns))]
+    found = with_key(docs, *docs.columns).dropDuplicates(KEY).join(kept, KEY, "left_semi")
+    return found.select(*[F.col(n).alias(c) for n, c in zip(carried, docs.columns, strict=True)])
 
 
 def op6_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return join_documents(table(spark, sf_dir, "documents"))
+    return join_documents(table(spark, sf_dir, "documents"), width=4, percent=85)
 
 
 SQL = r"""

@@ -18,8 +18,8 @@ def sets_of(text, width=4):
     return frozenset(tuple(ws[k : k + width]) for k in range(len(ws) - width + 1))
 
 
-def brute(rows, percent=85):
-    own = [sets_of(t) for _, t in rows]
+def brute(rows, percent=85, width=4):
+    own = [sets_of(t, width) for _, t in rows]
     root = list(range(len(rows)))
 
     def find(k):
@@ -56,12 +56,12 @@ def corpus(seed, groups=25, most=12):
     return [(k if k != 5 else None, t) for k, t in enumerate(rows)]
 
 
-@pytest.mark.parametrize("seed", [1, 2, 3])
-def test_against_brute_force(spark, seed):
+@pytest.mark.parametrize(("seed", "width", "percent"), [(1, 4, 85), (2, 5, 80), (3, 4, 85)])
+def test_against_brute_force(spark, seed, width, percent):
     rows = corpus(seed)
     docs = spark.createDataFrame([(d, t, 7) for d, t in rows], "doc_id long, text string, component_id int")
-    got = Counter((r.doc_id, r.n_shingles, r.component_id) for r in jaccard.join_documents(docs).collect())
-    assert got == brute(rows)
+    got = Counter((r.doc_id, r.n_shingles, r.component_id) for r in jaccard.join_documents(docs, width, percent).collect())
+    assert got == brute(rows, percent, width)
 
 
 def test_schemes_meet_every_similar_set():
@@ -87,11 +87,30 @@ def test_schemes_meet_every_similar_set():
 def test_repeated_and_missing_rows(spark):
     text = "the quick brown fox jumps over the lazy dog again and again"
     docs = spark.createDataFrame([(3, text), (3, text), (9, text), (4, None), (4, None), (8, "")], "doc_id long, text string")
-    got = Counter((r.doc_id, r.n_shingles, r.component_id) for r in jaccard.join_documents(docs).collect())
+    got = Counter((r.doc_id, r.n_shingles, r.component_id) for r in jaccard.join_documents(docs, 4, 85).collect())
     assert got == Counter([(3, 9, 3), (3, 9, 3), (9, 9, 3), (4, 0, 4), (4, 0, 4), (8, 0, 8)])
     assert jaccard.join_documents(docs.limit(0)).count() == 0
 
 
+def test_one_of_each_group(spark):
+    words = [f"w{k}" for k in range(60)]
+    text, near, other = " ".join(words), " ".join([*words[:59], "z"]), "another text of a few words only"
+    rows = [(None, text), (None, near), (7, text), (5, near), (5, near), (None, other), (None, other), (2, None), (2, None), (None, ""), (-(2**63), "a b c d e f"), (9, "A b c d e f")]
+    docs = spark.createDataFrame([(d, t, "x", 1) for d, t in rows], "doc_id long, text string, tag string, doc int")
+    got = jaccard.one_of_each(docs)
+    assert got.schema == docs.schema
+    assert Counter((r.doc_id, r.text) for r in got.collect()) == Counter([(5, near), (None, other), (2, None), (None, ""), (-(2**63), "a b c d e f")])
+
+
+def test_classes_of_one_number(spark, monkeypatch):
+    """Unlike sets whose first number is the same are told apart by the second, with another salt."""
+    whole = jaccard.class_of
+    monkeypatch.setattr(jaccard, "class_of", lambda s, salt=0: (whole(s, salt)[0] if salt else 1, whole(s)[1]))
+    rows = [(1, "a b c d e f g"), (2, "t u v w x y z"), (3, "a b c d e f g")]
+    got = jaccard.join_documents(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert sorted((r.doc_id, r.component_id) for r in got.collect()) == [(1, 1), (2, 2), (3, 1)]
+
+
 def test_components_of_paths_and_stars(spark):
     rng = random.Random(1)
     edges = [(k, k + 1) for k in range(60)] + [(1000, k) for k in range(900, 1000)] + [(5000, 5000), (7001, 7000)]

@@ -28,7 +28,7 @@ def test_stages_against_brute_force(spark, tmp_path):
     rows = [(r.doc_id, r.text) for r in good.collect()]
     one = step("near_duplicates", good)
     assert one.schema == docs.schema
-    assert {r.doc_id for r in one.collect()} == {d for (d, _, c), n in groups(rows).items() if d == c}
+    assert {r.doc_id for r in one.collect()} == {d for (d, _, c), n in groups(rows, 80, 5).items() if d == c}
 
     cut = step("repeated_passages", one)
     assert cut.schema == docs.schema
