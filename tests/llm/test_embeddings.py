@@ -71,3 +71,13 @@ def test_chance_of_a_shared_cell():
     rng = np.random.default_rng(3)
     gap, shift = rng.normal(size=200_000) * 0.2, rng.random(200_000) * 1.5
     assert abs((np.floor(shift / 1.5) == np.floor((shift + gap) / 1.5)).mean() - embeddings.cell_chance(1.5, 0.2)) < 0.005
+
+
+def test_a_large_group(spark):
+    """Of a bucket that holds nearly all vectors every link is counted, block by block."""
+    rng = np.random.default_rng(4)
+    centre = rng.normal(size=8)
+    rows = [(k - 2**63 if k == 0 else k, (centre + rng.normal(size=8) * 0.02).tolist(), 3) for k in range(700)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")
+    got = Counter((r.vec_id, r.n_links, r.component_id, r.kept) for r in embeddings.near_copies(df, recall=1 - 1e-9, block=64).collect())
+    assert got == brute(rows)
