@@ -1,9 +1,14 @@
 """SentencePiece BPE with seeded merge-dropout.
 
 Words are merged from an agenda of candidate merges, best score first, as the model's own encoder
-does; a candidate that comes up is skipped when a keyed hash of seed, variant, word, place and piece
-falls below the dropout rate. A document belongs to one of ``variants`` variants, by a hash of its
-doc_id, so that words are segmented in as many ways and segmentations can be kept between documents.
+does; a candidate that comes up is skipped when a keyed hash of seed, doc_id, text, number of the word
+in the text, place and piece falls below the dropout rate. So a word is segmented anew wherever it stands.
+
+What does not depend on the key is kept: the course that the agenda takes after each skip that has
+been met, as a tree for every word. A node holds the candidates that come up from there on if none
+is skipped, and the ids in the end. Many words go down their trees in step: one pass tests all
+candidates of all words, the next one only those of words that have skipped one, from the node behind it.
+
 Decoding gives back every text exactly: unknown characters, and the space mark itself where a text
 holds it, are coded as bytes.
 """
@@ -14,6 +19,7 @@ import hashlib
 import re
 import struct
 from heapq import heapify, heappop, heappush
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -25,9 +31,12 @@ from granary.llm.common import lean, mix64, release, slices, table
 
 MARK = "▁"
 CHUNK = re.compile(f"{MARK}*[^{MARK}]+|{MARK}+")
-LARGEST_CACHE = 300_000
-#: Longer words are merged one by one and not kept between documents.
+#: Nodes of trees that are kept, at most.
+LARGEST_CACHE = 600_000
+#: Longer words, and those that skip a later candidate than this, are merged one by one.
 LONGEST_KEPT = 48
+STEPS = 63
+ODD = 0x9E3779B97F4A7C15
 WORDS_AT_ONCE = 8192
 NONE = np.int32(2**31 - 1)
 EMPTY = np.iinfo(np.int64).min
@@ -98,11 +107,12 @@ class Pieces:
                 self.byte[int(p[1:-1], 16)] = k
         if len(self.byte) != 256:
             raise ValueError("the model has no byte fallback")
+        self.of_byte = np.array([self.byte[b] for b in range(256)], np.int32)
         self._pairs()
         self.whole = any(re.search(f"[^{MARK}]{MARK}", p) for p in self.normal)  # else no merge crosses a word
         self.values = {k: b for b, k in self.byte.items()}
-        self.shown: list[bytes] | None = None
-        self.kept: dict[int | None, dict[str, tuple[int, ...]]] = {}
+        self.shown: tuple[np.ndarray, ...] | None = None
+        self.trees = Trees()
 
     def _pairs(self) -> None:
         """A hash table from two symbols (pieces, or characters that are none) to the piece they make, and ranks of the pieces by score."""
@@ -156,40 +166,39 @@ class Pieces:
             todo = todo[~hit & (found != EMPTY)]
         return out
 
-    def _word_key(self, word: str, variant: int) -> int:
-        return xxhash.xxh64_intdigest(word.encode("utf-8", "surrogatepass"), (self.seed << 32) + variant)
+    def merge_many(self, words: list[str], skips: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """For words and, as bits of a number, the candidates they skip by their turn: all ids, how many each has, all candidates in turn (place and piece), how many each has.
 
-    def merge_many(self, words: list[tuple[str, int | None]]) -> list[tuple[int, ...]]:
-        """As merge, for many words in step: in each round the best candidate of every word comes up."""
-        out: list = [None] * len(words)
-        order = sorted(range(len(words)), key=lambda k: len(words[k][0]))
-        for begin in range(0, len(order), WORDS_AT_ONCE):
-            part = order[begin : begin + WORDS_AT_ONCE]
-            texts = [words[k][0] for k in part]
+        Shorter words come first in the results; words must be sorted by length.
+        """
+        found = []
+        for begin in range(0, len(words), WORDS_AT_ONCE):
+            texts = words[begin : begin + WORDS_AT_ONCE]
             size = np.array([len(t) for t in texts])
             # A row per word, with a place before and one behind; all places in one dimension.
-            rows, width = len(part), int(size.max()) + 2
+            rows, width = len(texts), int(size.max()) + 2
             inside = (np.arange(width) >= 1) & (np.arange(width) <= size[:, None])
-            flat = "".join(texts)
-            own = {c: self.symbol.get(c, -1) for c in set(flat)}
+            codes, place = np.unique(np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), np.uint32), return_inverse=True)
             sym = np.full(rows * width, -1, np.int32)
-            sym[inside.reshape(-1)] = [own[c] for c in flat]
-            free = np.array([words[k][1] is None for k in part])
-            key = np.array([0 if v is None else self._word_key(w, v) for w, v in (words[k] for k in part)], np.uint64)
+            sym[inside.reshape(-1)] = np.array([self.symbol.get(chr(c), -1) for c in codes.tolist()], np.int32)[place]
+            char = np.zeros(rows * width, np.uint32)
+            char[inside.reshape(-1)] = codes[place]
+            skip = skips[begin : begin + WORDS_AT_ONCE]
             piece = np.full(rows * width, -1, np.int32)  # of a place and the next one
             piece[:-1] = self._joined(sym[:-1], sym[1:])
             rank = np.where(piece >= 0, self.rank[piece], NONE)
             after, before = np.arange(1, rows * width + 1), np.arange(-1, rows * width - 1)
-            alive, best = np.arange(rows), rank.reshape(rows, width)
+            alive, best, turn, came = np.arange(rows), rank.reshape(rows, width), 0, []
             while len(alive):
                 a = best[alive].argmin(axis=1)
                 i = alive * width + a
                 more = rank[i] != NONE
                 alive, a, i = alive[more], a[more], i[more]
                 p = piece[i]
-                h = key[alive] ^ (((a.astype(np.uint64) - U(1)) << U(32)) | p.astype(np.uint64)) * U(0x9E3779B97F4A7C15)
+                came.append((alive, ((a.astype(np.uint64) - U(1)) << U(32)) | p.astype(np.uint64)))
                 rank[i] = NONE
-                go = free[alive] | ((mix64(h) >> U(32)) >= U(self.rate))
+                go = ((skip[alive] >> U(turn)) & U(1)) == 0 if turn <= STEPS else np.ones(len(alive), bool)
+                turn += 1
                 i, p = i[go], p[go]
                 b = after[i]
                 c, z = after[b], before[i]
@@ -197,28 +206,32 @@ class Pieces:
                 made = self._joined(np.concatenate([p, sym[z]]), np.concatenate([sym[c], p]))
                 at = np.concatenate([i, z])
                 piece[at], rank[at] = made, np.where(made >= 0, self.rank[made], NONE)
-            sym = sym.reshape(rows, width)
-            kept = inside & (sym != -2)
-            other = ((sym < 0) | (sym >= len(self.pieces))) & kept  # single characters that are no pieces
-            simple = ~other.any(axis=1)
-            ids, ends = sym[kept].tolist(), np.cumsum(kept.sum(axis=1)).tolist()
-            at = 0
-            for r, (k, end, ok, text) in enumerate(zip(part, ends, simple.tolist(), texts, strict=True)):
-                if ok:
-                    out[k] = tuple(ids[at:end])
-                else:
-                    mixed = []
-                    for j, i, odd in zip(np.flatnonzero(kept[r]).tolist(), ids[at:end], other[r][kept[r]].tolist(), strict=True):
-                        mixed += self._bytes(text[j - 1]) if odd else [i]
-                    out[k] = tuple(mixed)
-                at = end
-        return out
+            row = np.concatenate([x for x, _ in came])
+            candidates = np.concatenate([x for _, x in came])[np.argsort(row, kind="stable")]
+            kept = np.flatnonzero(inside.reshape(-1) & (sym != -2))
+            ids, own = sym[kept], kept // width
+            other = np.flatnonzero((ids < 0) | (ids >= len(self.pieces)))
+            if len(other):  # single characters that are no pieces, in UTF-8
+                c = char[kept[other]]
+                n = 1 + (c >= 0x80).astype(np.int64) + (c >= 0x800) + (c >= 0x10000)
+                times = np.ones(len(ids), np.int64)
+                times[other] = n
+                step = ragged(np.zeros(len(n), np.int64), n)
+                c, n = np.repeat(c, n), np.repeat(n, n)
+                head = np.array([0, 0, 0xC0, 0xE0, 0xF0])[n]
+                byte = ((c >> (6 * (n - 1 - step)).astype(np.uint32)) & np.where((step == 0) & (n == 1), 0x7F, 0x3F)) | np.where(step == 0, head, 0x80)
+                marked = np.zeros(len(ids), bool)
+                marked[other] = True
+                ids, own, marked = np.repeat(ids, times), np.repeat(own, times), np.repeat(marked, times)
+                ids[marked] = self.of_byte[byte]
+            found.append((ids, np.bincount(own, minlength=rows), candidates, np.bincount(row, minlength=rows)))
+        return tuple(np.concatenate(x) for x in zip(*found, strict=True))
 
     def _bytes(self, text: str) -> list[int]:
         return [self.byte[b] for b in text.encode("utf-8", "surrogatepass")]
 
-    def merge(self, word: str, variant: int | None) -> tuple[int, ...]:
-        """ids of a word; variant None: without dropout."""
+    def merge(self, word: str, key: int | None) -> tuple[int, ...]:
+        """ids of a word that stands where key says; key None: without dropout."""
         whole = self.normal.get(word)
         part = list(word)
         normal, scores = self.normal, self.scores
@@ -233,14 +246,12 @@ class Pieces:
             if p is not None:
                 agenda.append((-scores[p], k, k + 1, p))
         heapify(agenda)
-        if variant is not None:
-            key, rate = self._word_key(word, variant), self.rate
         while agenda:
             _, a, b, p = heappop(agenda)
             left, right = part[a], part[b] if b < n else None
             if left is None or right is None or after[a] != b or normal.get(left + right) != p:
                 continue
-            if variant is not None and _mixed(key ^ (a << 32 | p) * 0x9E3779B97F4A7C15 & 2**64 - 1) >> 32 < rate:
+            if key is not None and _mixed(key ^ (a << 32 | p) * ODD & 2**64 - 1) >> 32 < self.rate:
                 continue
             part[a] = left + right
             part[b] = None
@@ -266,78 +277,178 @@ class Pieces:
                     out.append(p)
         return tuple(out)
 
-    def encode(self, text: str, variant: int | None = None) -> list[int]:
-        """ids of a text; the empty text has none. A leading space mark is added, as the model does."""
+    def words(self, text: str) -> list[str | None]:
+        """The words of a text, each with the marks before it; None stands for a mark that is in the text. A leading mark is added, as the model does."""
         if not text:
             return []
-        if MARK in text:
-            out: list[int] = []
-            for k, x in enumerate(text.split(MARK)):
-                out += self._bytes(MARK) if k else []
-                out += self._words((" " if not k else "") + x, variant)
-            return out
-        return self._words(" " + text, variant)
-
-    def _words(self, text: str, variant: int | None) -> list[int]:
-        text = text.replace(" ", MARK)
-        return self._merged([text] if self.whole else CHUNK.findall(text), variant)
-
-    def _merged(self, words: list[str], variant: int | None) -> list[int]:
+        cut = (lambda x: [x] if x else []) if self.whole else CHUNK.findall
+        first, *rest = text.split(MARK)
+        out: list[str | None] = cut(MARK + first.replace(" ", MARK))
+        for x in rest:
+            out.append(None)
+            out += cut(x.replace(" ", MARK))
+        return out
+
+    def encode(self, text: str, key: int | None = None) -> list[int]:
+        """ids of a text, word by word; the empty text has none. key: of the text, None: without dropout."""
         out: list[int] = []
-        kept = self.kept.setdefault(variant, {})
-        for w in words:
-            ids = kept.get(w)
-            if ids is None:
-                ids = self.merge(w, variant)
-                if len(w) <= LONGEST_KEPT:
-                    kept[w] = ids
-            out += ids
+        for k, w in enumerate(self.words(text)):
+            out += self._bytes(MARK) if w is None else self.merge(w, None if key is None else _mixed(key + (k + 1) * ODD & 2**64 - 1))
         return out
 
-    def encode_many(self, texts: list[str], variants: list[int | None]) -> list[list[int]]:
-        """As encode, for many texts; words that are not kept yet are merged together."""
-        if sum(map(len, self.kept.values())) > LARGEST_CACHE:
-            self.kept.clear()
-        chunks: list[list[str] | None] = [None if self.whole or not t or MARK in t else CHUNK.findall(MARK + t.replace(" ", MARK)) for t in texts]
-        new: list[tuple[str, int | None]] = []
-        for v in set(variants):
-            own = set().union(*(ws for ws, u in zip(chunks, variants, strict=True) if u == v and ws is not None))
-            new += [(w, v) for w in own.difference(self.kept.setdefault(v, {})) if 1 < len(w) <= LONGEST_KEPT]
-        for (w, v), ids in zip(new, self.merge_many(new), strict=True):
-            self.kept[v][w] = ids
-        return [self.encode(t, v) if ws is None else self._merged(ws, v) for t, v, ws in zip(texts, variants, chunks, strict=True)]
+    def encode_many(self, texts: list[str], keys: list[int] | None) -> tuple[np.ndarray, np.ndarray]:
+        """As encode, for many texts: the ids one after the other, and where each text's begin (and the last one's end)."""
+        trees = self.trees
+        if trees.n > LARGEST_CACHE:
+            trees = self.trees = Trees()
+        words: list[str | None] = []
+        counts = []
+        for t in texts:
+            own = self.words(t)
+            words += own
+            counts.append(len(own))
+        new = set(words).difference(trees.root)
+        if None in new:
+            mark = np.array(self._bytes(MARK), np.int32)
+            trees.root[None] = trees.add(mark, np.array([len(mark)]), np.zeros(0, U), np.zeros(1, np.int64), np.zeros(1, np.int64), np.zeros(1, U))
+        new = sorted((w for w in new if w is not None and len(w) <= LONGEST_KEPT), key=len)
+        if new:
+            none = np.zeros(len(new), U)
+            first = trees.add(*self.merge_many(new, none), none.astype(np.int64), none)
+            trees.root.update(zip(new, range(first, first + len(new)), strict=True))
+        node = np.array(list(map(trees.root.get, words, repeat(-1))), np.int64)
+        counts = np.array(counts, np.int64)
+        begin = np.cumsum(counts) - counts
+        key = None
+        if keys is not None:
+            number = np.arange(len(words), dtype=np.uint64) - np.repeat(begin, counts).astype(np.uint64)
+            key = mix64(np.repeat(np.array(keys, np.uint64), counts) + (number + U(1)) * U(ODD))
+            self._walk(words, node, key)
+        alone = np.flatnonzero(node < 0)
+        single = [np.array(self.merge(words[k], None if key is None else int(key[k])), np.int32) for k in alone.tolist()]
+        ids, low, n = np.concatenate([trees.ids[: trees.ids_end], *single]), trees.low[node], trees.size[node]
+        n[alone] = [len(x) for x in single]
+        low[alone] = trees.ids_end + np.cumsum(n[alone]) - n[alone]
+        ends = np.concatenate([[0], np.cumsum(n)])
+        return ids[ragged(low, n)], ends[np.append(begin, len(words))]
+
+    def _walk(self, words: list[str | None], node: np.ndarray, key: np.ndarray) -> None:
+        """Move every word (node) to the node where it skips nothing more; -1 if no node can say so."""
+        trees = self.trees
+        at = np.flatnonzero(node >= 0)
+        while len(at):
+            n = trees.turns[node[at]]
+            place = ragged(trees.turn[node[at]], n)
+            skip = np.flatnonzero((mix64(np.repeat(key[at], n) ^ trees.candidates[place]) >> U(32)) < U(self.rate))
+            owner = np.repeat(np.arange(len(at)), n)[skip]
+            first = np.ones(len(owner), bool)
+            first[1:] = owner[1:] != owner[:-1]
+            skip, owner = skip[first], owner[first]
+            at, before = at[owner], node[at[owner]]
+            turn = trees.past[before] + place[skip] - trees.turn[before]
+            late = turn >= STEPS
+            node[at[late]] = -1
+            at, before, turn = at[~late], before[~late], turn[~late]
+            step, inverse = np.unique(before * 64 + turn, return_inverse=True)
+            found = np.array([trees.child.get(x, -1) for x in step.tolist()], np.int64)
+            missing = np.flatnonzero(found < 0)
+            if len(missing):
+                one = [words[k] for k in at[np.unique(inverse, return_index=True)[1][missing]].tolist()]
+                order = sorted(range(len(one)), key=lambda k: len(one[k]))
+                missing = missing[order]
+                past = step[missing] & 63
+                masks = trees.mask[step[missing] >> 6] | (U(1) << past.astype(U))
+                first = trees.add(*self.merge_many([one[k] for k in order], masks), past + 1, masks)
+                found[missing] = np.arange(first, first + len(missing))
+                trees.child.update(zip(step[missing].tolist(), range(first, first + len(missing)), strict=True))
+            node[at] = found[inverse]
 
     def decode(self, ids: list[int]) -> str:
-        if self.shown is None:
-            self.shown = [bytes([self.values[k]]) if k in self.values else p.replace(MARK, " ").encode() for k, p in enumerate(self.pieces)]
-        shown = self.shown
-        return b"".join([shown[k] for k in ids])[1:].decode("utf-8", "surrogatepass")
-
-
-RESULT = "doc_id long, n_bytes long, variant int, n_tokens long, ids array<int>, ids_sha256 string, lossless boolean"
+        data, _ = self.decode_many(np.array(ids, np.int64), np.array([0, len(ids)]))
+        return data[1:].decode("utf-8", "surrogatepass")
 
-
-def encode_documents(docs: DataFrame, model: str | None = None, seed: int = 0, rate: float = 0.1, variants: int = 4) -> DataFrame:
+    def decode_many(self, ids: np.ndarray, begin: np.ndarray) -> tuple[bytes, np.ndarray]:
+        """The bytes of texts, each with one mark before it, and where they begin (and the last one ends). begin: where the ids of each begin."""
+        if self.shown is None:
+            shown = [bytes([self.values[k]]) if k in self.values else p.replace(MARK, " ").encode() for k, p in enumerate(self.pieces)]
+            size = np.array([len(x) for x in shown])
+            self.shown = np.frombuffer(b"".join(shown), np.uint8), np.cumsum(size) - size, size
+        data, low, size = self.shown
+        n = size[ids]
+        return data[ragged(low[ids], n)].tobytes(), np.concatenate([[0], np.cumsum(n)])[begin]
+
+
+def ragged(low: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """low, low + 1, ... n times each, one after the other."""
+    out = np.repeat(low - (np.cumsum(n) - n), n)
+    return out + np.arange(len(out))
+
+
+class Trees:
+    """Nodes: ids from low on (size), candidates from turn on (turns), how many came up before, skipped ones as bits, children by node and turn."""
+
+    NODE = ("low", "size", "turn", "turns", "past", "mask")
+
+    def __init__(self):
+        self.n = self.ids_end = self.candidates_end = 0
+        for name in self.NODE:
+            setattr(self, name, np.zeros(1 << 12, U if name == "mask" else np.int64))
+        self.ids, self.candidates = np.zeros(1 << 14, np.int32), np.zeros(1 << 14, U)
+        self.root: dict[str | None, int] = {}
+        self.child: dict[int, int] = {}
+
+    def _put(self, name: str, at: int, values: np.ndarray) -> None:
+        kept = getattr(self, name)
+        if at + len(values) > len(kept):
+            kept = np.concatenate([kept, np.zeros(max(len(kept), len(values)), kept.dtype)])
+            setattr(self, name, kept)
+        kept[at : at + len(values)] = values
+
+    def add(self, ids: np.ndarray, n: np.ndarray, candidates: np.ndarray, turns: np.ndarray, past: np.ndarray, mask: np.ndarray) -> int:
+        """New nodes, and the number of the first one; of each one's candidates those after the first ``past`` are kept."""
+        left = turns - past
+        candidates = candidates[ragged(np.cumsum(turns) - left, left)] * U(ODD)
+        made = (self.ids_end + np.cumsum(n) - n, n, self.candidates_end + np.cumsum(left) - left, left, past, mask)
+        for name, values in zip(self.NODE, made, strict=True):
+            self._put(name, self.n, values)
+        self._put("ids", self.ids_end, ids)
+        self._put("candidates", self.candidates_end, candidates)
+        first, self.n = self.n, self.n + len(n)
+        self.ids_end, self.candidates_end = self.ids_end + len(ids), self.candidates_end + len(candidates)
+        return first
+
+
+RESULT = "doc_id long, n_bytes long, n_tokens long, ids array<int>, ids_sha256 string, lossless boolean"
+
+
+def encode_documents(docs: DataFrame, model: str | None = None, seed: int = 0, rate: float = 0.1) -> DataFrame:
     """ids of every row of docs (doc_id, text; other columns are ignored), checked by decoding.
 
-    Null and empty texts have no ids (and are lossless); repeated rows get equal ids; a null doc_id is
-    of variant 0. The model file is read by the driver and sent to the tasks.
+    Null and empty texts have no ids (and are lossless); rows that are equal in doc_id and text get
+    equal ids, all others are cut independently, rows without a doc_id too. An empty table gives an
+    empty one. A text is held whole by its task (2 GB at most). The model file is read by the driver and
+    sent to the tasks.
     """
     lean(docs.sparkSession)
     with open(model or default_model(), "rb") as f:
         shared = docs.sparkSession.sparkContext.broadcast(f.read())
+    names = [x.split()[0] for x in RESULT.split(", ")]
 
     def rows(batches):
         pieces = Pieces(shared.value, seed, rate)
         for b in slices(batches, 1, 1 << 20):
-            out = []
-            docs, texts = b.column(0).to_pylist(), [t or "" for t in b.column(1).to_pylist()]
-            chosen = [0 if doc is None else xxhash.xxh32_intdigest(b"%d" % doc, seed) % variants for doc in docs]
-            for doc, text, variant, ids in zip(docs, texts, chosen, pieces.encode_many(texts, chosen), strict=True):
-                array = np.array(ids, "<i4")
-                out.append((doc, len(text.encode("utf-8", "surrogatepass")), variant, len(ids), array, hashlib.sha256(array.tobytes()).hexdigest(), pieces.decode(ids) == text))
-            kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.list_(pa.int32()), pa.string(), pa.bool_()]
-            yield pa.record_batch([pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)], [x.split()[0] for x in RESULT.split(", ")])
+            texts = [t or "" for t in b.column(1).to_pylist()]
+            raw = [t.encode() for t in texts]
+            keys = [xxhash.xxh64_intdigest(r, xxhash.xxh64_intdigest(b"-" if doc is None else b"%d" % doc, seed)) for doc, r in zip(b.column(0).to_pylist(), raw, strict=True)]
+            ids, begin = pieces.encode_many(texts, keys)
+            data, at = pieces.decode_many(ids, begin)
+            ids = ids.astype("<i4")
+            spans = list(zip(begin[:-1].tolist(), begin[1:].tolist(), strict=True))
+            digests = [hashlib.sha256(ids[a:z]).hexdigest() for a, z in spans]
+            same = [data[a + 1 : z] == r if z > a else not r for a, z, r in zip(at[:-1].tolist(), at[1:].tolist(), raw, strict=True)]
+            lists = pa.ListArray.from_arrays(pa.array(begin.astype(np.int32)), pa.array(ids, pa.int32()))
+            made = [b.column(0), pa.array([len(r) for r in raw], pa.int64()), pa.array(np.diff(begin)), lists, pa.array(digests), pa.array(same)]
+            yield pa.record_batch(made, names)
         del pieces
         release()
 
