@@ -1,8 +1,12 @@
-"""Lossless WebP (VP8L) in numpy: a full decoder, an encoder, and media columns.
+"""Lossless WebP (VP8L) in numpy: a full decoder, encoders, and media columns.
 
 The decoder reads prefix codes, meta prefix groups, back-references and the colour cache, and inverts
-the predictor, cross-colour, subtract-green and palette transforms. Streams whose codes all have one
-length per channel and no references, as ``encode`` writes by default, are read without a loop.
+the predictor, cross-colour, subtract-green and palette transforms.
+
+Payloads are stored with references, a colour cache and prefix codes, all pictures of a batch in
+step: sorted pairs of pixels show what stands before, sorted cache slots what is in the cache, and
+the bits of all tokens are put together at once. Each picture takes the cheapest of a few groups of
+codes; few colours are tried with a palette, and what these codes hardly shorten with codes of its own.
 """
 
 from __future__ import annotations
@@ -19,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from granary.llm.common import lean, slices, table
+from granary.llm.common import lean, mix64, slices, staged, table
 
 # Fixed values of the format.
 LENGTH_ORDER = (17, 18, 0, 1, 2, 3, 4, 5, 16, 6, 7, 8, 9, 10, 11, 12, 13, 14, 15)
@@ -28,7 +32,6 @@ SIGNATURE = 0x2F
 MAX_SIDE = 1 << 14
 # Near offsets, nearest first.
 NEAR = sorted(((x, y) for y in range(8) for x in range(-7, 9) if y or x > 0), key=lambda p: (p[0] ** 2 + p[1] ** 2, abs(p[0]), p[0] < 0))
-REVERSED = np.packbits(np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1)[:, ::-1], axis=1)[:, 0]
 
 
 class DamagedImage(ValueError):
@@ -62,21 +65,6 @@ class Writer:
             self.value >>= 8 * whole
             self.n -= 8 * whole
 
-    def put_bytes(self, b: np.ndarray) -> None:
-        """Bytes at the current bit place."""
-        self.put(0, 0)
-        whole = self.n >> 3
-        self.done += (self.value & ((1 << 8 * whole) - 1)).to_bytes(whole, "little")
-        self.value >>= 8 * whole
-        self.n -= 8 * whole
-        wide = np.zeros(len(b) + 1, np.uint16)
-        wide[:-1] = b.astype(np.uint16) << self.n
-        low, high = (wide & 255).astype(np.uint8), (wide >> 8).astype(np.uint8)
-        low[1:] |= high[:-1]
-        low[0] |= self.value
-        self.done += low[:-1].tobytes()
-        self.value = int(low[-1])
-
     def bytes(self) -> bytes:
         return bytes(self.done) + self.value.to_bytes((self.n + 7) >> 3, "little")
 
@@ -101,31 +89,22 @@ class Code:
         used = [s for s, n in enumerate(lengths) if n]
         if not used:
             raise DamagedImage("a prefix code without symbols")
-        self.only = used[0] if len(used) == 1 else None
-        self.flat = len(used) == 256 and used[-1] == 255 and set(lengths[:256]) == {8}
-        if self.only is None:
+        self.bits = 0 if len(used) == 1 else max(lengths)
+        self.table = np.array([used[0] << 4])
+        if self.bits:
             if sum(2 ** (15 - lengths[s]) for s in used) != 2**15:
                 raise DamagedImage("a prefix code that is not complete")
-            self.bits = max(lengths)
-            if not self.flat:
-                self.table = [None] * (1 << self.bits)
-                for s, n, code in _canonical(lengths):
-                    for k in range(code, 1 << self.bits, 1 << n):
-                        self.table[k] = (s, n)
+            self.table = np.zeros(1 << self.bits, np.int64)
+            for s, n, code in _canonical(lengths):
+                self.table[code :: 1 << n] = s << 4 | n
 
     def read(self, bits: Bits) -> int:
-        if self.only is not None:
-            return self.only
         a = bits.at
-        ahead = (int.from_bytes(bits.data[a >> 3 : (a >> 3) + 3], "little") >> (a & 7)) & ((1 << self.bits) - 1)
-        if self.flat:
-            s, n = int(REVERSED[ahead]), 8
-        else:
-            s, n = self.table[ahead]
-        bits.at += n
+        found = self.table[(int.from_bytes(bits.data[a >> 3 : (a >> 3) + 3], "little") >> (a & 7)) & ((1 << self.bits) - 1)]
+        bits.at += int(found & 15)
         if bits.at > 8 * len(bits.data):
             raise DamagedImage("the stream ends too early")
-        return s
+        return int(found >> 4)
 
 
 def _read_code(bits: Bits, size: int) -> Code:
@@ -161,7 +140,7 @@ def _read_code(bits: Bits, size: int) -> Code:
 
 
 #: The last groups of codes that were read: colour cache bits, the stream's bits, their number, the codes.
-RECENT: deque[tuple[int, int, int, list[Code]]] = deque(maxlen=4)
+RECENT: deque[tuple[int, int, int, list[Code]]] = deque(maxlen=8)
 
 
 def _read_group(bits: Bits, cache_bits: int) -> list[Code]:
@@ -189,8 +168,21 @@ def _blocks(n: int, bits: int) -> int:
     return (n + (1 << bits) - 1) >> bits
 
 
+class Part:
+    """Where the pixels of a picture with one group of codes are to be read, four symbols of which fit into 48 bits."""
+
+    def __init__(self, bits: Bits, group: list[Code], total: int, width: int, cache_bits: int):
+        self.bits, self.group, self.total, self.width, self.cache_bits = bits, group, total, width, cache_bits
+
+
 def _read_pixels(bits: Bits, width: int, height: int, main: bool) -> np.ndarray:
     """An entropy-coded image as ARGB, in one dimension."""
+    found = _open_pixels(bits, width, height, main)
+    return read_in_step([found])[0] if isinstance(found, Part) else found
+
+
+def _open_pixels(bits: Bits, width: int, height: int, main: bool) -> np.ndarray | Part:
+    """As _read_pixels, but what can be read in step with others is only opened."""
     cache_bits = bits.read(4) if bits.read(1) else 0
     if cache_bits > 11:
         raise DamagedImage("a colour cache that is too large")
@@ -200,8 +192,8 @@ def _read_pixels(bits: Bits, width: int, height: int, main: bool) -> np.ndarray:
         which = (_read_pixels(bits, _blocks(width, block), _blocks(height, block), False) >> np.uint32(8)) & np.uint32(0xFFFF)
     groups = [_read_group(bits, cache_bits) for _ in range(int(which.max()) + 1 if which is not None else 1)]
     total = width * height
-    if which is None and all(c.flat or c.only is not None and c.only < 256 for c in groups[0][:4]):
-        return _read_flat(bits, groups[0], total)
+    if which is None and sum(c.bits for c in groups[0][:4]) <= 48:
+        return Part(bits, groups[0], total, width, cache_bits)
     out = [0] * total
     cache, shift = [0] * (1 << cache_bits) if cache_bits else None, 32 - cache_bits
     at, across = 0, _blocks(width, block)
@@ -240,24 +232,128 @@ def _read_pixels(bits: Bits, width: int, height: int, main: bool) -> np.ndarray:
     return np.array(out, np.uint32)
 
 
-def _read_flat(bits: Bits, group: list[Code], total: int) -> np.ndarray:
-    parts = [c.only is None for c in group[:4]]
-    n = sum(parts) * total
-    begin, shift = bits.at >> 3, bits.at & 7
-    bits.at += 8 * n
-    if bits.at > 8 * len(bits.data):
-        raise DamagedImage("the stream ends too early")
-    raw = np.frombuffer(bits.data, np.uint8, min(n + 1, len(bits.data) - begin), begin)
-    if shift:
-        raw = (raw[:n] >> shift) | (raw[1 : n + 1] << (8 - shift))
-    raw = REVERSED[raw[:n]].reshape(total, sum(parts)).astype(np.uint32)
-    out, k = np.zeros(total, np.uint32), 0
-    for code, by, coded in zip(group[:4], (8, 16, 0, 24), parts, strict=True):
-        out |= (raw[:, k] if coded else np.uint32(code.only)) << np.uint32(by)
-        k += coded
+NEAR_X, NEAR_Y = (np.array(x) for x in zip(*NEAR, strict=True))
+IN_STEP = 1 << 21  # pixels that are held at once
+
+
+def read_in_step(parts: list[Part]) -> list[np.ndarray]:
+    """The pixels of many pictures: in each step, every picture that is not complete gets one pixel."""
+    order = sorted(range(len(parts)), key=lambda k: -parts[k].total)
+    out: list = [None] * len(parts)
+    some, held = [], 0
+    for k in [*order, None]:
+        if k is None or some and held + parts[k].total > IN_STEP:
+            try:
+                found = _in_step([parts[j] for j in some]) if some else []
+            except IndexError:
+                raise DamagedImage("the stream ends too early") from None
+            for j, pixels in zip(some, found, strict=True):
+                out[j] = pixels
+            some, held = [], 0
+        if k is not None:
+            some.append(k)
+            held += parts[k].total
     return out
 
 
+def _in_step(parts: list[Part]) -> list[np.ndarray]:
+    """As read_in_step; larger pictures must come first."""
+    U = np.uint64
+    # All streams one after the other, each from an even byte; 64 bits ahead from every second byte.
+    padded = [p.bits.data + b"\0" * (8 + len(p.bits.data) % 2) for p in parts]
+    size = np.array([len(x) for x in padded])
+    half = np.concatenate([np.frombuffer(b"".join(padded), "<u2"), np.zeros(4, np.uint16)]).astype(U)
+    ahead = half[:-3] | half[1:-2] << U(16) | half[2:-1] << U(32) | half[3:] << U(48)
+    base = 8 * (np.cumsum(size) - size)
+    pos = base + np.array([p.bits.at for p in parts])
+    last = base + 8 * np.array([len(p.bits.data) for p in parts])
+    # Tables of all codes one after the other.
+    tables: dict[int, int] = {}
+    kept, end = [], 0
+    for p in parts:
+        for c in p.group:
+            if id(c) not in tables:
+                tables[id(c)] = end
+                kept.append(c.table)
+                end += len(c.table)
+    table = np.concatenate(kept)
+    low = np.array([[tables[id(c)] for c in p.group] for p in parts]).T
+    mask = np.array([[(1 << c.bits) - 1 for c in p.group] for p in parts], U).T
+    total = np.array([p.total for p in parts])
+    width = np.array([p.width for p in parts])
+    most, files = int(total[0]), len(parts)
+    row = np.cumsum(total) - total
+    flat = np.zeros(int(total.sum()), np.uint32)
+    cache_bits = np.array([p.cache_bits for p in parts])
+    slots = 1 << int(cache_bits.max())
+    cache = np.zeros(files * slots, np.uint32)
+    shift = np.minimum(32 - cache_bits, 31).astype(np.uint32)
+    left, far = np.zeros(files, np.int64), np.zeros(files, np.int64)
+    cached = np.flatnonzero(cache_bits)
+
+    def peek(k):
+        at = pos[k]
+        return ahead[at >> 4] >> (at & 15).astype(U)
+
+    def value(k, code):
+        extra = np.maximum((code - 2) >> 1, 0)
+        got = (peek(k) & ((U(1) << extra.astype(U)) - U(1))).astype(np.int64)
+        pos[k] += extra
+        return np.where(code < 4, code + 1, ((2 + (code & 1)) << extra) + got + 1)
+
+    alive = files
+    for t in range(most):
+        while total[alive - 1] <= t:
+            alive -= 1
+        k = np.flatnonzero(left[:alive] == 0)
+        v = peek(k)
+        e = table[low[0, k] + (v & mask[0, k]).astype(np.int64)]
+        s, n = e >> 4, e & 15
+        plain = s < 256
+        own = k[plain]
+        if len(own):
+            w, used, pixel = v[plain] >> n[plain].astype(U), n[plain], s[plain] << 8
+            for j, by in ((1, 16), (2, 0), (3, 24)):
+                e = table[low[j, own] + (w & mask[j, own]).astype(np.int64)]
+                pixel |= (e >> 4) << by
+                e &= 15
+                w >>= e.astype(U)
+                used += e
+            pos[own] += used
+            flat[row[own] + t] = pixel
+        hit = s >= 280
+        own = k[hit]
+        if len(own):
+            pos[own] += n[hit]
+            flat[row[own] + t] = cache[own * slots + s[hit] - 280]
+        ref = ~(plain | hit)
+        own = k[ref]
+        if len(own):
+            pos[own] += n[ref]
+            left[own] = value(own, s[ref] - 256)
+            e = table[low[4, own] + (peek(own) & mask[4, own]).astype(np.int64)]
+            pos[own] += e & 15
+            d = value(own, e >> 4)
+            close = np.minimum(d, 120) - 1
+            far[own] = np.where(d > 120, d - 120, np.maximum(1, NEAR_X[close] + NEAR_Y[close] * width[own]))
+            if (far[own] > t).any() or (t + left[own] > total[own]).any():
+                raise DamagedImage("a reference outside the image")
+        own = np.flatnonzero(left[:alive])
+        if len(own):
+            at = row[own] + t
+            flat[at] = flat[at - far[own]]
+            left[own] -= 1
+        own = cached[: np.searchsorted(cached, alive)]
+        if len(own):
+            pixel = flat[row[own] + t]
+            cache[own * slots + ((pixel * np.uint32(CACHE_FACTOR)) >> shift[own])] = pixel
+    if (pos > last).any():
+        raise DamagedImage("the stream ends too early")
+    for p, at in zip(parts, (pos - base).tolist(), strict=True):
+        p.bits.at = at
+    return [flat[k : k + n] for k, n in zip(row.tolist(), total.tolist(), strict=True)]
+
+
 def _split(p: np.ndarray) -> np.ndarray:
     """ARGB -> the bytes blue, green, red, alpha, in a last dimension."""
     return np.ascontiguousarray(p).view(np.uint8).reshape(*p.shape, 4)
@@ -345,6 +441,19 @@ def _pack_bits(colours: int) -> int:
 
 def decode_one(data: bytes) -> np.ndarray:
     """A WebP file with a VP8L chunk -> ARGB picture (height, width), uint32."""
+    return decode_files([data])[0]
+
+
+def decode_files(files: list[bytes]) -> list[np.ndarray]:
+    """As decode_one, for many files, whose pixels are read in step."""
+    opened = [_open(x) for x in files]
+    some = [k for k, x in enumerate(opened) if isinstance(x[0], Part)]
+    found = dict(zip(some, read_in_step([opened[k][0] for k in some]), strict=True))
+    return [_inverted(found.get(k, p), *more) for k, (p, *more) in enumerate(opened)]
+
+
+def _open(data: bytes) -> tuple[np.ndarray | Part, list, int, int]:
+    """Pixels (or where they are), transforms, and size of the coded picture."""
     if len(data) < 25 or data[:4] != b"RIFF" or data[8:16] != b"WEBPVP8L" or data[20] != SIGNATURE:
         raise DamagedImage("no lossless WebP header")
     (n,) = struct.unpack_from("<I", data, 16)
@@ -372,7 +481,12 @@ def decode_one(data: bytes) -> np.ndarray:
             palette = np.cumsum(_split(_read_pixels(bits, colours, 1, False)), axis=0, dtype=np.uint8).view(np.uint32).reshape(-1)
             undo.append((3, _pack_bits(colours), palette, width))
             width = _blocks(width, _pack_bits(colours))
-    p = _read_pixels(bits, width, height, True).reshape(height, width)
+    return _open_pixels(bits, width, height, True), undo, height, width
+
+
+def _inverted(p: np.ndarray, undo: list, height: int, width: int) -> np.ndarray:
+    """The picture of coded pixels: all transforms inverted, the last one first."""
+    p = p.reshape(height, width)
     for kind, block, extra, width in reversed(undo):
         if kind == 0:
             p = _predicted(p, (extra >> np.uint32(8)) & np.uint32(15), block, True)
@@ -503,27 +617,11 @@ def _tokens(p: list[int], width: int, cache_bits: int, references: bool) -> list
     return out
 
 
-@cache
-def _flat_codes() -> tuple[int, int]:
-    """The bits, and their number, of a group whose codes have 8 bits for each of 256 values."""
-    w = Writer()
-    for n in (280, 256, 256, 256):
-        _put_code(w, [8] * 256 + [0] * (n - 256))
-    _put_code(w, [0] * 40)
-    return w.value, w.n
-
-
-def _put_pixels(w: Writer, p: np.ndarray, main: bool, cache_bits: int = 0, references: bool = False, flat: bool = False, group_bits: int = 0) -> None:
+def _put_pixels(w: Writer, p: np.ndarray, main: bool, cache_bits: int = 0, references: bool = False, group_bits: int = 0) -> None:
     h, width = p.shape
     w.put(bool(cache_bits), 1)
     if cache_bits:
         w.put(cache_bits, 4)
-    if flat:
-        if main:
-            w.put(0, 1)
-        w.put(*_flat_codes())
-        w.put_bytes(REVERSED[_split(p).reshape(-1, 4)[:, (1, 2, 0, 3)].reshape(-1)])
-        return
     groups = 1
     which = lambda k: 0
     if main:
@@ -557,7 +655,7 @@ def _put_pixels(w: Writer, p: np.ndarray, main: bool, cache_bits: int = 0, refer
             w.put(extra, n)
 
 
-def encode_one(p: np.ndarray, transforms: tuple = (), cache_bits: int = 0, references: bool = False, flat: bool = True, group_bits: int = 0) -> bytes:
+def encode_one(p: np.ndarray, transforms: tuple = (), cache_bits: int = 0, references: bool = False, group_bits: int = 0) -> bytes:
     """ARGB picture -> WebP file. transforms: ("predictor", modes, block), ("cross", factors, block), ("green",), ("palette",), in the order of coding."""
     h, width = p.shape
     w = Writer()
@@ -586,8 +684,11 @@ def encode_one(p: np.ndarray, transforms: tuple = (), cache_bits: int = 0, refer
             index = np.pad(index.reshape(h, -1).astype(np.uint32), ((0, 0), (0, -p.shape[1] % (1 << by))))
             p = (index.reshape(h, -1, 1 << by) << ((8 >> by) * np.arange(1 << by, dtype=np.uint32))).sum(axis=2, dtype=np.uint32) << np.uint32(8)
     w.put(0, 1)
-    _put_pixels(w, p, True, cache_bits, references, flat, group_bits)
-    data = w.bytes()
+    _put_pixels(w, p, True, cache_bits, references, group_bits)
+    return _file(w.bytes())
+
+
+def _file(data: bytes) -> bytes:
     pad = b"\0" * (len(data) & 1)
     return b"RIFF" + struct.pack("<I", 12 + len(data) + len(pad)) + b"WEBPVP8L" + struct.pack("<I", len(data)) + data + pad
 
@@ -595,44 +696,270 @@ def encode_one(p: np.ndarray, transforms: tuple = (), cache_bits: int = 0, refer
 # --- payloads as pictures ------------------------------------------------------------------------
 
 WIDTH = 16
+CACHE_BITS = 10
+LINES = 128  # of a picture at most, as many are read in step
+LONGEST = 4096  # pixels of a reference
+
+
+def _weights(kind: str) -> np.ndarray:
+    """How often bytes are expected: in Latin letters, in scripts of several bytes a character, in letters and digits that stand for numbers, or all alike."""
+    w = np.full(256, 0.05)
+    if kind == "even":
+        return w
+    if kind == "digits":
+        w[list(b"0123456789abcdef")], w[65:91], w[103:123], w[[10, 32, 43, 45, 47, 61, 95]] = 10, 4, 4, 4
+        return w
+    w[[10, 44, 46]] = 10
+    w[32], w[48:58], w[65:91], w[97:123] = 160, 2, 3, 10
+    w[list(b"etaoinsrhl")] = 60
+    if kind == "wide":
+        w[97:123], w[32] = 4, 40
+        w[0x80:0xC0], w[0xC2:0xF5] = 20, 8
+    else:
+        w[0x80:0xC0], w[0xC3] = 0.5, 10
+    return w
+
+
+class Group:
+    """Five prefix codes that are known beforehand: bits and lengths of every symbol, and a picture's head behind its size."""
+
+    def __init__(self, kind: str):
+        own = _weights(kind)
+        own = own / own.sum()
+        lengths = 2.0 ** (-np.arange(24) / 3)
+        first = np.concatenate([0.5 * own, 0.15 * lengths / lengths.sum(), np.full(1 << CACHE_BITS, 0.35 / (1 << CACHE_BITS))])
+        w = Writer()
+        w.put(0, 1)
+        w.put(1 | CACHE_BITS << 1, 5)
+        w.put(0, 1)
+        self.code, self.bits = [], []
+        for weights in (first, own, own, own, np.ones(40)):
+            made = _put_code(w, _lengths({k: int(x * 2**24) + 1 for k, x in enumerate(weights)}, len(weights), 12))
+            self.code.append(np.array([made[k][0] for k in range(len(weights))], np.uint64))
+            self.bits.append(np.array([made[k][1] for k in range(len(weights))], np.uint8))
+        self.head_size = 8 * len(w.done) + w.n
+        value = int.from_bytes(w.bytes(), "little")
+        parts = range(0, self.head_size, 48)
+        self.head = np.array([(value >> k) & (1 << 48) - 1 for k in parts], np.uint64)
+        self.head_bits = np.array([min(48, self.head_size - k) for k in parts], np.uint64)
 
 
-def encode(payload: bytes) -> bytes:
-    """Bytes, a multiple of 64, as pictures of 16 RGBA pixels a line, one file after the other where one is too high."""
-    rgba = np.frombuffer(payload, np.uint8).reshape(-1, WIDTH, 4)
-    argb = np.ascontiguousarray(rgba[..., (2, 1, 0, 3)]).view(np.uint32)[..., 0]
-    return b"".join(encode_one(argb[k : k + MAX_SIDE]) for k in range(0, len(argb), MAX_SIDE))
+@cache
+def _groups() -> list[Group]:
+    return [Group(k) for k in ("latin", "wide", "digits", "even")]
+
+
+@cache
+def _near(width: int) -> np.ndarray:
+    """The short codes of distances (0: none)."""
+    out = np.zeros(8 * width + 16, np.int64)
+    for d, (x, y) in reversed(list(enumerate(NEAR, 1))):
+        out[max(1, x + y * width)] = d
+    return out
+
+
+def _prefixes(value: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """As _prefix, for many values."""
+    v = np.maximum(value - 1, 2)
+    top = np.frexp(v.astype(np.float64))[1].astype(np.int64) - 1
+    code = np.where(value <= 4, value - 1, 2 * top + ((v >> (top - 1)) & 1))
+    extra = np.where(value <= 4, 0, v & ((1 << (top - 1)) - 1))
+    return code, extra, np.where(value <= 4, 0, top - 1)
+
+
+def _references(p: np.ndarray, own: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Begin, length and distance of references in pixels of pictures (own) one after the other: runs whose pairs stood at one distance before."""
+    none = np.zeros(0, np.int64)
+    if len(p) < 2:
+        return none, none, none
+    pair = (p[:-1].astype(np.uint64) << np.uint64(32)) | p[1:]
+    order = np.argsort(mix64(pair ^ mix64(own[:-1].astype(np.uint64))), kind="stable")
+    a, b = order[:-1], order[1:]
+    # A pair that straddles two pictures is none.
+    same = (pair[a] == pair[b]) & (own[a] == own[b]) & (own[b] == own[b + 1]) & (own[a] == own[a + 1])
+    far = np.zeros(len(pair) + 1, np.int64)
+    far[b[same]] = (b - a)[same]
+    first = far > 0
+    first[1:] &= (far[1:] != far[:-1]) | (own[1:] != own[:-1])
+    begin = np.flatnonzero(first)
+    last = far > 0
+    last[:-1] &= (far[1:] != far[:-1]) | (own[1:] != own[:-1])
+    end, d = np.flatnonzero(last) + 2, far[begin]
+    begin[1:] = np.maximum(begin[1:], end[:-1])
+    good = end - begin >= 3
+    begin, n, d = begin[good], (end - begin)[good], d[good]
+    parts = -(-n // LONGEST)
+    step = np.arange(parts.sum()) - np.repeat(np.cumsum(parts) - parts, parts)
+    begin, n, d = np.repeat(begin, parts) + step * LONGEST, np.repeat(n, parts) - step * LONGEST, np.repeat(d, parts)
+    return begin, np.minimum(n, LONGEST), d
+
+
+def encode_pictures(p: np.ndarray, counts: np.ndarray) -> list[bytes]:
+    """Pictures of WIDTH pixels a line, ARGB one after the other, with so many pixels each -> files."""
+    files = len(counts)
+    own = np.repeat(np.arange(files), counts)
+    slot = ((p.astype(np.uint64) * np.uint64(CACHE_FACTOR)) & np.uint64(0xFFFFFFFF)) >> np.uint64(32 - CACHE_BITS)
+    place = (own.astype(np.uint64) << np.uint64(CACHE_BITS)) | slot
+    order = np.argsort(place, kind="stable")
+    new = np.concatenate([[True], place[order[1:]] != place[order[:-1]]])
+    hit = np.zeros(len(p), bool)
+    hit[order[1:]] = ~new[1:] & (p[order[1:]] == p[order[:-1]])
+    colours = np.bincount(own[order[new]], minlength=files)  # at least
+
+    begin, n, d = _references(p, own)
+    edge = np.zeros(len(p) + 1, np.int32)
+    np.add.at(edge, begin, 1)
+    np.add.at(edge, begin + n, -1)
+    token = np.cumsum(edge[:-1]) == 0
+    token[begin] = True
+    at = np.flatnonzero(token)
+    kind = hit[at].astype(np.int8)  # 0: a pixel, 1: from the cache, 2: a reference
+    kind[np.searchsorted(at, begin)] = 2
+    plain, cached, ref, whose = np.flatnonzero(kind == 0), np.flatnonzero(kind == 1), np.flatnonzero(kind == 2), own[at]
+    channels = [((p[at[plain]] >> np.uint32(k)) & np.uint32(255)) for k in (8, 16, 0, 24)]
+    near = _near(WIDTH)
+    short = np.where(d < len(near), near[np.minimum(d, len(near) - 1)], 0)
+    size, far = _prefixes(n), _prefixes(np.where(short > 0, short, d + 120))
+
+    known = _groups()
+    code, length = ([np.array([x[j] for x in own]) for j in range(5)] for own in ([g.code for g in known], [g.bits for g in known]))
+    symbol = slot[at[cached]].astype(np.int64) + 280
+    costs = []
+    for k, g in enumerate(known):
+        used = np.zeros(len(at), np.uint8)
+        used[plain] = sum(length[j][k][c] for j, c in enumerate(channels))
+        used[cached] = length[0][k][symbol]
+        used[ref] = length[0][k][256 + size[0]] + length[4][k][far[0]] + size[2].astype(np.uint8) + far[2].astype(np.uint8)
+        costs.append(np.bincount(whose, used, files) + g.head_size)
+    best = np.argmin(costs, axis=0)
+    value, used = np.zeros(len(at), np.uint64), np.zeros(len(at), np.uint64)
+
+    def coded(which, *fields):
+        """Put the fields of tokens, (code, symbols) or (None, bits, their number), one behind the other."""
+        g, v, n = best[whose[which]], np.zeros(len(which), np.uint64), np.zeros(len(which), np.uint64)
+        for j, symbols, *bits in fields:
+            if j is None:
+                v |= symbols.astype(np.uint64) << n
+                n += bits[0].astype(np.uint64)
+            else:
+                v |= code[j][g, symbols] << n
+                n += length[j][g, symbols]
+        value[which], used[which] = v, n
+
+    coded(plain, *enumerate(channels))
+    coded(cached, (0, symbol))
+    coded(ref, (0, 256 + size[0]), (None, size[1], size[2]), (4, far[0]), (None, far[1], far[2]))
+
+    # The head of every picture, then its tokens.
+    heads = np.array([1 + len(g.head) for g in known])[best]
+    tokens = np.bincount(whose, minlength=files)
+    start = np.cumsum(heads + tokens) - heads - tokens
+    values, bits = np.zeros(len(at) + heads.sum(), np.uint64), np.zeros(len(at) + heads.sum(), np.uint64)
+    lines = counts // WIDTH
+    values[start] = np.uint64(SIGNATURE) | np.uint64((WIDTH - 1) << 8 | 1 << 36) | ((lines - 1).astype(np.uint64) << np.uint64(22))
+    bits[start] = 40
+    for k, g in enumerate(known):
+        where = (start[best == k][:, None] + 1 + np.arange(len(g.head))).reshape(-1)
+        values[where], bits[where] = np.tile(g.head, (best == k).sum()), np.tile(g.head_bits, (best == k).sum())
+    where = np.arange(len(at)) - np.repeat(np.cumsum(tokens) - tokens, tokens) + (start + heads)[whose]
+    values[where], bits[where] = value, used
+    total = np.add.reduceat(bits, start).astype(np.int64)
+    words = -(-total // 64)
+    base = np.cumsum(words) - words
+    begin = np.cumsum(bits).astype(np.int64) - bits.astype(np.int64)
+    begin += np.repeat(64 * base - begin[start], heads + tokens)
+    out, low = np.zeros(words.sum() + 1, np.uint64), (begin & 63).astype(np.uint64)
+    np.add.at(out, begin >> 6, values << low)
+    np.add.at(out, (begin >> 6) + 1, (values >> np.uint64(1)) >> (np.uint64(63) - low))
+    raw = out.astype("<u8").tobytes()
+    stored = [_file(raw[8 * b : 8 * b + (n + 7) // 8]) for b, n in zip(base.tolist(), total.tolist(), strict=True)]
+
+    # Few colours, and what has hardly become shorter, in other ways too.
+    first = np.cumsum(counts) - counts
+    poor = (total > 29 * counts) & (counts >= 256)
+    for k in np.flatnonzero((colours <= 16) & (counts >= 64) | poor).tolist():
+        picture = p[first[k] : first[k] + counts[k]].reshape(-1, WIDTH)
+        ways = [(), (("green",),)] if poor[k] else []
+        if len(np.unique(picture)) <= 256:
+            ways.append((("palette",),))
+        stored[k] = min([stored[k], *(encode_one(picture, way, 0, True) for way in ways)], key=len)
+    return stored
+
+
+def encode_all(payloads: list[bytes]) -> list[bytes]:
+    """Payloads, each a multiple of 64 bytes, as pictures of 16 RGBA pixels a line; one file after the other, of LINES lines at most. What is made of one does not depend on the others."""
+    if not payloads:
+        return []
+    rgba = np.frombuffer(b"".join(payloads), np.uint8).reshape(-1, 4)
+    argb = np.ascontiguousarray(rgba[:, (2, 1, 0, 3)]).view(np.uint32)[:, 0]
+    most = LINES * WIDTH
+    counts = [[min(most, len(x) // 4 - k) for k in range(0, len(x) // 4, most)] for x in payloads]
+    files = iter(encode_pictures(argb, np.array([n for own in counts for n in own], np.int64)))
+    return [b"".join(next(files) for _ in own) for own in counts]
 
 
 def decode(stored: bytes) -> np.ndarray:
     """Files one after the other -> pixel array (lines, width, 4), RGBA."""
-    parts, at = [], 0
-    while at < len(stored):
-        if at + 8 > len(stored):
-            raise DamagedImage("the file ends too early")
-        end = at + 8 + struct.unpack_from("<I", stored, at + 4)[0]
-        parts.append(decode_one(stored[at:end]))
-        at = end
-    return _split(np.concatenate(parts))[..., (2, 1, 0, 3)] if parts else np.zeros((0, WIDTH, 4), np.uint8)
+    return decode_all([stored])[0]
+
+
+def decode_all(stored: list[bytes]) -> list[np.ndarray]:
+    """As decode, for many."""
+    files, counts = [], []
+    for x in stored:
+        at, n = 0, len(files)
+        while at < len(x):
+            if at + 8 > len(x):
+                raise DamagedImage("the file ends too early")
+            end = at + 8 + struct.unpack_from("<I", x, at + 4)[0]
+            files.append(x[at:end])
+            at = end
+        counts.append(len(files) - n)
+    found = iter(decode_files(files))
+    out = []
+    for n in counts:
+        parts = [next(found) for _ in range(n)]
+        out.append(_split(np.concatenate(parts))[..., (2, 1, 0, 3)] if parts else np.zeros((0, WIDTH, 4), np.uint8))
+    return out
 
 
 def with_media(docs: DataFrame) -> DataFrame:
     """Rows of docs (doc_id, text; other columns are ignored) with a media column: the text's bytes as lossless WebP.
 
     The payload is the text in UTF-8 (null: empty), filled with zero bytes to a positive multiple of
-    64. Repeated rows are stored alike; an empty table gives an empty one.
+    64. Repeated rows are stored alike; an empty table gives an empty one. A text is held whole by its task
+    (2 GB at most); its pictures have 8 KB each.
     """
 
     def store(batches):
         for b in slices(batches, 1):
             raw = [(x or "").encode() for x in b.column(1).to_pylist()]
-            media = [encode(x + b"\0" * (-len(x) % 64 or 64 * (not x))) for x in raw]
+            media = encode_all([x + b"\0" * (-len(x) % 64 or 64 * (not x)) for x in raw])
             yield pa.record_batch([b.column(0), pa.array([len(x) for x in raw], pa.int64()), pa.array(media, pa.binary())], ["doc_id", "n_bytes", "media"])
 
     lean(docs.sparkSession)
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(store, "doc_id long, n_bytes long, media binary")
 
 
+def grid(values: np.ndarray, parts: int = 72) -> np.ndarray:
+    """Means over so many equal parts of the values; fewer values are repeated."""
+    edge = np.arange(parts + 1) * len(values) // parts
+    if len(values) < parts:
+        return values[edge[:-1]].astype(np.float64)
+    return np.add.reduceat(values, edge[:-1]) / np.diff(edge)
+
+
+def media_pixels(media: DataFrame) -> DataFrame:
+    """doc_id, height, width, pixels (RGBA bytes, line by line) of every row of a media column."""
+
+    def show(batches):
+        for b in slices(batches, 1):
+            pictures = decode_all(b.column(1).to_pylist())
+            yield pa.record_batch([b.column(0), pa.array([len(x) for x in pictures], pa.int32()), pa.array([x.shape[1] for x in pictures], pa.int32()), pa.array([x.tobytes() for x in pictures], pa.binary())], ["doc_id", "height", "width", "pixels"])
+
+    return media.select("doc_id", "media").mapInArrow(show, "doc_id long, height int, width int, pixels binary")
+
+
 FEATURES = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
 
 
@@ -640,19 +967,18 @@ def media_features(media: DataFrame) -> DataFrame:
     """Decode a media column and describe the pixels.
 
     feature: lines x width, the mean of each channel in hundredths, and a 64-bit hash of the
-    differences between neighbours on an 8 x 9 grid of line means.
+    differences between neighbours on an 8 x 9 grid of means over equal parts of all pixels. The other
+    columns describe the payload that the pixels hold, and the stored bytes.
     """
 
     def describe(batches):
         for b in slices(batches, 2):
             out = []
-            for doc, n, stored in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2), strict=True):
-                stored = stored.as_py()
-                pixels = decode(stored)
+            media = b.column(2).to_pylist()
+            for doc, n, stored, pixels in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), media, decode_all(media), strict=True):
                 payload = pixels.tobytes()
-                grid = np.add.reduceat(pixels[..., :3].sum(axis=(1, 2), dtype=np.int64), np.arange(72) * len(pixels) // 72) if len(pixels) >= 72 else np.resize(pixels[..., :3].sum(axis=2, dtype=np.int64).reshape(-1), 72)
-                grid = grid.reshape(8, 9)
-                bits = np.packbits(grid[:, 1:] > grid[:, :-1]).tobytes().hex()
+                light = pixels[..., :3].sum(axis=2, dtype=np.int64).reshape(-1)
+                bits = np.packbits(np.diff(grid(light).reshape(8, 9), axis=1) > 0).tobytes().hex()
                 means = ",".join(str(int(x) * 100 // (pixels.shape[0] * pixels.shape[1])) for x in pixels.sum(axis=(0, 1), dtype=np.int64))
                 out.append((doc, n, len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-64:]), len(stored), hashlib.sha256(stored).hexdigest(), f"{pixels.shape[0]}x{pixels.shape[1]} {means} {bits}"))
             kinds = [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string()]
@@ -662,4 +988,5 @@ def media_features(media: DataFrame) -> DataFrame:
 
 
 def op8_webp_media(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return media_features(with_media(table(spark, sf_dir, "documents")))
+    """The media column is written to the shared folder and read back."""
+    return media_features(staged(with_media(table(spark, sf_dir, "documents")), "media"))
