@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from granary.llm.anchors import KEY, LOWER, column_bytes, grams, spans_hash, with_key, words_of
-from granary.llm.common import as_long, lean, mix64, slices, staged, table
+from granary.llm.common import as_long, discard, lean, mix64, slices, staged, table
 from granary.llm.components import components
 
 RATIO = 1.6
@@ -147,30 +147,39 @@ def key_rows(keyed: DataFrame, width: int, percent: int, salt: int) -> DataFrame
     return keyed.select("text").mapInArrow(rows, KEYS)
 
 
-def verified(keyed: DataFrame, classes: DataFrame, pairs: DataFrame, width: int, percent: int, salt: int) -> DataFrame:
-    """The pairs (a, b) of classes whose whole sets, made again from a text of each class, reach the similarity."""
-    wanted = pairs.select(F.explode(F.array("a", "b")).alias("class")).distinct()
-    docs = classes.select("class", *KEY).join(wanted, "class", "left_semi").select(*KEY)
+def verified(keyed: DataFrame, classes: DataFrame, pairs: DataFrame, width: int, percent: int) -> DataFrame:
+    """The pairs (a, b) of classes whose whole sets, made again from a text of each class, reach the similarity.
 
-    def sets(batches):
-        for b in slices(batches, 0, 1 << 18):
-            own = [s for s in shingle_sets(b.column(0), width) if len(s)]
-            yield pa.record_batch([pa.array([class_of(s, salt)[0] for s in own], pa.int64()), pa.array([s.tobytes() for s in own], pa.binary())], ["class", "shingles"])
-
-    made = keyed.join(docs, KEY, "left_semi").select("text").mapInArrow(sets, "class long, shingles binary")
-    made = staged(made.join(wanted, "class", "left_semi").dropDuplicates(["class"]), "shingle-sets")
+    Both texts of a pair meet by its numbers; sorted, pairs with one ``a`` follow each other, so that its set is made once.
+    """
+    sides = F.array(F.struct(F.col("a").alias("class"), F.lit(0).alias("side")), F.struct(F.col("b").alias("class"), F.lit(1).alias("side")))
+    wanted = pairs.select("a", "b", F.explode(sides).alias("s")).select("a", "b", "s.*").join(classes.select("class", *KEY), "class")
+    texts = keyed.select(*KEY, "text").join(wanted.select(*KEY).distinct(), KEY, "left_semi").dropDuplicates(KEY)
+    met = wanted.join(texts, KEY).select("a", "b", "side", "text")
 
     def rows(batches):
-        for b in slices(batches, 2, 1 << 22):
-            good = []
-            for x, y in zip(b.column(2), b.column(3), strict=True):
-                x, y = (np.frombuffer(v.as_buffer(), np.uint64) for v in (x, y))
-                both = len(np.intersect1d(x, y, assume_unique=True))
-                good.append(100 * both >= percent * (len(x) + len(y) - both))
-            yield b.select([0, 1]).filter(pa.array(good))
-
-    one, two = made.select(F.col("class").alias("a"), F.col("shingles").alias("x")), made.select(F.col("class").alias("b"), F.col("shingles").alias("y"))
-    return pairs.join(one, "a").join(two, "b").select("a", "b", "x", "y").mapInArrow(rows, "a long, b long")
+        last, one, half = None, None, None
+        for b in slices(batches, 3, 1 << 20):
+            good: list[tuple[int, int]] = []
+            a, z, side = (b.column(k).to_pylist() for k in range(3))
+            # Sets of the second texts, and of the first of those that differ from the one before.
+            need = [k for k in range(len(a)) if side[k] or a[k] != (a[k - 2] if k > 1 else last)]
+            sets = dict(zip(need, shingle_sets(b.column(3).take(pa.array(need, pa.int64())), width), strict=True))
+            for k in range(len(a)):
+                if not side[k]:
+                    if k in sets and a[k] != last:
+                        last, one = a[k], sets[k]
+                    half = a[k], z[k]
+                else:
+                    assert half == (a[k], z[k])
+                    x, y = one, sets[k]
+                    both = len(np.intersect1d(x, y, assume_unique=True))
+                    if 100 * both >= percent * (len(x) + len(y) - both):
+                        good.append(half)
+            cols = [list(c) for c in zip(*good, strict=True)] or [[], []]
+            yield pa.record_batch([pa.array(c, pa.int64()) for c in cols], ["a", "b"])
+
+    return met.repartition("a", "b").sortWithinPartitions("a", "b", "side").mapInArrow(rows, "a long, b long")
 
 
 def near(percent: int):
@@ -188,6 +197,7 @@ def class_links(keyed: DataFrame, classes: DataFrame, width: int, percent: int,
     shared = keys.join(again, "key").select("key", "class", "spare", "band", "c", "pivot").distinct()
     by = Window.partitionBy("class", "band").orderBy(F.col("c").desc(), "key")
     shared = staged(shared.withColumn("query", F.row_number().over(by) > F.col("spare")).select("key", "class", "pivot", "query"), "shared-keys")
+    discard(again)
 
     sketches = [f"s{k}" for k in range(LANES)]
     one = classes.select("class", "n", *sketches)
@@ -200,7 +210,7 @@ def class_links(keyed: DataFrame, classes: DataFrame, width: int, percent: int,
     star = staged(star.withColumn("best", F.row_number().over(Window.partitionBy("class").orderBy(F.col("c").desc(), "other")) == 1), "stars")
 
     def check(pairs: DataFrame) -> DataFrame:
-        return staged(verified(keyed, classes, pairs, width, percent, salt), "links")
+        return staged(verified(keyed, classes, pairs, width, percent), "links")
 
     def label(df: DataFrame, name: str, to: str) -> DataFrame:
         own = found.select(F.col("id").alias(name), F.col("component").alias("__c"))
@@ -226,7 +236,8 @@ def class_links(keyed: DataFrame, classes: DataFrame, width: int, percent: int,
         found = staged(components(links), "components")
 
     # The rest: a query against all others of such a key.
-    labelled = staged(label(labelled.select("key", "class", "query"), "class", "p"), "labelled")
+    last, labelled = labelled, staged(label(labelled.select("key", "class", "query"), "class", "p"), "labelled")
+    discard(last, shared, some)
     several = staged(labelled.groupBy("key").agg(F.min("p").alias("lo"), F.max("p").alias("hi"), F.max("query").alias("any")).filter("lo <> hi AND any").select("key"), "several")
     left = labelled.join(several, "key", "left_semi")
     q = left.filter("query").select("key", "class", F.col("p").alias("p1")).join(one, "class")
@@ -234,6 +245,7 @@ def class_links(keyed: DataFrame, classes: DataFrame, width: int, percent: int,
     rest = staged(pair(rest, "class", "other").distinct().join(tested, ["a", "b"], "left_anti"), "pairs")
     if not rest.isEmpty():
         found = staged(components(links.unionByName(check(rest))), "components")
+    discard(labelled, several)
     return found.select(F.col("id").alias("class"), "component")
 
 
