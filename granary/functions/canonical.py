@@ -205,6 +205,22 @@ def _decoded(s: pd.Series) -> pd.Series:
     return s.map(lambda b: None if b is None else json.dumps(decode(bytes(b)), ensure_ascii=False, separators=(",", ":")))
 
 
+@F.pandas_udf(T.BooleanType())
+def _valid(s: pd.Series) -> pd.Series:
+    def one(t):
+        try:
+            return None if t is None else validate(json.loads(t)) is None
+        except (ValidationError, ValueError):
+            return False
+
+    return s.map(one)
+
+
+def valid(json_text: Column) -> Column:
+    """Whether a JSON text has a canonical form."""
+    return _valid(json_text)
+
+
 def encoded(json_text: Column) -> Column:
     return _encoded(json_text)
 

@@ -200,8 +200,8 @@ def prefix_length(a: Column, b: Column) -> Column:
 
 
 def common_prefix(a: Column, b: Column) -> Column:
-    """The longest common prefix of two texts (halving the step; texts up to 2^12 characters)."""
-    steps = F.array(*[F.lit(1 << k) for k in range(11, -1, -1)])
+    """The longest common prefix of two texts of any length: steps of halving size, each taken if both texts go on alike."""
+    steps = F.array(*[F.lit(1 << k) for k in range(30, -1, -1)])
     room = F.least(F.length(a), F.length(b))
     n = F.aggregate(steps, F.lit(0), lambda n, step: F.when((n + step <= room) & (F.substring(a, n + 1, step) == F.substring(b, n + 1, step)), n + step).otherwise(n))
     return F.substring(a, F.lit(1), n)

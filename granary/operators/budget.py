@@ -18,6 +18,28 @@ def available(window: int, prompt_tokens: int = 0, reserve: int = RESERVE, margi
     return max(0, int(np.floor((window - prompt_tokens - reserve) * (1 - margin))))
 
 
+def available_column(window: Column, prompt_tokens: int = 0, reserve: int = RESERVE, margin: float = MARGIN) -> Column:
+    """As available, for a column of windows."""
+    return F.greatest(F.lit(0), F.floor((window - prompt_tokens - reserve) * F.lit(1 - margin))).cast("long")
+
+
+def cheapest(costs: DataFrame, by: list[str]) -> DataFrame:
+    """by, best, cost of (by, format, cost) rows: the format with the smallest cost, then the first by name."""
+    return costs.groupBy(*by).agg(F.min_by("format", F.struct("cost", "format")).alias("best"), F.min("cost").alias("cost"))
+
+
+def marginal_cost(lines: DataFrame, place: str, tokens: str, marks: list[int]) -> DataFrame:
+    """from_rows, to_rows, tokens_per_row between marks of a dataset whose lines are numbered from 1; marks beyond its end are passed over."""
+    g = lines.agg(F.count(F.lit(1)).alias("n"), *[F.sum(F.when(F.col(place) <= m, F.col(tokens))).alias(str(m)) for m in marks])
+    steps = [F.struct(F.lit(a).cast("long").alias("from_rows"), F.lit(b).cast("long").alias("to_rows"), F.round((F.col(f"`{b}`") - F.col(f"`{a}`")) / (b - a), 6).alias("tokens_per_row")) for a, b in zip(marks, marks[1:])]
+    return g.select("n", F.explode(F.array(*steps)).alias("s")).filter("s.to_rows <= n").select("s.*")
+
+
+def cache_control(text: Column, least: int = 3500) -> Column:
+    """Whether a block is long enough to be marked for a provider's prompt cache."""
+    return F.length(text) > least
+
+
 def rows_within(lines: DataFrame, order: list[str], tokens: Column, budget: int, by: list[str] | None = None) -> DataFrame:
     """by, rows, tokens: the longest prefix of lines (in order, line feeds between them count one token) within the budget.
 

@@ -14,13 +14,14 @@ ORDER = "_ord"
 DEEPEST = 50
 
 
-def ordered(df: DataFrame, *keys: str) -> DataFrame:
+def ordered(df: DataFrame, *keys: str | Column) -> DataFrame:
     """Rows numbered by keys from 0. A range partitioned sort and counts per partition; no single task sees all rows.
 
     The sorted rows are checkpointed (persisted where no checkpoint folder is set), as the ranges come
     from a sample: counts and rows must be of one and the same sort.
     """
-    placed = df.repartitionByRange(*[F.col(k) for k in keys]).sortWithinPartitions(*keys).withColumn("_m", F.monotonically_increasing_id())
+    by = [F.col(k) if isinstance(k, str) else k for k in keys]
+    placed = df.repartitionByRange(*by).sortWithinPartitions(*by).withColumn("_m", F.monotonically_increasing_id())
     placed = placed.withColumn("_p", F.shiftright("_m", 33)).withColumn("_r", F.col("_m").bitwiseAND(F.lit((1 << 33) - 1)))
     placed = placed.checkpoint() if df.sparkSession.sparkContext.getCheckpointDir() else placed.persist()
     counts = placed.groupBy("_p").agg((F.max("_r") + 1).alias("n"))
@@ -170,7 +171,8 @@ def mutated(df: DataFrame, order: str, how: str, n: int, change: dict[str, Colum
     if how == "delete":
         return df.filter(F.col(order) != middle).withColumn(order, F.col(order) - F.when(F.col(order) > middle, 1).otherwise(0))
     if how == "shuffle":
-        return df.withColumn(order, F.row_number().over(Window.orderBy(F.xxhash64(order), order)) - 1)
+        drawn = ordered(df.withColumn("_draw", F.md5(F.col(order).cast("string"))), "_draw", order)
+        return drawn.withColumn(order, F.col(ORDER).cast(df.schema[order].dataType)).select(*df.columns)
     if how == "single_field":
         return df.withColumns(change or {})
     raise ValueError(f"unknown change: {how}")

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import json
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from granary.functions.scalar import token_estimate
@@ -24,15 +24,17 @@ def session_savings(values: DataFrame, schemas: DataFrame, batch: str, cost: Col
     schema is known if an earlier batch had it; a known text saves its tokens but one.
     """
     own = values.filter("value is not null AND value <> ''").select(batch, "value").distinct()
-    first = Window.partitionBy("value").orderBy(batch)
-    own = own.withColumn("known", F.row_number().over(first) > 1)
+    first = own.groupBy("value").agg(F.min(batch).alias("__first"))
+    own = own.join(first, "value").withColumn("known", F.col(batch) > F.col("__first")).drop("__first")
     tokens = cost if cost is not None else token_estimate(F.col("value"))
     v = own.groupBy(batch).agg(
         F.count(F.when(F.col("known"), 1)).alias("dict_hits"),
         F.count(F.when(~F.col("known"), 1)).alias("new_entries"),
         F.sum(F.when(F.col("known"), F.greatest(F.lit(0), tokens - 1)).otherwise(0)).alias("value_saved"),
     )
-    s = schemas.withColumn("schema_known", F.row_number().over(Window.partitionBy("signature").orderBy(batch)) > 1)
+    # The first batch of each schema, by an aggregation: one schema may have all batches.
+    once = schemas.groupBy("signature").agg(F.min(batch).alias("__first"))
+    s = schemas.join(once, "signature").withColumn("schema_known", F.col(batch) > F.col("__first")).drop("__first")
     s = s.withColumn("schema_saved", F.when(F.col("schema_known"), token_estimate(F.concat(F.lit("@schema data "), F.replace("signature", F.lit(","), F.lit(" "))))).otherwise(0))
     j = s.join(v, batch, "left")
     zero = lambda c: F.coalesce(F.col(c), F.lit(0))
@@ -57,6 +59,13 @@ class SessionState:
         schemas = self.schemas.unionByName(one).groupBy("signature").agg(F.sum("occurrences").alias("occurrences"))
         return SessionState(self.spark, schemas, texts)
 
+    def observe_batches(self, values: DataFrame, schemas: DataFrame, batch: str) -> SessionState:
+        """The state after all batches of texts (batch, value) and their schemas (batch, signature), counted in one pass."""
+        seen = values.filter("value <> ''").select(batch, "value").distinct().groupBy("value").agg(F.count(F.lit(1)).alias("occurrences"))
+        known = schemas.select(batch, "signature").distinct().groupBy("signature").agg(F.count(F.lit(1)).alias("occurrences"))
+        merged = lambda old, new, key: old.unionByName(new).groupBy(key).agg(F.sum("occurrences").alias("occurrences"))
+        return SessionState(self.spark, merged(self.schemas, known, "signature"), merged(self.texts, seen, "value"))
+
     def save(self, path: str) -> None:
         self.schemas.write.mode("overwrite").parquet(f"{path}/schemas")
         self.texts.write.mode("overwrite").parquet(f"{path}/texts")

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from granary.functions.scalar import half_up
-from granary.operators.dataset import kind_of, leaves, melt, path
+from granary.operators.dataset import ORDER, kind_of, leaves, melt, ordered, path
 
 
 def column_entropy(df: DataFrame, keys: list[str]) -> DataFrame:
@@ -145,3 +145,33 @@ def shape_consistency(docs: DataFrame, doc: str, order: str) -> DataFrame:
     first = keys.agg(F.min_by("k", order).alias("k0"))
     j = F.size(F.array_intersect("k", "k0")) / F.size(F.array_union("k", "k0"))
     return keys.crossJoin(F.broadcast(first)).agg(F.round(F.avg(j), 9).alias("consistency"))
+
+
+def top_candidates(df: DataFrame, value: str, order: str, n: int) -> DataFrame:
+    """value, uses of the values that take most characters in all; ties by their first row."""
+    g = df.groupBy(F.col(value).alias("value")).agg(F.count(F.lit(1)).alias("uses"), F.min(order).alias("__first"))
+    return g.orderBy((F.col("uses") * F.length("value")).desc(), "__first").limit(n).select("value", "uses")
+
+
+def path_overlap(paths: DataFrame, known: DataFrame) -> DataFrame:
+    """paths, covered: how many distinct paths (p) there are, and how many of them are known."""
+    there = known.select("p", F.lit(1).alias("there")).distinct()
+    return paths.select("p").distinct().join(there, "p", "left").agg(F.count(F.lit(1)).alias("paths"), F.count("there").alias("covered"))
+
+
+def summary(df: DataFrame, by: list[str], value: str) -> DataFrame:
+    """by, avg_, max_, min_ and the median of a column."""
+    return df.groupBy(*by).agg(F.round(F.avg(value), 6).alias("avg_"), F.max(value).alias("max_"), F.min(value).alias("min_"), F.median(value).alias("p50"))
+
+
+def width_sensitivity(df: DataFrame, columns: list[str]) -> DataFrame:
+    """width, bytes: the size of comma separated lines of the first 1, 2, ... columns, from one scan."""
+    sizes = [F.sum(F.octet_length(F.concat_ws(",", *[F.coalesce(F.col(c).cast("string"), F.lit("")) for c in columns[:w]]))).alias(str(w)) for w in range(1, len(columns) + 1)]
+    each = F.array(*[F.struct(F.lit(w).alias("width"), F.col(str(w)).alias("bytes")) for w in range(1, len(columns) + 1)])
+    return df.agg(*sizes).select(F.explode(each).alias("r")).select("r.*")
+
+
+def string_table(texts: DataFrame, order: list[str]) -> DataFrame:
+    """s, id: distinct texts (s) numbered by their first place."""
+    first = texts.groupBy("s").agg(F.min(F.struct(*order)).alias("__first"))
+    return ordered(first, "__first").select("s", F.col(ORDER).alias("id"))

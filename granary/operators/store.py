@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.utils import AnalysisException
@@ -33,13 +35,12 @@ class ContentStore:
         new = hashed(bodies)
         known = self.blobs().select("hash", F.lit(True).alias("known"))
         flagged = new.join(known, "hash", "left").withColumn("is_new", F.col("known").isNull()).drop("known")
-        out = flagged.persist()
-        try:
-            answer = self.spark.createDataFrame(out.select("hash", "is_new").collect(), "hash string, is_new boolean")
-            out.filter("is_new").select("hash", "body", "rows", "bytes").write.mode("append").parquet(f"{self.path}/blobs")
-        finally:
-            out.unpersist()
-        return answer
+        answer = f"{self.path}/puts/{uuid.uuid4().hex}"
+        flagged.select("hash", "is_new").write.parquet(answer)
+        # Which ones are new is read back, so that it is decided once, before they are stored.
+        decided = self.spark.read.schema("hash string, is_new boolean").parquet(answer)
+        new.join(decided.filter("is_new"), "hash", "left_semi").select("hash", "body", "rows", "bytes").write.mode("append").parquet(f"{self.path}/blobs")
+        return decided
 
     def get(self, hash_: str) -> DataFrame:
         found = self.blobs().filter(F.col("hash") == hash_)
@@ -72,9 +73,9 @@ class ContentStore:
 
 
 def hashed(bodies: DataFrame) -> DataFrame:
-    """hash, body, rows, bytes of each distinct body."""
+    """hash, body, rows, bytes and copies of each distinct body."""
     b = bodies.select(F.sha2("body", 256).alias("hash"), "body", "rows", F.octet_length("body").cast("long").alias("bytes"))
-    return b.groupBy("hash").agg(F.first("body").alias("body"), F.first("rows").alias("rows"), F.first("bytes").alias("bytes"))
+    return b.groupBy("hash").agg(F.first("body").alias("body"), F.first("rows").alias("rows"), F.first("bytes").alias("bytes"), F.count(F.lit(1)).alias("copies"))
 
 
 def store_once(new: DataFrame, known: DataFrame, key: str) -> DataFrame:

@@ -11,6 +11,7 @@ from pyspark.sql import types as T
 
 from granary.errors import QueryError
 from granary.functions.scalar import to_number, to_text
+from granary.operators.dataset import ORDER, ordered
 
 CANONICAL = re.compile(r"-?(0|[1-9][0-9]{0,14})(\.[0-9]*[1-9])?")
 
@@ -84,9 +85,10 @@ def filter_text(df: DataFrame, text: str) -> DataFrame:
     return df.filter(predicate(df, *q.where)) if q.where else df
 
 
-def sort_stable(df: DataFrame, key: str | None, order: list[str], descending: bool = False) -> DataFrame:
-    """By a key, nulls last in both directions, ties in the given order; an absent key changes nothing."""
-    if key is None or key not in df.columns:
-        return df.orderBy(*order)
-    c = F.col(f"`{key}`")
-    return df.orderBy(c.desc_nulls_last() if descending else c.asc_nulls_last(), *order)
+def sort_stable(df: DataFrame, key: str | None, order: list[str], descending: bool = False, place: str | None = None) -> DataFrame:
+    """By a key, nulls last in both directions, ties in the given order; an absent key changes nothing. place: a column for each row's number, without which the rows are only sorted."""
+    by: list = list(order)
+    if key is not None and key in df.columns:
+        c = F.col(f"`{key}`")
+        by.insert(0, c.desc_nulls_last() if descending else c.asc_nulls_last())
+    return ordered(df, *by).withColumnRenamed(ORDER, place) if place else df.orderBy(*by)

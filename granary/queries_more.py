@@ -9,9 +9,9 @@ from granary.engine import Engine
 from granary.functions import canonical
 from granary.operators import dataset as D
 from granary.operators import render, session, stats
-from granary.operators.store import hashed
 from granary.plans.miniquery import parse
 from granary.plans.models import models_sql, models_table
+from granary.queries_plans import stored
 from granary.registry import query
 from granary.sources import files
 
@@ -40,16 +40,17 @@ def _(t):
 @query("s10_store_get", "SELECT sha256(text) AS hash, octet_length(encode(text))::BIGINT AS bytes FROM documents WHERE doc_id = 3 LIMIT 1")
 def _(t):
     d = t("documents")
-    blobs = hashed(d.select(F.col("text").alias("body"), F.lit(1).cast("long").alias("rows")))
-    want = d.filter("doc_id = 3").select(F.sha2("text", 256).alias("hash")).distinct()
-    return blobs.join(want, "hash", "left_semi").select("hash", "bytes")
+    want = d.filter("doc_id = 3").select(F.sha2("text", 256).alias("hash")).first()["hash"]
+    return stored(t, d).get(want).select("hash", "bytes")
 
 
 @query("s11_store_listing", "WITH b AS (SELECT DISTINCT sha256(text) AS hash FROM documents), c AS (SELECT DISTINCT sha256(text) AS hash FROM documents WHERE doc_id % 3 = 0) SELECT hash, c.hash IS NOT NULL AS cached FROM b LEFT JOIN c USING (hash)")
 def _(t):
-    d = t("documents").select("doc_id", F.sha2("text", 256).alias("hash"))
-    cached = d.filter("doc_id % 3 = 0").select("hash", F.lit(True).alias("c")).distinct()
-    return d.select("hash").distinct().join(cached, "hash", "left").select("hash", F.coalesce("c", F.lit(False)).alias("cached"))
+    d = t("documents")
+    kept = stored(t, d.filter("doc_id % 3 = 0"))
+    kept.materialize("gpt-4o")
+    kept.put(d.select(F.col("text").alias("body"), F.lit(1).cast("long").alias("rows")))
+    return kept.listing().select("hash", F.col("models").isNotNull().alias("cached"))
 
 
 @query("t04_model_encoding", f"SELECT model, encoding FROM {models_sql()}")
@@ -98,11 +99,13 @@ def _(t):
     return n.agg(F.lit(stats.nesting(n.schema)).alias("depth"), F.lit(len(D.leaves(n.schema))).alias("paths"), F.count(F.lit(1)).alias("rows"))
 
 
-@query("p15_validation", "SELECT n_nationkey, true AS valid FROM nation")
+@query("p15_validation", "SELECT n_nationkey, n_nationkey % 3 <> 0 AND n_nationkey <> 1 AS valid FROM nation")
 def _(t):
     n = t("nation")
-    blob = canonical.encoded(render.json_row(n, []))
-    return n.select("n_nationkey", (F.octet_length(blob) > 0).alias("valid"))
+    # Every third row has a key that is not allowed, one more is nested too deeply.
+    key, deep = F.col("n_nationkey"), "[" * 60 + "]" * 60
+    doc = F.when(key % 3 == 0, F.lit('{"a":{"__proto__":1}}')).when(key == 1, F.lit(deep)).otherwise(render.json_row(n, []))
+    return n.select("n_nationkey", canonical.valid(doc).alias("valid"))
 
 
 @query("a22_session_stats", """
@@ -114,19 +117,20 @@ def _(t):
     return s.agg(F.count(F.lit(1)).alias("batches"), F.sum("new_entries").alias("dictionary"), F.sum("dict_hits").alias("hits"))
 
 
-@query("z03_session_state", "SELECT text AS value, count(DISTINCT conv_id) AS occurrences FROM conversations WHERE conv_id < 3 AND text <> '' GROUP BY 1")
+@query("z03_session_state", "SELECT text AS value, count(DISTINCT conv_id) AS occurrences FROM conversations WHERE text <> '' GROUP BY 1")
 def _(t):
     c = t("conversations")
-    s = session.SessionState(c.sparkSession)
-    for k in range(3):
-        s = s.observe(c.filter(F.col("conv_id") == k).select(F.col("text").alias("value")), "conv_id,role,text,turn")
-    return s.texts
+    values = c.select(F.col("conv_id").alias("batch"), F.col("text").alias("value"))
+    schemas = c.select(F.col("conv_id").alias("batch"), F.lit("conv_id,role,text,turn").alias("signature"))
+    return session.SessionState(c.sparkSession).observe_batches(values, schemas, "batch").texts
 
 
 @query("s26_diagnostics", "SELECT count(*) AS records, count(DISTINCT event_type) AS operations FROM events")
 def _(t):
-    e = t("events").select(F.to_json(F.struct("event_id", "event_type")).alias("line"))
-    back = e.select(F.from_json("line", "event_id bigint, event_type string").alias("r")).select("r.*")
+    e = t("events").select("event_id", "event_type")
+    path = files.scratch(e.sparkSession, "diagnostics")
+    files.save_diagnostics(e, path)
+    back = files.load_diagnostics(e.sparkSession, path, "event_id bigint, event_type string")
     return back.agg(F.count(F.lit(1)).alias("records"), F.countDistinct("event_type").alias("operations"))
 
 

@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 
 from granary.functions import scalar as S
 from granary.operators import dataset as D
-from granary.operators import session, store, telemetry
-from granary.operators.budget import cache_outcome
+from granary.operators import session, stats, store, telemetry
+from granary.operators.budget import cache_control, cache_outcome
 from granary.plans.miniquery import filter_text, parse, predicate, select_rows, sort_stable
 from granary.registry import query
 from granary.sources import files
@@ -91,14 +91,12 @@ SELECT o_orderkey, p, (row_number() OVER (ORDER BY p DESC NULLS LAST, o_orderkey
 FROM (SELECT o_orderkey, nullif(o_orderpriority, '5-LOW') AS p FROM orders)""")
 def _(t):
     df = t("orders").select("o_orderkey", F.nullif("o_orderpriority", F.lit("5-LOW")).alias("p"))
-    sort_stable(df, "p", ["o_orderkey"], True)
-    return df.withColumn("pos", (F.row_number().over(Window.orderBy(F.col("p").desc_nulls_last(), "o_orderkey")) - 1).cast("long"))
+    return sort_stable(df, "p", ["o_orderkey"], True, place="pos")
 
 
 @query("l06_top_candidates", "SELECT p_name AS value, count(*) AS uses FROM part GROUP BY 1 ORDER BY count(*) * length(p_name) DESC, min(p_partkey) LIMIT 20")
 def _(t):
-    g = t("part").groupBy(F.col("p_name").alias("value")).agg(F.count(F.lit(1)).alias("uses"), F.min("p_partkey").alias("first"))
-    return g.orderBy((F.col("uses") * F.length("value")).desc(), "first").limit(20).select("value", "uses")
+    return stats.top_candidates(t("part"), "p_name", "p_partkey", 20)
 
 
 @query("l08_max_documents", "SELECT doc_id FROM documents ORDER BY doc_id LIMIT 500")
@@ -119,13 +117,21 @@ def _(t):
 
 @query("j02_store_once", "SELECT sha256(text) AS hash, count(*) AS copies, octet_length(encode(min(text)))::BIGINT AS bytes FROM documents GROUP BY 1")
 def _(t):
-    d = t("documents").select(F.sha2("text", 256).alias("hash"), F.octet_length("text").alias("b"))
-    return d.groupBy("hash").agg(F.count(F.lit(1)).alias("copies"), F.min("b").cast("long").alias("bytes"))
+    return store.hashed(t("documents").select(F.col("text").alias("body"), F.lit(1).cast("long").alias("rows"))).select("hash", "copies", "bytes")
+
+
+def stored(t, docs):
+    """A new store with the texts of docs."""
+    spark = docs.sparkSession
+    made = store.ContentStore(spark, files.scratch(spark, "store"))
+    made.put(docs.select(F.col("text").alias("body"), F.lit(1).cast("long").alias("rows")))
+    return made
 
 
 @query("s09_store_put", "SELECT DISTINCT sha256(text) AS hash, octet_length(encode(text))::BIGINT AS bytes FROM documents")
 def _(t):
-    return store.hashed(t("documents").select(F.col("text").alias("body"), F.lit(1).cast("long").alias("rows"))).select("hash", "bytes")
+    kept = stored(t, t("documents"))
+    return kept.blobs().select("hash", "bytes")
 
 
 @query("s13_peek_new", """
@@ -163,9 +169,8 @@ WITH a AS (SELECT DISTINCT unnest(json_keys(props)) AS p FROM events WHERE event
 SELECT (SELECT count(*) FROM a) AS paths, (SELECT count(*) FROM a JOIN b USING (p)) AS covered""")
 def _(t):
     e = t("events").select("event_type", F.explode(F.json_object_keys("props")).alias("p"))
-    a = e.filter("event_type = 'view'").select("p").union(e.sparkSession.createDataFrame([("extra",)], "p string")).distinct()
-    b = e.select("p", F.lit(1).alias("there")).distinct()
-    return a.join(b, "p", "left").agg(F.count(F.lit(1)).alias("paths"), F.count("there").alias("covered"))
+    a = e.filter("event_type = 'view'").select("p").union(e.sparkSession.createDataFrame([("extra",)], "p string"))
+    return stats.path_overlap(a, e)
 
 
 # Windows.
@@ -173,7 +178,7 @@ def _(t):
 
 @query("w01_prefix_overlap_chars", """
 WITH c AS (SELECT conv_id, turn, text, lag(text) OVER (PARTITION BY conv_id ORDER BY turn) AS prev FROM conversations)
-SELECT conv_id, turn, CASE WHEN prev IS NULL THEN 0 ELSE coalesce((SELECT max(k) FROM range(1, 1 + least(length(text), length(prev), 4095)) r(k) WHERE left(text, k) = left(prev, k)), 0) END::BIGINT AS shared FROM c""")
+SELECT conv_id, turn, CASE WHEN prev IS NULL THEN 0 ELSE coalesce((SELECT max(k) FROM range(1, 1 + least(length(text), length(prev))) r(k) WHERE left(text, k) = left(prev, k)), 0) END::BIGINT AS shared FROM c""")
 def _(t):
     c = t("conversations").withColumn("prev", F.lag("text").over(Window.partitionBy("conv_id").orderBy("turn")))
     return c.select("conv_id", "turn", F.coalesce(F.length(S.common_prefix(F.col("text"), F.col("prev"))), F.lit(0)).cast("long").alias("shared"))
@@ -330,7 +335,7 @@ def _(t):
 
 @query("s22_snapshot_log", "SELECT user_id, event_type, max_by(event_id, (ts, event_id)) AS last_run, count(*) AS runs FROM events GROUP BY 1, 2")
 def _(t):
-    return t("events").groupBy("user_id", "event_type").agg(F.max_by("event_id", F.struct("ts", "event_id")).alias("last_run"), F.count(F.lit(1)).alias("runs"))
+    return files.latest_runs(t("events"), ["user_id", "event_type"], ["ts", "event_id"], "event_id")
 
 
 # Adapters and prompts.
@@ -347,14 +352,14 @@ def _(t):
 
 
 @query("i01_placeholders", """
-WITH d AS (SELECT string_agg(r_name, ',' ORDER BY r_regionkey) AS doc FROM region), p AS (SELECT doc_id, left(text, 40) || ' {{DATA:' || CASE doc_id % 3 WHEN 0 THEN 'regions' WHEN 1 THEN 'status' ELSE 'unknown' END || '}}' AS prompt FROM documents)
+WITH d AS (SELECT string_agg(r_name, ',' ORDER BY r_regionkey) AS doc FROM region), p AS (SELECT doc_id, text || ' {{DATA:' || CASE doc_id % 3 WHEN 0 THEN 'regions' WHEN 1 THEN 'status' ELSE 'unknown' END || '}}' AS prompt FROM documents)
 SELECT doc_id, replace(replace(prompt, '{{DATA:regions}}', doc), '{{DATA:status}}', 'ok') AS prompt, length(prompt) > 60 AS long_ FROM p, d""")
 def _(t):
     spark = t("region").sparkSession
     doc = t("region").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("r_regionkey", "r_name"))), lambda x: x["r_name"]), ",").alias("document")).select(F.lit("regions").alias("name"), "document")
     known = doc.unionByName(spark.createDataFrame([("status", "ok")], "name string, document string"))
     name = F.when(F.col("doc_id") % 3 == 0, "regions").when(F.col("doc_id") % 3 == 1, "status").otherwise("unknown")
-    p = t("documents").select("doc_id", F.concat(F.left("text", F.lit(40)), F.lit(" {{DATA:"), name, F.lit("}}")).alias("prompt"))
+    p = t("documents").select("doc_id", F.concat("text", F.lit(" {{DATA:"), name, F.lit("}}")).alias("prompt"))
     p = p.withColumn("long_", F.length("prompt") > 60)
     return files.injected(p, "prompt", known)
 
@@ -367,7 +372,7 @@ def _(t):
 
 @query("i03_cache_control", "SELECT doc_id, length(text) > 3500 AS cache_control FROM documents")
 def _(t):
-    return t("documents").select("doc_id", (F.length("text") > 3500).alias("cache_control"))
+    return t("documents").select("doc_id", cache_control(F.col("text")).alias("cache_control"))
 
 
 @query("s02_append_order", "SELECT (row_number() OVER (ORDER BY part_, k) - 1) AS pos, k FROM (SELECT 0 AS part_, n_nationkey AS k FROM nation UNION ALL SELECT 1, r_regionkey FROM region)")
@@ -388,7 +393,14 @@ def _(t):
     return t("documents").select("doc_id", F.sha2("text", 256).alias("hash"))
 
 
-@query("x09_crc32", None)
+# The 256 values of the table come from its rule, eight steps each; a text's bytes are read from its hexadecimal form.
+CRC = """
+WITH RECURSIVE s AS (SELECT i, i::BIGINT AS c, 0 AS k FROM range(256) r(i) UNION ALL SELECT i, CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END, k + 1 FROM s WHERE k < 8),
+ z AS (SELECT list(c ORDER BY i) AS tab FROM s WHERE k = 8), h AS (SELECT doc_id, hex(encode(text)) AS h FROM documents)
+SELECT doc_id, xor(list_reduce(list_concat([4294967295::BIGINT], list_transform(range(0, length(h) // 2), lambda j: ('0x' || substr(h, 2 * j + 1, 2))::BIGINT)), lambda a, b: xor(a >> 8, tab[(xor(a, b) & 255) + 1])), 4294967295::BIGINT) AS crc FROM h, z"""
+
+
+@query("x09_crc32", CRC)
 def _(t):
     return t("documents").select("doc_id", F.crc32(F.col("text").cast("binary")).alias("crc"))
 

@@ -66,7 +66,7 @@ def _(t):
 @query("o01_available", "SELECT model, greatest(0, floor((window_ - 1000 - 4096) * 0.95::DOUBLE))::BIGINT AS available FROM " + models_sql())
 def _(t):
     m = models_table(t("region").sparkSession)
-    return m.select("model", F.greatest(F.lit(0), F.floor((F.col("window") - 1000 - 4096) * F.lit(0.95))).cast("long").alias("available"))
+    return m.select("model", B.available_column(F.col("window"), 1000).alias("available"))
 
 
 @query("o03_scores", f"SELECT id, round(score, 9) AS score FROM ({ITEMS})")
@@ -86,7 +86,7 @@ def _(t):
 
 @query("o06_knapsack", None)
 def _(t):
-    return B.packed(items(t).filter("tokens < 2000"), 5_000, ["grp"], "knapsack")
+    return B.packed(items(t), 5_000, ["grp"], "knapsack")
 
 
 @query("o07_pack_result", f"SELECT grp, count(*) FILTER (selected) AS items, coalesce(sum(tokens) FILTER (selected), 0)::BIGINT AS tokens, floor(coalesce(sum(tokens) FILTER (selected), 0) * 1000 / 20000.0::DOUBLE + 0.5) / 10 AS utilization FROM ({fold('-score')}) GROUP BY grp")
@@ -127,7 +127,7 @@ def format_costs(t):
 
 @query("o09_strategy", f"SELECT source, arg_min(format, (cost, format)) AS best, min(cost)::BIGINT AS cost FROM ({SIZES}) GROUP BY 1")
 def _(t):
-    return format_costs(t).groupBy("source").agg(F.min_by("format", F.struct("cost", "format")).alias("best"), F.min("cost").alias("cost"))
+    return B.cheapest(format_costs(t), ["source"])
 
 
 @query("o10_confidence", f"""

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from granary.functions import scalar as S
 from granary.functions.tokens import repeated_share, tokens
+from granary.operators import budget as B
 from granary.operators import dataset as D
 from granary.operators import render, stats, telemetry
 from granary.registry import query
@@ -174,8 +175,7 @@ WITH m AS (SELECT n_nationkey * 2 AS pos, n_name AS s FROM nation UNION ALL SELE
 SELECT s, (row_number() OVER (ORDER BY first) - 1)::INTEGER AS id FROM f""")
 def _(t):
     m = t("nation").select(F.posexplode(F.array("n_name", F.left("n_name", F.lit(6)))).alias("j", "s"), "n_nationkey")
-    f = m.groupBy("s").agg(F.min(F.struct("n_nationkey", "j")).alias("first"))
-    return f.select("s", (F.row_number().over(Window.orderBy("first")) - 1).alias("id"))
+    return stats.string_table(m, ["n_nationkey", "j"])
 
 
 @query("a15_marginal_cost", """
@@ -185,10 +185,7 @@ SELECT n AS from_rows, n2 AS to_rows, round((up2 - upto)::DOUBLE / (n2 - n), 6)
 def _(t):
     o = D.ordered(t("orders").select("o_orderkey", "o_orderstatus"), "o_orderkey")
     o = o.select((F.col("_ord") + 1).alias("n"), S.token_estimate(F.concat_ws(",", F.col("o_orderkey").cast("string"), "o_orderstatus")).alias("tok"))
-    marks = [100, 500, 1000, 5000]
-    g = o.agg(F.count(F.lit(1)).alias("n"), *[F.sum(F.when(F.col("n") <= m, F.col("tok"))).alias(str(m)) for m in marks])
-    steps = [F.struct(F.lit(a).cast("long").alias("from_rows"), F.lit(b).cast("long").alias("to_rows"), F.round((F.col(f"`{b}`") - F.col(f"`{a}`")) / (b - a), 6).alias("tokens_per_row")) for a, b in zip(marks, marks[1:])]
-    return g.select("n", F.explode(F.array(*steps)).alias("s")).filter("s.to_rows <= n").select("s.*")
+    return B.marginal_cost(o, "n", "tok", [100, 500, 1000, 5000])
 
 
 @query("a16_structural_overhead", """
@@ -205,10 +202,7 @@ def _(t):
 WITH l AS (SELECT p_name || ',' || p_brand || ',' || p_type AS a, p_name || ',' || p_brand AS b, p_name AS c FROM part)
 SELECT 1 AS width, sum(octet_length(encode(c)))::BIGINT AS bytes FROM l UNION ALL SELECT 2, sum(octet_length(encode(b)))::BIGINT FROM l UNION ALL SELECT 3, sum(octet_length(encode(a)))::BIGINT FROM l""")
 def _(t):
-    p = t("part")
-    cols = ["p_name", "p_brand", "p_type"]
-    rows = [p.select(F.octet_length(F.concat_ws(",", *cols[:w])).alias("b")).agg(F.lit(w).alias("width"), F.sum("b").alias("bytes")) for w in (1, 2, 3)]
-    return rows[0].union(rows[1]).union(rows[2])
+    return stats.width_sensitivity(t("part"), ["p_name", "p_brand", "p_type"])
 
 
 @query("a19_entropy_correlation", "SELECT round(corr(e, b), 6) AS r FROM (SELECT length(p_name)::DOUBLE AS e, length(p_name || p_brand)::DOUBLE AS b FROM part)")
@@ -233,4 +227,4 @@ def _(t):
 
 @query("a25_benchmark_summary", "SELECT p_type, round(avg(p_size), 6) AS avg_, max(p_size) AS max_, min(p_size) AS min_, median(p_size)::DOUBLE AS p50 FROM part GROUP BY 1")
 def _(t):
-    return t("part").groupBy("p_type").agg(F.round(F.avg("p_size"), 6).alias("avg_"), F.max("p_size").alias("max_"), F.min("p_size").alias("min_"), F.median("p_size").alias("p50"))
+    return stats.summary(t("part"), ["p_type"], "p_size")

@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import json
+import tempfile
+import uuid
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -171,9 +173,28 @@ def has_placeholder(text: Column, prefix: str = "DATA") -> Column:
 def injected(prompts: DataFrame, text: str, renderings: DataFrame, prefix: str = "DATA") -> DataFrame:
     """Prompts with {{DATA:name}} replaced by renderings (name, document); unknown names stay as they are.
 
-    renderings is a registry; as many columns of the expression as there are names.
+    The registry becomes one map, a single row that is broadcast; a prompt is cut at its placeholders
+    once, so that documents which hold placeholders themselves are put in as they are.
     """
-    out = F.col(text)
-    for r in renderings.collect():
-        out = F.replace(out, F.lit("{{" + prefix + ":" + r["name"] + "}}"), F.lit(r["document"]))
-    return prompts.withColumn(text, out)
+    mark = r"\{\{" + prefix + r":([A-Za-z0-9_-]+)\}\}"
+    known = renderings.dropDuplicates(["name"]).agg(F.map_from_entries(F.collect_list(F.struct("name", "document"))).alias("__known"))
+    rows = prompts.crossJoin(F.broadcast(known))
+    parts, names = F.split(F.col(text), mark, -1), F.regexp_extract_all(F.col(text), F.lit(mark), F.lit(1))
+    shown = F.transform(names, lambda n: F.coalesce(F.try_element_at(F.col("__known"), n), F.concat(F.lit("{{" + prefix + ":"), n, F.lit("}}"))))
+    whole = F.array_join(F.transform(parts, lambda p, i: F.concat(p, F.coalesce(F.get(shown, i), F.lit("")))), "")
+    return rows.withColumn(text, whole).select(*prompts.columns)
+
+
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new folder in the one that driver and executors share (spark.checkpoint.dir); local sessions without it get one of their own."""
+    found = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
+    if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        found = "file://" + tempfile.mkdtemp(prefix="granary-")
+    return f"{found.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
+def latest_runs(log: DataFrame, keys: list[str], order: list[str], run: str) -> DataFrame:
+    """For each key the last run and the number of runs in the log."""
+    return log.groupBy(*keys).agg(F.max_by(run, F.struct(*order)).alias("last_run"), F.count(F.lit(1)).alias("runs"))
