@@ -21,7 +21,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from granary.llm.common import as_long, mix64, slices, staged
+from granary.llm.common import as_long, discard, mix64, slices, staged
 
 BASE = pow(0x9E3779B97F4A7C15, 5, 2**64) | 1
 INVERSE = pow(BASE, -1, 2**64)
@@ -233,7 +233,7 @@ def stretches(found: DataFrame) -> DataFrame:
     return per.select(*KEY, "parts").mapInArrow(rows, f"code long, twin long, doc long, tag long, place long, n int, parts array<{PART}>, local int")
 
 
-def repeated_segments(keyed: DataFrame, symbols: Callable, length: int, k: int) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+def repeated_segments(keyed: DataFrame, symbols: Callable, length: int, k: int) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame, list[DataFrame]]:
     """What is repeated in the large, what is left of it, and a row per distinct segment that is left.
 
     Only segments whose anchor hash occurs again are looked at. The first table has what repeats inside
@@ -241,12 +241,13 @@ def repeated_segments(keyed: DataFrame, symbols: Callable, length: int, k: int)
     tag, place, n, and doc0, tag0, place0 of the earliest one. The third has the segments (fp, whole,
     twin, doc, tag, place, n) of the earliest occurrence of every stretch. The fourth has, for each
     distinct one of these, c, how often it occurs there, doc, tag, place and n of the earliest one, and
-    kinds, how many distinct segments its anchor has. The counts are combined before they are
+    kinds, how many distinct segments its anchor has. Last come the tables that these read. The counts are combined before they are
     shuffled, and written, so that the joins read plain shuffles, whose hot keys the adaptive planner splits.
     """
     rows = segment_rows(keyed, symbols, length, k)
     again = staged(rows.groupBy("fp").agg(F.count(F.lit(1)).alias("c")).filter("c > 1").select("fp"), "repeated-anchors")
     every = staged(stretches(rows.join(again, "fp")), "stretches")
+    discard(again)
     local, long = every.filter("local > 0").select("doc", "tag", "place", "n", "local"), every.filter("local = 0")
     first = long.groupBy("code", "twin").agg(F.min(F.struct("doc", "tag", "place")).alias("first"), F.count(F.lit(1)).alias("c"), F.first("parts").alias("parts"))
     first = staged(first.select("code", "twin", *[F.col(f"first.{c}").alias(f"{c}0") for c in ("doc", "tag", "place")], "c", "parts"), "distinct-stretches")
@@ -259,7 +260,7 @@ def repeated_segments(keyed: DataFrame, symbols: Callable, length: int, k: int)
     distinct = found.groupBy("fp", "whole", "twin").agg(F.count(F.lit(1)).alias("c"), F.min(F.struct("doc", "tag", "place", "n")).alias("first"))
     distinct = staged(distinct.select("fp", "whole", "twin", "c", "first.*"), "distinct-segments")
     kinds = staged(distinct.groupBy("fp").agg(F.count(F.lit(1)).alias("kinds")).filter("kinds > 1"), "anchor-kinds")
-    return local, large, found, distinct.join(kinds, "fp", "left").withColumn("kinds", F.coalesce("kinds", F.lit(1)))
+    return local, large, found, distinct.join(kinds, "fp", "left").withColumn("kinds", F.coalesce("kinds", F.lit(1))), [every, first, found, distinct, kinds]
 
 
 def later():

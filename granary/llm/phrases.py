@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 
 from granary.llm import anchors
 from granary.llm.anchors import KEY, MARK_BITS, column_bytes, gathered, later, spans_hash, with_key, word_spans, word_symbols
-from granary.llm.common import as_long, lean, release, slices, table
+from granary.llm.common import as_long, discard, lean, release, slices, staged, table
 from granary.llm.suffix import SPAN, cover, runs, span_batch
 
 LENGTH, GRAM, CROWD = 20, 6, 4096
@@ -88,8 +88,8 @@ def sharded(batches, length: int):
 
 
 def later_spans(keyed: DataFrame, length: int, gram: int, crowd: int) -> DataFrame:
-    """(doc, tag, place, n): runs of windows that also start earlier."""
-    local, large, found, distinct = anchors.repeated_segments(keyed, word_symbols, length, gram)
+    """KEY and the runs (place, n) of windows that also start earlier; a written table."""
+    local, large, found, distinct, tables = anchors.repeated_segments(keyed, word_symbols, length, gram)
     first = distinct.filter("c > 1").select("fp", "whole", "twin", *[F.col(c).alias(f"{c}0") for c in ("doc", "tag", "place")])
     whole = found.join(first, ["fp", "whole", "twin"]).filter(later())
 
@@ -130,6 +130,8 @@ def later_spans(keyed: DataFrame, length: int, gram: int, crowd: int) -> DataFra
     out = local.filter("local = 1").select("doc", "tag", "place", "n")
     for more in (whole, large.filter(later()), met, crowded):
         out = out.unionByName(more.select("doc", "tag", "place", "n"))
+    out = staged(gathered(out, "place", "n"), "later-spans")
+    discard(*tables)
     return out
 
 
@@ -150,7 +152,7 @@ def remove_passages(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, cro
 def with_passages_removed(docs: DataFrame, carried: list[str], length: int = LENGTH, gram: int = GRAM, crowd: int = CROWD) -> DataFrame:
     """As remove_passages, with columns of docs carried along (as carried_0, carried_1, ...) and rest: the text without the removed words and the blanks behind them, so that its lines stay."""
     lean(docs.sparkSession)
-    spans = gathered(later_spans(with_key(docs), length, gram, crowd), "place", "n")
+    spans = later_spans(with_key(docs), length, gram, crowd)
     names = [f"carried_{k}" for k in range(len(carried))]
     header = [x.split()[0] for x in RESULT.split(", ")]
 

@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 
 from granary.llm import anchors
 from granary.llm.anchors import KEY, MARK_BITS, OTHERS, SYMBOLS, byte_symbols, column_bytes, gathered, spans_hash, with_key
-from granary.llm.common import as_long, lean, release, slices, table
+from granary.llm.common import as_long, discard, lean, release, slices, staged, table
 
 LENGTH, GRAM, CROWD = 200, 64, 2048
 ROOM = 800_000  # bytes sorted at once are about so many at most; places and names must stay below 2^20
@@ -147,8 +147,8 @@ def sorted_groups(batches, length: int):
 
 
 def repeated_spans(keyed: DataFrame, length: int, gram: int, crowd: int) -> DataFrame:
-    """(doc, tag, place, n): runs of windows of this length that start anywhere else too."""
-    local, large, found, distinct = anchors.repeated_segments(keyed, byte_symbols, length, gram)
+    """KEY and the runs (place, n) of windows of this length that start anywhere else too; a written table."""
+    local, large, found, distinct, tables = anchors.repeated_segments(keyed, byte_symbols, length, gram)
     whole = found.join(distinct.filter("c > 1").select("fp", "whole", "twin"), ["fp", "whole", "twin"], "left_semi")
     # Rows that stand in the table more than once: each is repeated in the other.
     twice = keyed.groupBy(*KEY).agg(F.count(F.lit(1)).alias("c"), F.first(F.octet_length("text")).alias("size")).filter((F.col("c") > 1) & (F.col("size") >= length))
@@ -187,6 +187,8 @@ def repeated_spans(keyed: DataFrame, length: int, gram: int, crowd: int) -> Data
     out = twice
     for more in (local, whole, large, met, crowded):
         out = out.unionByName(more.select("doc", "tag", "place", "n"))
+    out = staged(gathered(out, "place", "n"), "repeated-spans")
+    discard(*tables)
     return out
 
 
@@ -216,7 +218,7 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, crow
     """
     lean(docs.sparkSession)
     keyed = with_key(docs)
-    spans = gathered(repeated_spans(keyed, length, gram, crowd), "place", "n")
+    spans = repeated_spans(keyed, length, gram, crowd)
 
     def strip(batches):
         for b in slices(batches, 1):

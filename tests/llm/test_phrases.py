@@ -4,6 +4,7 @@ import re
 from collections import Counter
 
 import pytest
+from pyspark.sql import functions as F
 
 from granary.llm import phrases
 
@@ -68,3 +69,40 @@ def test_portions_of_automata(monkeypatch):
     text = " ".join(f"w{k}" for k in range(40))
     got = phrases.located([(2, 5, 0, 38, text), (1, 5, 0, 38, text), (1, 5, 50 << 32, 38, text), (1, 6, 0, 38, text)], 3)
     assert [f.all() for f in got] == [True, False, True, True] and not got[1].any()
+
+
+def test_rows_without_ids(spark):
+    """Thousands of rows without a doc_id are told apart by their texts."""
+    rng = random.Random(9)
+    shared = [" ".join(f"s{rng.randrange(500)}" for _ in range(25)) for _ in range(20)]
+    texts = {f"{k} " + " ".join(f"w{rng.randrange(5000)}" for _ in range(rng.randint(0, 30))) + (" " + rng.choice(shared) if rng.random() < 0.3 else "") for k in range(10_000)}
+    docs = spark.createDataFrame([(None, t) for t in texts], "doc_id long, text string")
+    got = phrases.remove_passages(docs).collect()
+    assert len(got) == len(texts) and all(r.doc_id is None for r in got)
+    # Which row of a shared passage is the first one is left to the hashes; that all others lose it is not.
+    windows = Counter(w for t in texts for ws in [t.split()] for w in {tuple(ws[k : k + 20]) for k in range(len(ws) - 19)})
+    kept = Counter(w for r in got for ws in [r.kept.split()] for w in {tuple(ws[k : k + 20]) for k in range(len(ws) - 19)})
+    assert all(kept[w] == 1 for w, n in windows.items() if n == 1) and all(kept[w] <= 1 for w in kept)
+    single = {w for w, n in windows.items() if n == 1}
+    assert sum(r.n_removed for r in got if r.n_removed) > 0 and len(single) > 1000
+
+
+def test_rows_of_one_tag(spark, monkeypatch):
+    whole = phrases.with_key
+    monkeypatch.setattr(phrases, "with_key", lambda docs, *c: whole(docs, *c).withColumn("tag", F.lit(1).cast("long")))
+    long = " ".join(f"x{k}" for k in range(200))
+    docs = spark.createDataFrame([(1, long), (1, " ".join(f"y{k}" for k in range(90))), (2, " ".join(f"x{k}" for k in range(60, 90)))], "doc_id long, text string")
+    assert sorted((r.doc_id, r.n_words, r.n_removed) for r in phrases.remove_passages(docs).collect()) == [(1, 90, 0), (1, 200, 0), (2, 30, 30)]
+
+
+def test_what_repeats_inside_a_text(spark):
+    rows = [(1, "a b " * 400), (2, "a b " * 30 + " ".join(f"w{k}" for k in range(30))), (3, ("p q r s t u v w x y " * 9 + "z ") * 5), (4, "p q r s t u v w x y " * 3)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert Counter((r.doc_id, r.n_words, r.n_removed, r.kept_sha256) for r in phrases.remove_passages(docs).collect()) == brute(rows, 20)
+
+
+def test_lines_stay(spark):
+    passage = " ".join(f"w{k}" for k in range(25))
+    docs = spark.createDataFrame([(1, passage, "k"), (2, f"one two\n\nthree {passage}\nfour  five\n", "k"), (3, None, None)], "doc_id long, text string, kept string")
+    got = {r.doc_id: r for r in phrases.with_passages_removed(docs, docs.columns).collect()}
+    assert got[2].rest == "one two\n\nthree four  five\n" and got[1].rest is None and got[2].carried_2 == "k" and got[3].carried_1 is None

@@ -4,6 +4,7 @@ from collections import Counter
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from granary.llm import suffix
 
@@ -72,3 +73,13 @@ def test_against_brute_force(spark, seed, length, gram, crowd):
 
 def test_no_rows(spark):
     assert suffix.remove_repeats(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+def test_rows_of_one_tag(spark, monkeypatch):
+    whole = suffix.with_key
+    monkeypatch.setattr(suffix, "with_key", lambda docs, *c: whole(docs, *c).withColumn("tag", F.lit(1).cast("long")))
+    rng = random.Random(3)
+    a, b, c = ("".join(rng.choices("abcdefgh", k=n)) for n in (900, 400, 250))
+    rows = [(None, a), (None, b), (None, c + a[300:700]), (7, "ab" * 500)]
+    got = suffix.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert Counter((r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in got) == Counter(brute([t for _, t in rows], 200))
