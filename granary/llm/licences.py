@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import math
 import re
+from bisect import bisect_left
 from collections import defaultdict
 
 import pyarrow as pa
@@ -38,6 +39,13 @@ TEMPLATES = [
     ("cc0-1.0", "this work has been dedicated to the public domain under the creative commons zero dedication", ["public domain", "creative commons zero"]),
     ("bsd", "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met", ["redistribution and use in source and binary forms", "provided that the following conditions"]),
     ("mpl-2.0", "this source code form is subject to the terms of the mozilla public license v 2 0", ["mozilla public license"]),
+    ("agpl-3.0", "under the terms of the gnu affero general public license as published by the free software foundation", ["gnu affero general public license"]),
+    ("epl-2.0", "this program and the accompanying materials are made available under the terms of the eclipse public license 2 0", ["eclipse public license"]),
+    ("isc", "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted provided that the above copyright notice and this permission notice appear in all copies", ["permission to use copy modify and or distribute", "with or without fee"]),
+    ("mit", "the software is provided as is without warranty of any kind express or implied including but not limited to the warranties of merchantability fitness for a particular purpose and noninfringement", ["the software is provided as is", "merchantability fitness for a particular purpose and noninfringement"]),
+    ("unlicense", "this is free and unencumbered software released into the public domain", ["free and unencumbered software", "public domain"]),
+    ("bsd-3-clause", "neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission", ["neither the name of", "endorse or promote products derived from this software"]),
+    ("zlib", "this software is provided as is without any express or implied warranty in no event will the authors be held liable for any damages arising from the use of this software", ["in no event will the authors be held liable"]),
     ("reserved", "copyright all rights reserved", ["all rights reserved"]),
     ("proprietary", "this document is confidential and proprietary and may not be reproduced without written permission", ["confidential and proprietary"]),
 ]
@@ -62,8 +70,8 @@ def places(ws: list[bytes], phrase: list[bytes]) -> list[int]:
 class Index:
     """The templates under their ``keys`` rarest words; at least ``votes`` of these, or all, must agree on a place."""
 
-    def __init__(self, frequency: dict[bytes, int], total: int, keys: int = 4, votes: int = 2, slack: int = 2):
-        self.slack, self.postings, self.templates = slack, defaultdict(list), []
+    def __init__(self, frequency: dict[bytes, int], total: int, keys: int = 4, votes: int = 2, slack: int = 2, stretch: int = 20_000):
+        self.slack, self.stretch, self.postings, self.templates = slack, stretch, defaultdict(list), []
         self.idf = lambda w: math.log((total + 1) / (frequency.get(w, 0) + 1))
         self.base = [(p.encode().split(), label) for p, label in BASE.items()]
         for k, (label, text, phrases) in enumerate(TEMPLATES):
@@ -75,7 +83,7 @@ class Index:
                     self.postings[w].append((k, at))
 
     def scan(self, ws: list[bytes]) -> list[tuple[str, int, float]]:
-        """(label, first word, share of the template's words at their places) of every accepted candidate."""
+        """(label, first word, share of the template's words at their places) of every accepted match, all places of a template."""
         present = set(ws).intersection(self.postings)
         if not present:
             return []
@@ -83,22 +91,37 @@ class Index:
         for at, w in enumerate(ws):
             if w in present:
                 where[w].append(at)
-        agree = defaultdict(set)
-        for w in sorted(present, key=lambda w: (-self.idf(w), w)):
-            for at in where[w]:
-                for k, own in self.postings[w]:
-                    for shift in range(-self.slack, self.slack + 1):
-                        agree[k, at - own + shift].add(w)
-        best: dict[int, tuple[float, int]] = {}
-        for (k, begin), found in agree.items():
-            label, template, phrases, votes = self.templates[k]
-            if len(found) < votes:
-                continue
-            near = lambda p, own: any(ws[a : a + len(p)] == p for at in own for a in range(max(0, begin + at - self.slack), begin + at + self.slack + 1))  # noqa: B023, E731
-            if all(near(p, own) for own, p in phrases):
+        rare = sorted(present, key=lambda w: (-self.idf(w), w))
+        longest = max(len(t[1]) for t in self.templates)
+        out: list[tuple[str, int, float]] = []
+        ends: dict[int, tuple[int, float]] = {}  # of each template, the last match and its share
+        # Begins are looked for stretch by stretch, so that votes never need more room than one of them.
+        for low in range(-self.slack - longest, len(ws), self.stretch):
+            high = low + self.stretch
+            agree = defaultdict(set)
+            for w in rare:
+                own = where[w]
+                for at in own[bisect_left(own, low - self.slack) : bisect_left(own, high + longest + self.slack)]:
+                    for k, place in self.postings[w]:
+                        for begin in range(max(low, at - place - self.slack), min(high, at - place + self.slack + 1)):
+                            agree[k, begin].add(w)
+            for (k, begin), found in sorted(agree.items(), key=lambda x: x[0]):
+                label, template, phrases, votes = self.templates[k]
+                if len(found) < votes or not all(self._near(ws, begin, own, p) for own, p in phrases):
+                    continue
                 share = sum(0 <= begin + j < len(ws) and ws[begin + j] == w for j, w in enumerate(template)) / len(template)
-                best[k] = max(best.get(k, (0.0, 0)), (share, -begin))
-        return [(self.templates[k][0], -begin, share) for k, (share, begin) in sorted(best.items())]
+                # Begins up to the slack apart are one match, at the best of them.
+                if k in ends and begin - ends[k][0] <= 2 * self.slack:
+                    if share <= ends[k][1]:
+                        continue
+                    out = [m for m in out if m[:2] != (k, ends[k][0])]
+                ends[k] = begin, share
+                out.append((k, begin, share))
+        return [(self.templates[k][0], begin, share) for k, begin, share in sorted(out)]
+
+    def _near(self, ws: list[bytes], begin: int, own: list[int], p: list[bytes]) -> bool:
+        """Whether a phrase stands at one of its places in the template, up to the slack away."""
+        return any(ws[a : a + len(p)] == p for at in own for a in range(max(0, begin + at - self.slack), begin + at + self.slack + 1))
 
 
 def template_words() -> frozenset[bytes]:
@@ -129,8 +152,9 @@ RESULT = "doc_id long, n_words long, n_base long, first_word long, last_word lon
 def scan(docs: DataFrame) -> DataFrame:
     """Licences in every row of docs (doc_id, text; other columns are ignored).
 
-    Null and empty texts have no words and no labels; repeated rows give repeated results. score is
-    the largest share among accepted templates, 0.5 for base phrases alone, else 0.
+    Null and empty texts have no words and no labels; repeated rows give repeated results; an empty
+    table gives an empty one. score is the largest share among accepted templates, 0.5 for base phrases
+    alone, else 0. matches has every place of every template. A text is held whole by its task (2 GB at most).
     """
     lean(docs.sparkSession)
     index_of = word_frequencies(docs)

@@ -45,3 +45,45 @@ def test_key_phrases_are_mandatory():
     assert not index.scan([])
     near = index.scan(licences.words("Licensed under the well known Apache License, Version 2.0."))
     assert [m[0] for m in near] == ["apache-2.0"] and near[0][2] < 1
+
+
+def all_matches(ws, index):
+    """Every template at every place, without an index: places where a match scores best among its neighbours."""
+    found = []
+    for k, (label, template, phrases, votes) in enumerate(index.templates):
+        keys = {w: [j for j, x in enumerate(template) if x == w] for w in index.postings if any(p[0] == k for p in index.postings[w])}
+        last = None
+        for begin in range(-len(template), len(ws)):
+            around = lambda j: ws[max(0, begin + j - index.slack) : max(0, begin + j + index.slack + 1)]  # noqa: B023, E731
+            n = sum(any(w in around(j) for j in js) for w, js in keys.items())
+            if n < votes or not all(any(ws[a : a + len(p)] == p for j in own for a in range(max(0, begin + j - index.slack), begin + j + index.slack + 1)) for own, p in phrases):
+                continue
+            share = sum(0 <= begin + j < len(ws) and ws[begin + j] == w for j, w in enumerate(template)) / len(template)
+            if last is not None and begin - found[last][1] <= 2 * index.slack:
+                if share > found[last][2]:
+                    found[last] = (k, begin, share)
+                continue
+            last = len(found)
+            found.append((k, begin, share))
+    return [(index.templates[k][0], begin, share) for k, begin, share in sorted(found)]
+
+
+def test_matches_against_brute_force():
+    rng = random.Random(8)
+    index = licences.Index({}, 10, stretch=37)
+    for _ in range(60):
+        ws = []
+        for _ in range(rng.randint(0, 6)):
+            t = rng.choice(licences.TEMPLATES)[1].encode().split()
+            for _ in range(rng.randint(0, 2)):
+                k = rng.randrange(len(t) + 1)
+                t[k : k + rng.randint(0, 1)] = [b"odd"] * rng.randint(0, 1)
+            ws += t + rng.choices([b"the", b"license", b"software", b"word"], k=rng.randint(0, 30))
+        got = licences.Index({}, 10).scan(ws)
+        assert index.scan(ws) == got == all_matches(ws, index)
+
+
+def test_every_place_of_a_template():
+    line = licences.words("Released under the MIT license. ")
+    got = licences.Index({}, 1).scan((line + [b"x"] * 9) * 3)
+    assert [m[:2] for m in got if m[0] == "mit"] == [("mit", 0), ("mit", 14), ("mit", 28)]
