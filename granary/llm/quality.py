@@ -170,8 +170,9 @@ def held_out(doc_id: str = "doc_id"):
 def fit(docs: DataFrame, labels: DataFrame, sample: int = 20_000) -> tuple[np.ndarray, Network]:
     """Word vectors from all documents and a network from at most ``sample`` labelled rows outside the held-out fold.
 
-    Labels other than 0 and 1, or null, are not used; of repeated labels the smallest counts. No
-    labels at all give a network with a score of one half.
+    Labels other than 0 and 1, or null, are not used; of repeated labels the smallest counts, and of
+    rows with one doc_id the one with the smallest text hash. No labels at all, or an empty table, give a
+    network with a score of one half.
     """
     lean(docs.sparkSession)
     vectors = word_vectors(context_vectors(docs))
@@ -187,6 +188,8 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = 20_000) -> tuple[np.nd
 
     # At most ``sample`` rows of two numbers are broadcast.
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).join(F.broadcast(chosen), "doc_id")
+    # One row of each doc_id: what the driver gets is bounded by ``sample``, however often an id is repeated.
+    rows = rows.groupBy("doc_id", "quality").agg(F.min_by("text", F.xxhash64("text")).alias("text"))
     got = rows.select("doc_id", "text", F.col("quality").cast("long")).mapInArrow(inputs, "doc_id long, x binary, quality long").collect()
     got.sort(key=lambda r: (r.doc_id, bytes(r.x)))
     x = np.array([np.frombuffer(r.x, np.float32) for r in got]).reshape(len(got), 2 * DIMS + EXTRA)
@@ -195,7 +198,11 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = 20_000) -> tuple[np.nd
 
 
 def score(docs: DataFrame, vectors: np.ndarray, net: Network, threshold: float = 0.3) -> DataFrame:
-    """doc_id, score, predicted for every row of docs; null and empty texts are scored as texts without words."""
+    """doc_id, score, predicted for every row of docs (doc_id, text; other columns are ignored).
+
+    Null and empty texts are scored as texts without words; repeated rows get equal scores, rows without
+    a doc_id theirs; an empty table gives an empty one. A text is held whole by its task (2 GB at most).
+    """
     shared = docs.sparkSession.sparkContext.broadcast((vectors, net))
 
     def rate(batches):
