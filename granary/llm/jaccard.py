@@ -103,8 +103,17 @@ def sketch_of(s: np.ndarray) -> np.ndarray:
     return np.packbits((np.bincount(at, minlength=64 * LANES) & 1).astype(np.uint8)).view(np.int64)
 
 
+def wide_sketch_of(s: np.ndarray) -> np.ndarray | None:
+    """As sketch_of, as many parities as a large set has shingles (a power of two); None for small sets, which sketch_of serves well."""
+    if len(s) <= 48 * LANES:
+        return None
+    size = 1 << max(9, (len(s) - 1).bit_length())
+    at = (mix64(s + U(0x8CB92BA72F3D8DD7)) >> U(32)).astype(np.int64) & (size - 1)
+    return np.packbits((np.bincount(at, minlength=size) & 1).astype(np.uint8)).view(np.int64)
+
+
 def class_rows(keyed: DataFrame, width: int, salt: int) -> DataFrame:
-    """KEY, doc_id, n, class, twin and sketch of every row."""
+    """KEY, doc_id, n, class, twin and sketches of every row."""
     names = ["doc", "tag", "mark", "doc_id", "n", "class", "twin", *(f"s{k}" for k in range(LANES))]
 
     def rows(batches):
@@ -112,9 +121,9 @@ def class_rows(keyed: DataFrame, width: int, salt: int) -> DataFrame:
             sets = shingle_sets(b.column(4), width)
             lanes = np.array([sketch_of(s) for s in sets]).reshape(-1, LANES).T
             classes = np.array([class_of(s, salt) for s in sets], np.int64).reshape(-1, 2).T
-            yield pa.record_batch([*(b.column(k) for k in range(4)), pa.array([len(s) for s in sets], pa.int64()), *(pa.array(np.ascontiguousarray(x)) for x in (*classes, *lanes))], names)
+            yield pa.record_batch([*(b.column(k) for k in range(4)), pa.array([len(s) for s in sets], pa.int64()), *(pa.array(np.ascontiguousarray(x)) for x in (*classes, *lanes)), pa.array([wide_sketch_of(s) for s in sets], pa.list_(pa.int64()))], [*names, "wide"])
 
-    return keyed.select(*KEY, "doc_id", "text").mapInArrow(rows, ", ".join(f"{x} long" for x in names))
+    return keyed.select(*KEY, "doc_id", "text").mapInArrow(rows, ", ".join(f"{x} long" for x in names) + ", wide array<long>")
 
 
 KEYS = "key long, class long, n int, spare int, band int"
@@ -186,7 +195,12 @@ def near(percent: int):
     """Whether columns n, s0, ... and m, t0, ... allow the similarity: by size, and by the bits in which the sketches differ."""
     apart = sum((F.bit_count(F.col(f"s{k}").bitwiseXOR(F.col(f"t{k}"))) for k in range(LANES)), F.lit(0))
     sizes = (F.col("n") * 100 >= F.col("m") * percent) & (F.col("m") * 100 >= F.col("n") * percent)
-    return sizes & (apart * (100 + percent) <= (F.col("n") + F.col("m")) * (100 - percent))
+    room = (F.col("n") + F.col("m")) * (100 - percent)
+    # Wide sketches have a power of two of parities; the longer one is folded to the shorter.
+    fold = lambda x, y: F.when(F.size(x) > F.size(y), F.zip_with(F.slice(x, 1, F.size(y)), F.slice(x, F.size(y) + 1, F.size(y)), lambda p, q: p.bitwiseXOR(q))).otherwise(F.col(x))
+    bits = F.aggregate(F.zip_with(fold("wide", "broad"), fold("broad", "wide"), lambda p, q: F.bit_count(p.bitwiseXOR(q))), F.lit(0), lambda a, b: a + b)
+    unlike = F.col("wide").isNotNull() & F.col("broad").isNotNull() & (bits * (100 + percent) > room)
+    return sizes & (apart * (100 + percent) <= room) & ~unlike
 
 
 def class_links(keyed: DataFrame, classes: DataFrame, width: int, percent: int, salt: int) -> DataFrame:
@@ -200,8 +214,8 @@ def class_links(keyed: DataFrame, classes: DataFrame, width: int, percent: int,
     discard(again)
 
     sketches = [f"s{k}" for k in range(LANES)]
-    one = classes.select("class", "n", *sketches)
-    two = classes.select(F.col("class").alias("other"), F.col("n").alias("m"), *(F.col(f"s{k}").alias(f"t{k}") for k in range(LANES)))
+    one = classes.select("class", "n", "wide", *sketches)
+    two = classes.select(F.col("class").alias("other"), F.col("n").alias("m"), F.col("wide").alias("broad"), *(F.col(f"s{k}").alias(f"t{k}") for k in range(LANES)))
     pair = lambda df, a, b: df.select(F.least(a, b).alias("a"), F.greatest(a, b).alias("b"))
 
     # First against the smallest class of a key, the one that most keys are shared with; then against the rest of these.
@@ -256,11 +270,11 @@ def grouped(docs: DataFrame, width: int, percent: int) -> DataFrame:
     all would be numbered anew with the next salt.
     """
     keyed = with_key(docs)
-    lanes = [F.first(f"s{k}").alias(f"s{k}") for k in range(LANES)]
+    lanes = [F.first(f"s{k}").alias(f"s{k}") for k in range(LANES)] + [F.first("wide").alias("wide")]
     for salt in range(1 << 16):
         info = staged(class_rows(keyed, width, salt), "classes")
         classes = info.filter("n > 0").groupBy("class").agg(F.min(F.struct(*KEY)).alias("one"), F.first("n").alias("n"), F.min("twin").alias("lo"), F.max("twin").alias("hi"), *lanes)
-        classes = staged(classes.select("class", "one.*", "n", "lo", "hi", *(f"s{k}" for k in range(LANES))), "distinct-classes")
+        classes = staged(classes.select("class", "one.*", "n", "lo", "hi", "wide", *(f"s{k}" for k in range(LANES))), "distinct-classes")
         if classes.filter("lo <> hi").isEmpty():
             break
     found = class_links(keyed, classes, width, percent, salt)

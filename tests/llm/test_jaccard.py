@@ -117,3 +117,33 @@ def test_components_of_paths_and_stars(spark):
     rng.shuffle(edges)
     got = {r.id: r.component for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
     assert got == {k: 0 for k in range(61)} | {k: 900 for k in range(900, 1001)} | {7000: 7000, 7001: 7000}
+
+
+def test_sketches_never_exclude_similar_sets(spark):
+    """Bits in which sketches differ, folded where their sizes do, are no more than the shingles in which the sets differ."""
+    rng = np.random.default_rng(6)
+    for n in (385, 500, 513, 1000, 1025, 3000):
+        s = np.unique(rng.integers(0, 2**63, n).astype(np.uint64))
+        other = np.concatenate([s[n // 9 :], rng.integers(0, 2**63, n // 12).astype(np.uint64)])
+        x, y = jaccard.wide_sketch_of(s), jaccard.wide_sketch_of(other)
+        if x is None or y is None:
+            continue
+        while len(x) > len(y):
+            x = x[: len(x) // 2] ^ x[len(x) // 2 :]
+        while len(y) > len(x):
+            y = y[: len(y) // 2] ^ y[len(y) // 2 :]
+        assert sum(int(a).bit_count() for a in (x ^ y).view(np.uint64)) <= len(np.setxor1d(s, other))
+
+
+def test_long_texts(spark):
+    rng = random.Random(4)
+    rows = []
+    for g in range(4):
+        base = [f"w{rng.randrange(3000)}" for _ in range(500 + 400 * g)]
+        for k in range(4):
+            ws = list(base)
+            for _ in range(k * len(ws) // 60):
+                ws[rng.randrange(len(ws))] = "z"
+            rows.append((len(rows), " ".join(ws + ["the", "end"] * 40)))
+    got = Counter((r.doc_id, r.n_shingles, r.component_id) for r in jaccard.join_documents(spark.createDataFrame(rows, "doc_id long, text string")).collect())
+    assert got == brute(rows, 80, 5)
