@@ -51,13 +51,22 @@ def new_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/granary/{name}-{uuid.uuid4().hex}"
 
 
+def forget(spark: SparkSession) -> None:
+    """Let shuffle files of finished steps go: they do when the JVM finds that nothing refers to them any more.
+
+    Called before a step too, as a step's end is still referred to by the listeners right after it.
+    """
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def staged(df: DataFrame, name: str) -> DataFrame:
     """Write df as Parquet in the shared folder and read it back: the lineage is cut, and lost executors lose nothing."""
     spark = df.sparkSession
     path = new_path(spark, name)
+    forget(spark)
     df.write.parquet(path)
-    # Shuffle files go when the JVM finds that nothing refers to them any more.
-    spark.sparkContext._jvm.System.gc()
+    forget(spark)
     out = spark.read.schema(df.schema).parquet(path)
     out._granary_path = path
     return out

@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from granary.llm.anchors import KEY, LOWER, column_bytes, grams, spans_hash, with_key, words_of
-from granary.llm.common import as_long, discard, lean, mix64, slices, staged, table
+from granary.llm.common import as_long, discard, forget, lean, mix64, slices, staged, table
 from granary.llm.components import components
 
 RATIO = 1.6
@@ -278,6 +278,7 @@ def grouped(docs: DataFrame, width: int, percent: int) -> DataFrame:
         if classes.filter("lo <> hi").isEmpty():
             break
     found = class_links(keyed, classes, width, percent, salt)
+    forget(docs.sparkSession)
     out = info.select(*KEY, "doc_id", "n", "class").join(found, "class", "left")
     return staged(out.select(*KEY, "doc_id", "n", F.when(F.col("n") > 0, F.coalesce("component", "class")).alias("component")), "groups")
 
