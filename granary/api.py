@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import csv
+import io
 import json
 import logging
+import re
 import time
 from contextlib import contextmanager
 from dataclasses import dataclass, field
@@ -122,6 +125,16 @@ def token_lines(df: DataFrame, order: list[str], encoding: str = "o200k_base") -
     return g.select(*order, F.concat(F.array(F.lit(token_stream.ROW)), F.when(holes, mask).otherwise(F.array().cast("array<int>")), body).alias("tokens"))
 
 
+def encoding_stats(df: DataFrame, order: list[str], encoding: str = "o200k_base") -> DataFrame:
+    """rows, unique_tokens, total_tokens, json_tokens, reduction_pct: the token stream of a dataset beside its JSON."""
+    stream = token_lines(df, order, encoding)
+    total = stream.agg(F.count(F.lit(1)).alias("rows"), F.coalesce(F.sum(F.size("tokens")), F.lit(0)).alias("total_tokens"))
+    unique = stream.select(F.explode("tokens").alias("token")).distinct().agg(F.count(F.lit(1)).alias("unique_tokens"))
+    plain = df.select(token_count(render.json_row(df, order), encoding).alias("n")).agg(F.coalesce(F.sum("n"), F.lit(0)).alias("json_tokens"))
+    g = total.crossJoin(unique).crossJoin(plain)
+    return g.select("rows", "unique_tokens", "total_tokens", "json_tokens", F.round(100 * (1 - F.coalesce(F.try_divide("total_tokens", "json_tokens"), F.lit(1.0))), 1).alias("reduction_pct"))
+
+
 def prefix_reuse(df: DataFrame, order: list[str], text: str, by: list[str] | None = None, encoding: str = "o200k_base") -> DataFrame:
     """Tokens that each text shares with the one before it, and the totals per group."""
     by = by or []
@@ -162,14 +175,26 @@ def injects_tokens(model_flag: bool, environment: dict[str, str] | None = None)
 
 
 def validate(spark: SparkSession, rows: list[dict]) -> dict[str, bool]:
-    """Round trips of the formats that promise one."""
+    """Round trips of the formats that promise one, and whether the cells of the others can be read back."""
     canonical.validate(rows)
     blob = canonical.encode(rows)
-    return {
+    found = {
         "canonical": canonical.encode(canonical.decode(blob)) == blob,
         "record_text": record_text.decode(record_text.encode(rows)) is not None,
         "tokens": decode_tokens(encode_text(json.dumps(rows, ensure_ascii=False))) == json.dumps(rows, ensure_ascii=False),
     }
+    if rows:
+        df = frame_of(spark, rows)
+        flat = D.flatten(df.drop("_ord")).columns
+        cells = {(r["_ord"], flat.index(r["field"])): r["value"] or "" for r in D.melt(df, ["_ord"]).collect()}
+        want = [[cells[o, k] for k in range(len(flat))] for o in sorted({o for o, _ in cells})]
+        text = lambda fmt: render.document(render.lines(D.flatten(df), fmt, ["_ord"]), ["_ord"]).first()["document"]
+        found["csv"] = list(csv.reader(io.StringIO(text("csv"), newline="")))[1:] == want
+        plain = lambda c: c.replace("\t", " ").replace("\n", " ").replace("\r", "")
+        found["tsv"] = [len(x.split("\t")) for x in text("tsv").split("\n")[1:]] == [len(flat)] * len(want) or any("\t" in c or "\n" in c for r in want for c in r)
+        found["markdown"] = [[c.strip().replace("\\|", "|") for c in re.split(r"(?<!\\)\|", x)[1:-1]] for x in text("markdown").split("\n")[2:]] == [[plain(c).strip() for c in r] for r in want]
+        found["compact"] = bool(text("compact"))
+    return found
 
 
 @dataclass

@@ -67,15 +67,18 @@ class Engine:
         return Result(df.orderBy(*order).limit(limit) if limit and limit > 0 else df, order, fmt)
 
     def budget(self, name: str, model: str, formats: tuple[str, ...] = ("tsv", "csv", "markdown", "json_min"), prompt_tokens: int = 0, exact: bool = False) -> DataFrame:
-        """format, rows, tokens: how much of the dataset fits a model's window, most rows first."""
+        """format, rows, tokens, tokens_per_row, cost_per_1m (of a million requests): how much of the dataset fits a model's window, most rows first."""
         df, order = self.read(name)
-        room = B.available(B.model(model)[2], prompt_tokens)
+        room, price = B.available(B.model(model)[2], prompt_tokens), B.model(model)[3]
         out = None
         for fmt in formats:
-            rendered = render.lines(df, fmt, order).filter("part = 1")
+            # Every line costs a token at least: more lines than this cannot fit.
+            rendered = render.lines(df, fmt, order).filter("part = 1").orderBy(*order).limit(room + 1)
             cost = token_count(F.col("line"), B.model(model)[1]) if exact else token_estimate(F.col("line"))
-            one = B.rows_within(rendered.withColumn("format", F.lit(fmt)), order, cost, room, ["format"])
+            one = B.rows_within(rendered, order, cost, room).withColumn("format", F.lit(fmt))
             out = one if out is None else out.unionByName(one)
+        per = F.when(F.col("rows") > 0, F.ceil(F.col("tokens") / F.col("rows"))).otherwise(0).cast("long")
+        out = out.select("format", "rows", "tokens", per.alias("tokens_per_row"), F.round(F.col("tokens") * F.lit(price), 2).alias("cost_per_1m"))
         return out.orderBy(F.col("rows").desc(), "format")
 
     def optimized_context(self, name: str, filter_: str | None, budget: int, sort_by: str | None = None, fmt: str = "csv", sort_first: bool = False) -> DataFrame:

@@ -37,3 +37,27 @@ class DecodingError(EngineError, ValueError):
 
 class ValidationError(EngineError, ValueError):
     code = "VALIDATION"
+
+
+class TokenizerVersionError(EngineError, ValueError):
+    code = "TOKENIZER_VERSION"
+
+
+class StorageError(EngineError, OSError):
+    code = "STORAGE"
+
+
+class DatasetNotFoundError(EngineError, KeyError):
+    code = "DATASET_NOT_FOUND"
+
+
+class WindowExceededError(BudgetExceededError):
+    code = "WINDOW_EXCEEDED"
+
+
+class InjectionError(EngineError, ValueError):
+    code = "INJECTION"
+
+
+class StreamingError(EngineError, RuntimeError):
+    code = "STREAMING"

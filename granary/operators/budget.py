@@ -7,7 +7,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from granary.errors import BudgetExceededError
+from granary.errors import BudgetExceededError, WindowExceededError
 from granary.functions.scalar import half_up
 from granary.plans.models import model
 
@@ -178,7 +178,7 @@ def compose(blocks: DataFrame, model_name: str, by: list[str], reserve: int = RE
     out = composed(blocks, budget, by)
     bad = out.filter("reason = 'overflow'").first()
     if bad:
-        raise BudgetExceededError(f"required block {bad['name']} does not fit")
+        raise WindowExceededError(f"required block {bad['name']} does not fit")
     return out
 
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -104,9 +106,22 @@ def nesting(schema: T.DataType) -> int:
     return 0
 
 
+def _array_levels(values: Column, kind: T.DataType, depth: int) -> list[tuple[int, Column, Column]]:
+    """Depth, number and total length of the arrays at every level below a list of values of this kind."""
+    if isinstance(kind, T.ArrayType):
+        some = F.filter(values, lambda x: x.isNotNull())
+        own = depth + 1, F.size(some), F.aggregate(some, F.lit(0), lambda a, x: a + F.size(x))
+        return [own, *_array_levels(F.flatten(some), kind.elementType, depth + 1)]
+    if isinstance(kind, T.StructType):
+        return [m for f in kind for m in _array_levels(F.transform(values, lambda x: x[f.name]), f.dataType, depth)]  # noqa: B023
+    return []
+
+
 def complexity(df: DataFrame, keys: list[str], shape: Column | None = None) -> DataFrame:
     """Field entropy, depth, polymorphism, type cardinality, array complexity and sparsity, as one score of 0 to 100 and a class.
 
+    Entropy is that of the paths over all rows; array complexity is the mean depth of arrays times their mean length.
+
     shape: the key set of a row where rows differ; by default all rows have the columns.
     """
     data = df.drop(*keys)
@@ -114,14 +129,25 @@ def complexity(df: DataFrame, keys: list[str], shape: Column | None = None) -> D
     n = len(own)
     depth = nesting(data.schema)
     kinds = len({kind_of(k) for _, k in own} | ({"object"} if depth > 1 else set()))
-    arrays = [(p, k) for p, k in own if isinstance(k, T.ArrayType)]
-    length = sum((F.coalesce(F.size(path(p)), F.lit(0)) for p, _ in arrays), F.lit(0))
-    aggs = [F.count(F.lit(1)).alias("rows"), F.sum(sum((F.when(path(p).isNull(), 1).otherwise(0) for p, _ in own), F.lit(0))).alias("empty"), F.sum(length).alias("items"), (F.countDistinct(shape) if shape is not None else F.lit(1)).alias("shapes")]
-    g = df.agg(*aggs)
+    parts = [(name, [name.rsplit(".", j)[0] for j in range(name.count("."), 0, -1)]) for name, _ in own]
+    # Where a struct is missing, its own path takes the place of its leaves.
+    inner = {s: ps[:k] for _, ps in parts for k, s in enumerate(ps)}
+    there = lambda ps: [path(x).isNotNull() for x in ps]
+    cases = [there(ps) for _, ps in parts] + [[*there(ps), path(x).isNull()] for x, ps in inner.items()]
+    counts = [F.count(F.when(reduce(lambda a, b: a & b, case, F.lit(True)), 1)).alias(f"__c{k}") for k, case in enumerate(cases)]
+    levels = [m for f in data.schema for m in _array_levels(F.array(F.col(f"`{f.name}`")), f.dataType, 0)]
+    arrays = [x for k, (_, n_, size) in enumerate(levels) for x in (F.sum(n_).alias(f"__n{k}"), F.sum(size).alias(f"__s{k}"))]
+    aggs = [F.count(F.lit(1)).alias("rows"), F.sum(sum((F.when(path(p).isNull(), 1).otherwise(0) for p, _ in own), F.lit(0))).alias("empty"), (F.countDistinct(shape) if shape is not None else F.lit(1)).alias("shapes")]
+    g = df.agg(*aggs, *counts, *arrays)
     rows = F.greatest(F.col("rows"), F.lit(1))
-    entropy = F.lit(0.0) + F.log2(F.lit(float(max(n, 1))))
+    each = [F.col(f"__c{k}") for k in range(len(cases))]
+    total = F.greatest(sum(each, F.lit(0)), F.lit(1))
+    entropy = sum((F.when(c > 0, -(c / total) * F.log2(c / total)).otherwise(0.0) for c in each), F.lit(0.0))
     poly = F.least(F.lit(1.0), F.col("shapes") / rows)
-    array = F.lit(float(len(arrays) > 0)) * F.coalesce(F.col("items"), F.lit(0)) / (rows * max(len(arrays), 1))
+    found = sum((F.coalesce(F.col(f"__n{k}"), F.lit(0)) for k in range(len(levels))), F.lit(0))
+    depths = sum((F.coalesce(F.col(f"__n{k}"), F.lit(0)) * d for k, (d, _, _) in enumerate(levels)), F.lit(0))
+    lengths = sum((F.coalesce(F.col(f"__s{k}"), F.lit(0)) for k in range(len(levels))), F.lit(0))
+    array = F.coalesce(F.try_divide(depths, found) * F.try_divide(lengths, found), F.lit(0.0))
     sparse = F.coalesce(F.col("empty"), F.lit(0)) / (rows * max(n, 1))
     points = F.least(F.lit(25.0), entropy / 5 * 25) + min(20.0, depth / 6 * 20) + F.least(F.lit(15.0), poly * 15) + min(15.0, kinds / 7 * 15) + F.least(F.lit(15.0), array / 10 * 15) + F.least(F.lit(10.0), sparse * 20)
     score = F.greatest(F.lit(0), F.least(F.lit(100), half_up(points))).cast("int")
@@ -175,3 +201,12 @@ def string_table(texts: DataFrame, order: list[str]) -> DataFrame:
     """s, id: distinct texts (s) numbered by their first place."""
     first = texts.groupBy("s").agg(F.min(F.struct(*order)).alias("__first"))
     return ordered(first, "__first").select("s", F.col(ORDER).alias("id"))
+
+
+def entropy_correlation(df: DataFrame, keys: list[str], formats: tuple[str, ...] = ("csv", "tsv", "markdown", "json_min")) -> DataFrame:
+    """format, entropy, reuse, tokens, tokens_vs_json: how repetitive the texts are beside what each rendering costs (estimated tokens)."""
+    from granary.operators import render
+
+    base = render.sizes(df, keys, ("json_min",)).select(F.col("tokens").alias("json"))
+    one = repetition(df, keys).select("entropy", "reuse")
+    return render.sizes(df, keys, formats).crossJoin(base).crossJoin(one).select("format", "entropy", "reuse", "tokens", F.round(F.coalesce(F.try_divide("tokens", "json"), F.lit(0.0)), 4).alias("tokens_vs_json"))

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from granary.functions import scalar as S
 from granary.operators import dataset as D
-from granary.operators import session, stats, store, telemetry
+from granary.operators import guard, session, stats, store, telemetry
 from granary.operators.budget import cache_control, cache_outcome
 from granary.plans.miniquery import filter_text, parse, predicate, select_rows, sort_stable
 from granary.registry import query
@@ -146,12 +146,10 @@ def _(t):
 @query("j03_guard_match", """
 WITH a AS (SELECT user_id::VARCHAR || ':' || event_type AS f, count(*) AS n FROM events WHERE event_id % 3 <> 0 GROUP BY 1),
  b AS (SELECT user_id::VARCHAR || ':' || event_type AS f, count(*) AS n FROM events WHERE event_id % 3 <> 1 GROUP BY 1)
-SELECT sum(least(a.n, b.n))::BIGINT AS matched, (SELECT sum(n) FROM a)::BIGINT AS rows FROM a JOIN b ON a.f = b.f""")
+SELECT sum(least(a.n, b.n))::BIGINT AS matched, (SELECT sum(n) FROM a)::BIGINT AS rows, (SELECT sum(n) FROM b)::BIGINT AS decoded_rows FROM a JOIN b ON a.f = b.f""")
 def _(t):
-    e = t("events").withColumn("f", F.concat_ws(":", F.col("user_id").cast("string"), "event_type"))
-    a = e.filter("event_id % 3 <> 0").groupBy("f").agg(F.count(F.lit(1)).alias("n1"))
-    b = e.filter("event_id % 3 <> 1").groupBy("f").agg(F.count(F.lit(1)).alias("n2"))
-    return a.join(b, "f", "left").agg(F.sum(F.least(F.col("n1"), F.coalesce("n2", F.lit(0)))).alias("matched"), F.sum("n1").alias("rows"))
+    e = t("events").select("event_id", F.struct("user_id", "event_type").alias("f"))
+    return guard.matched_rows(e.filter("event_id % 3 <> 0").select("f"), e.filter("event_id % 3 <> 1").select("f"))
 
 
 @query("j05_dictionary_substitution", """

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from granary.functions import canonical, record_text, token_stream
 from granary.functions import scalar as S
 from granary.functions.tokens import fingerprint, spread, token_count, tokens
+from granary.operators import pretokenized
 from granary.operators import dataset as D
 from granary.operators import render
 from granary.registry import query
@@ -246,9 +247,10 @@ def _(t):
 
 @query("s18_field_tokens", None)
 def _(t):
-    cells = D.melt(t("nation"), ["n_nationkey"]).select("n_nationkey", "field", tokens(F.col("value")).alias("ids"))
-    g = cells.groupBy("field").agg(F.array_sort(F.collect_list(F.struct("n_nationkey", "ids"))).alias("s"))
-    return g.select("field", F.flatten(F.transform("s", lambda x: x["ids"])).alias("ids"))
+    part = t("part").select("p_partkey", "p_name", "p_type")
+    place = files.scratch(part.sparkSession, "block")
+    pretokenized.write_block(part, ["p_partkey"], place)
+    return pretokenized.read_block(part.sparkSession, place)
 
 
 @query("s21_transcoded_json", "SELECT r_regionkey, '{\"r_name\":\"' || r_name || '\"}' AS line FROM region")

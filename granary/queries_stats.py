@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from granary import api
 from granary.functions import scalar as S
 from granary.functions.tokens import repeated_share, tokens
 from granary.operators import budget as B
@@ -205,15 +206,22 @@ def _(t):
     return stats.width_sensitivity(t("part"), ["p_name", "p_brand", "p_type"])
 
 
-@query("a19_entropy_correlation", "SELECT round(corr(e, b), 6) AS r FROM (SELECT length(p_name)::DOUBLE AS e, length(p_name || p_brand)::DOUBLE AS b FROM part)")
+LINES = "p_brand || ',' || p_name || ',' || p_type"
+
+
+@query("a19_entropy_correlation", f"""
+WITH m AS (SELECT p_name AS v FROM part UNION ALL SELECT p_brand FROM part UNION ALL SELECT p_type FROM part), c AS (SELECT v, count(*) AS n FROM m GROUP BY 1), s AS (SELECT sum(n)::BIGINT AS total FROM c),
+ r AS (SELECT round(1 - count(*)::DOUBLE / total, 9) AS reuse, round(sum(-(n::DOUBLE / total) * log2(n::DOUBLE / total)), 6) AS entropy FROM c, s GROUP BY total),
+ l AS (SELECT sum(length({LINES}) + 1) AS plain, sum(length({LINES}) + length('{{"p_brand":"","p_name":"","p_type":""}}') - 2 + 1) AS braces FROM part),
+ f AS (SELECT 'csv' AS format, ceil((plain + length('p_brand,p_name,p_type') + 1 - 1) / 4.0)::BIGINT AS tokens FROM l UNION ALL SELECT 'json_min', ceil((braces + 1) / 4.0)::BIGINT FROM l)
+SELECT format, entropy, reuse, tokens, round(tokens::DOUBLE / (SELECT tokens FROM f WHERE format = 'json_min'), 4) AS tokens_vs_json FROM f, r""")
 def _(t):
-    return t("part").agg(F.round(F.corr(F.length("p_name").cast("double"), F.length(F.concat("p_name", "p_brand")).cast("double")), 6).alias("r"))
+    return stats.entropy_correlation(t("part").select("p_partkey", "p_brand", "p_name", "p_type"), ["p_partkey"], ("csv", "json_min"))
 
 
-@query("a20_encoding_stats", "SELECT count(*) AS rows, count(DISTINCT p_brand || '|' || p_type) AS distinct_rows, round(100.0::DOUBLE * (1 - count(DISTINCT p_brand || '|' || p_type)::DOUBLE / count(*)), 1) AS reduction FROM part")
+@query("a20_encoding_stats", None)
 def _(t):
-    g = t("part").agg(F.count(F.lit(1)).alias("rows"), F.countDistinct(F.concat_ws("|", "p_brand", "p_type")).alias("distinct_rows"))
-    return g.withColumn("reduction", F.round(100 * (1 - F.col("distinct_rows") / F.col("rows")), 1))
+    return api.encoding_stats(t("part").select("p_partkey", "p_brand", "p_type"), ["p_partkey"])
 
 
 @query("a24_efficiency", """

@@ -7,6 +7,7 @@ from granary import api
 from granary.__main__ import main
 from granary.functions import token_stream
 from granary.functions.tokens import decode_tokens, encode_text
+from granary.operators import pretokenized
 from granary.operators.store import ContentStore
 
 ROWS = [{"id": k, "name": f"user {k}", "state": "waiting for review", "score": None if k % 2 else k / 2} for k in range(30)]
@@ -64,3 +65,41 @@ def test_verbs(spark, tmp_path, capsys, verb):
     (tmp_path / "d.json").write_text(json.dumps(ROWS))
     assert main([verb, f"{tmp_path}/d.json", "--query", "GET data WHERE id < 3 FORMAT csv"]) == 0
     assert capsys.readouterr().out
+
+
+def test_encoding_stats(spark):
+    df = spark.createDataFrame([(k, f"user {k % 3}", None if k % 2 else "waiting") for k in range(12)], "k int, name string, state string")
+    got = api.encoding_stats(df, ["k"]).first()
+    lines = [r.tokens for r in api.token_lines(df, ["k"]).collect()]
+    assert (got.rows, got.total_tokens, got.unique_tokens) == (12, sum(map(len, lines)), len({x for r in lines for x in r}))
+    plain = sum(len(encode_text(json.dumps({"name": f"user {k % 3}", "state": None if k % 2 else "waiting"}, separators=(",", ":")))) for k in range(12))
+    assert got.json_tokens == plain and got.reduction_pct == round(100 * (1 - got.total_tokens / plain), 1)
+
+
+def test_verbs_over_the_store(spark, tmp_path, capsys):
+    with open(f"{tmp_path}/d.json", "w") as f:
+        json.dump(ROWS, f)
+    run = lambda verb, file=f"{tmp_path}/d.json", *more: (main([verb, file, "--store", f"{tmp_path}/s", *more]), capsys.readouterr().out.strip())
+    code, body = run("ir-encode")
+    assert code == 0 and ContentStore(spark, f"{tmp_path}/s").has(body)
+    assert body in run("status", "-")[1]
+    assert json.loads(run("cache-warm", "-")[1]) == {"gpt-4o": 1}
+    assert run("cache-diagnose", "-")[1].endswith("ready")
+    assert "gpt-4o" in run("cache-stats", "-")[1]
+    shown = json.loads(run("ir-inspect", body)[1])
+    assert shown["rows"] == len(ROWS) and json.loads(run("ir-materialize", body)[1])["tokens"] > 100
+    assert len(run("compose", body, "--system", "be brief")[1].splitlines()) == 2
+    assert json.loads(run("guard")[1])["passed"] and "reduction" in json.loads(run("scorecard")[1])
+    code, out = run("inject", f"{tmp_path}/d.json", "--system", "rows: {{DATA:data}} and {{DATA:other}}", "--format", "csv")
+    assert "user 3" in out and out.endswith("{{DATA:other}}")
+    assert set(json.loads(run("bench")[1])) >= {"csv", "compact"}
+
+
+def test_pretokenized_blocks(spark, tmp_path):
+    rows = [(k, None if k % 7 == 3 else f"name {k % 5}", "" if k == 2 else "waiting for review") for k in range(50)]
+    df = spark.createDataFrame(rows, "k int, name string, state string")
+    pretokenized.write_block(df, ["k"], f"{tmp_path}/b", group=8)
+    got = {(r.field, r.row): r.tokens for r in pretokenized.read_block(spark, f"{tmp_path}/b", group=8).collect()}
+    assert got == {(f, k): None if v is None else encode_text(v) for k, a, b in rows for f, v in (("name", a), ("state", b))}
+    part = pretokenized.read_block(spark, f"{tmp_path}/b", "name", 5, 9, group=8).collect()
+    assert {r.row: r.tokens for r in part} == {k: got["name", k] for k in range(5, 14)}

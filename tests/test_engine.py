@@ -1,11 +1,14 @@
+import math
+
 import pytest
 from pyspark.sql import functions as F
 
 from granary.engine import Engine
 from granary.errors import BudgetExceededError, NotStoredError, QueryError, UnknownFormatError, UnknownModelError
+from granary.functions import scalar as S
 from granary.operators import budget as B
 from granary.operators import dataset as D
-from granary.operators import render, session, store
+from granary.operators import guard, render, session, stats, store
 from granary.plans import models
 from granary.plans.miniquery import MiniQuery, filter_text, parse, predicate
 from granary.sources import files
@@ -219,3 +222,39 @@ def test_streams(spark, tmp_path):
         q.stop()
     assert spark.table("seen").count() == 7
     assert spark.table("tele").agg(F.sum("total"), F.sum("hits")).first()[:] == (20, 10)
+
+
+def test_rows_are_matched_one_to_one(spark):
+    """Equal leaves first, then the nearest row of the same anchor, each partner once."""
+    wide = lambda **x: {"id": 1, **{f"c{j:02d}": f"v{j}" for j in range(24)}, **x}
+    a = [wide(), wide(), wide(c01="x"), wide(id=2), {**wide(), "id": None}, {**wide(c03="q"), "id": None}]
+    b = [wide(), wide(c02="y"), wide(c01="x", c05="z"), wide(id=2, c01="p", c02="q"), {**wide(), "id": None}, {**wide(c04="q"), "id": None}]
+    schema = "id int, " + ", ".join(f"c{j:02d} string" for j in range(24))
+    one, two = (spark.createDataFrame([tuple(r.values()) for r in rows], schema) for rows in (a, b))
+    # Rows of id 1: one equal pair, two near ones; id 2 differs in two leaves of 25; without an anchor only equal rows match.
+    assert guard.matched_rows(one, two).first().asDict() == {"rows": 6, "decoded_rows": 6, "matched": 4}
+    g = guard.semantic_guard(one, two).first()
+    assert (g.path_pct, g.passed, g.reason) == (100.0, False, "rows")
+    assert guard.semantic_guard(one, one).first().passed and not guard.semantic_guard(one, one, F.lit(False)).first().passed
+    assert guard.semantic_guard(one, one.limit(5)).first().reason == "row count"
+    assert guard.semantic_guard(one.limit(0), one.limit(0)).first().passed
+
+
+def test_common_prefixes_of_any_length(spark):
+    rows = [("x" * n + a, "x" * n + b) for n, a, b in ((0, "", ""), (0, "a", "b"), (5000, "a", "b"), (9000, "", "zz"), (4095, "q", "q"), (70_001, "ü1", "ü2"))]
+    got = spark.createDataFrame(rows, "a string, b string").select(F.length(S.common_prefix(F.col("a"), F.col("b"))).alias("n")).collect()
+    assert [r.n for r in got] == [0, 0, 5000, 9000, 4096, 70_002]
+
+
+def test_complexity_counts_paths_and_arrays(spark):
+    """Entropy over the paths that are there, arrays at every depth."""
+    rows = [((1, "a"), [[1, 2], [3]], [([5, 6],), (None,)]), (None, [[]], None), ((None, "b"), None, [([7],)])]
+    df = spark.createDataFrame([(k, *r) for k, r in enumerate(rows)], "id int, s struct<x:int,y:string>, n array<array<int>>, o array<struct<z:array<int>>>")
+    got = stats.complexity(df, ["id"]).first()
+    # Paths: s.x and s.y twice, s itself once, n and o three times each.
+    counts = [2, 2, 1, 3, 3]
+    assert got.entropy == pytest.approx(-sum(c / 11 * math.log2(c / 11) for c in counts), abs=1e-6)
+    # Depth and length of every array that is there.
+    arrays = [(1, 2), (2, 2), (2, 1), (1, 2), (2, 2), (1, 1), (2, 0), (1, 1), (2, 1)]
+    mean = lambda k: sum(a[k] for a in arrays) / len(arrays)
+    assert got.array_complexity == pytest.approx(mean(0) * mean(1), abs=1e-6)
