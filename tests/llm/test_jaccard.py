@@ -5,6 +5,7 @@ from collections import Counter
 import numpy as np
 import pytest
 
+from granary.llm import components as components_
 from granary.llm import jaccard
 from granary.llm.components import components
 
@@ -111,11 +112,14 @@ def test_classes_of_one_number(spark, monkeypatch):
     assert sorted((r.doc_id, r.component_id) for r in got.collect()) == [(1, 1), (2, 2), (3, 1)]
 
 
-def test_components_of_paths_and_stars(spark):
+@pytest.mark.parametrize("small", [0, 1000])
+def test_components_of_paths_and_stars(spark, monkeypatch, small):
+    monkeypatch.setattr(components_, "SMALL", small)
     rng = random.Random(1)
     edges = [(k, k + 1) for k in range(60)] + [(1000, k) for k in range(900, 1000)] + [(5000, 5000), (7001, 7000)]
     rng.shuffle(edges)
     got = {r.id: r.component for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
+    assert not components(spark.createDataFrame([], "a long, b long")).collect()
     assert got == {k: 0 for k in range(61)} | {k: 900 for k in range(900, 1001)} | {7000: 7000, 7001: 7000}
 
 
