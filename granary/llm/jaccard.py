@@ -4,7 +4,8 @@ Two sets that reach the similarity differ in a bounded number H of shingles. In
 bound, hashing deals the shingles into m > H segments; similar sets agree on all but H of them. Every
 set is indexed under the hash of each of its segments. As m is larger than H + 1, a query may skip
 segments: it skips the keys that most sets share, up to m - H - 1 of them (cost-based allocation),
-and still meets every similar set. Where H is one, the set is one segment, indexed with its
+and still meets every similar set. A quarter of H segments more than are needed make few keys more, and
+let queries skip nearly all keys that unlike sets share. Where H is one, the set is one segment, indexed with its
 one-deletion neighbourhood instead. Sets whose sizes fall into neighbouring bands meet in the upper
 one. Equal sets are one class from the start, and candidates are verified on the whole sets.
 
@@ -39,7 +40,7 @@ class Scheme:
         self.band, self.top = band, int(EDGES[band + 1] - 1)
         self.bound = (100 - percent) * 2 * self.top // (100 + percent)
         self.deletion = self.bound == 1
-        self.segments = 1 if self.deletion else self.bound + 1 + 3 + self.bound // 16
+        self.segments = 1 if self.deletion else self.bound + 1 + 3 + self.bound // 4
         self.salt = mix64(np.array([0x5851F42D4C957F2D + band], np.uint64))[0]
 
     def keys(self, sets: np.ndarray) -> tuple[np.ndarray, int]:
