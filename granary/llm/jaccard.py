@@ -256,7 +256,9 @@ def class_links(keyed: DataFrame, classes: DataFrame, width: int, percent: int,
     several = staged(labelled.groupBy("key").agg(F.min("p").alias("lo"), F.max("p").alias("hi"), F.max("query").alias("any")).filter("lo <> hi AND any").select("key"), "several")
     left = labelled.join(several, "key", "left_semi")
     q = left.filter("query").select("key", "class", F.col("p").alias("p1")).join(one, "class")
-    rest = q.join(left.select("key", F.col("class").alias("other"), F.col("p").alias("p2")).join(two, "other"), (q["key"] == left["key"]) & F.expr("p1 <> p2") & near(percent))
+    # A pair that both would query meets once.
+    others = left.select("key", F.col("class").alias("other"), F.col("p").alias("p2"), F.col("query").alias("q2")).join(two, "other")
+    rest = q.join(others, (q["key"] == left["key"]) & F.expr("p1 <> p2 AND (NOT q2 OR class < other)") & near(percent))
     rest = staged(pair(rest, "class", "other").distinct().join(tested, ["a", "b"], "left_anti"), "pairs")
     if not rest.isEmpty():
         found = staged(components(links.unionByName(check(rest))), "components")
