@@ -12,11 +12,15 @@ LEAST = 95.0
 
 
 def told(df: DataFrame) -> DataFrame:
-    """anchor, pairs, leaves: each row's anchor (see row_anchor; null without one), the sorted set of its leaves with values, and that set's SHA-256."""
+    """anchor, pairs, leaves: each row's anchor (see row_anchor; null without one), the sorted set of its leaves with values, and that set's SHA-256.
+
+    The hash is told to be never null, so that a join on it infers no filter. Such a filter would go below the columns'
+    own expressions, and Spark would list it in all ways of writing some of them by name: 2 to the number of columns.
+    """
     found = sorted(leaves(df.schema), key=lambda x: f"{x[0]}=".encode())
     cells = [F.when(path(name).isNotNull(), F.concat(F.lit(name + "="), to_text(path(name), kind))) for name, kind in found]
     rows = df.select(row_anchor(df).alias("anchor"), F.filter(F.array(*cells), lambda x: x.isNotNull()).alias("pairs"))
-    return rows.withColumn("leaves", F.unhex(F.sha2(F.to_json("pairs"), 256)))
+    return rows.withColumn("leaves", F.coalesce(F.unhex(F.sha2(F.to_json("pairs"), 256)), F.lit(b"")))
 
 
 def matched_rows(original: DataFrame, decoded: DataFrame, least: float = LEAST) -> DataFrame:

@@ -240,6 +240,20 @@ def test_rows_are_matched_one_to_one(spark):
     assert guard.semantic_guard(one.limit(0), one.limit(0)).first().passed
 
 
+def test_no_filter_on_hashes_below_derived_columns(spark):
+    """Below columns that are expressions themselves Spark lists a filter on their hash in 2 to the number of columns forms."""
+    one = spark.range(40).select("id", *[F.concat(F.lit(f"v{k}-"), F.col("id").cast("string")).alias(f"c{k}") for k in range(4)])
+    joined = guard.told(one).join(guard.told(one).select("leaves").distinct().hint("merge"), "leaves")
+    assert "isnotnull(unhex" not in joined._jdf.queryExecution().optimizedPlan().toString() and joined.count() == 40
+
+
+def test_guard_of_many_derived_columns(spark):
+    wide = lambda df: df.select("id", *[F.concat(F.lit(f"v{k}-"), F.col("id").cast("string")).alias(f"c{k}") for k in range(30)])
+    one = wide(spark.range(40))
+    two = one.withColumns({"c3": F.when(F.col("id") % 4 == 0, "other").otherwise(F.col("c3")), "c5": F.when(F.col("id") % 8 == 0, "other").otherwise(F.col("c5"))})
+    assert guard.matched_rows(one, two).first().asDict() == {"rows": 40, "decoded_rows": 40, "matched": 35}
+
+
 def test_common_prefixes_of_any_length(spark):
     rows = [("x" * n + a, "x" * n + b) for n, a, b in ((0, "", ""), (0, "a", "b"), (5000, "a", "b"), (9000, "", "zz"), (4095, "q", "q"), (70_001, "ü1", "ü2"))]
     got = spark.createDataFrame(rows, "a string, b string").select(F.length(S.common_prefix(F.col("a"), F.col("b"))).alias("n")).collect()
