@@ -24,16 +24,17 @@ def _let(value: Column, then) -> Column:
     return F.element_at(F.transform(F.array(value), then), 1)
 
 
-def _without_exponent(s: Column) -> Column:
-    """The text of a double with an exponent (1.25E-5) as plain decimals between 1e-6 and 1e21."""
+def _without_exponent(s: Column, least: int = -6, most: int = 21, width: int = 1) -> Column:
+    """The text of a double with an exponent (1.25E-5) as plain decimals between 1e-6 and 1e21, or other powers of ten; exponents have ``width`` digits at least."""
 
     def parts(v: Column) -> Column:
         digits, power = v["digits"], v["power"]
         whole = F.concat(F.substring(F.rpad(digits, 400, "0"), F.lit(1), power + 1), F.when(F.length(digits) > power + 1, F.concat(F.lit("."), F.substring(digits, power + 2, F.lit(400)))).otherwise(""))
         small = F.concat(F.lit("0."), F.repeat(F.lit("0"), -power - 1), digits)
         mantissa = F.concat(F.substring(digits, 1, 1), F.when(F.length(digits) > 1, F.concat(F.lit("."), F.substring(digits, 2, 400))).otherwise(""))
-        long = F.concat(mantissa, F.lit("e"), F.when(power > 0, "+").otherwise(""), power.cast("string"))
-        return F.concat(v["sign"], F.when((power >= 0) & (power < 21), whole).when((power < 0) & (power >= -6), small).otherwise(long))
+        size = F.abs(power).cast("string")
+        long = F.concat(mantissa, F.lit("e"), F.when(power > 0, "+").otherwise("-"), F.repeat(F.lit("0"), F.lit(width) - F.length(size)), size)
+        return F.concat(v["sign"], F.when((power >= 0) & (power < most), whole).when((power < 0) & (power >= least), small).otherwise(long))
 
     def split(t: Column) -> Column:
         digits = F.replace(F.regexp_replace(F.regexp_extract(t, r"^-?([0-9.]+)E", 1), r"\.0$", ""), F.lit("."), F.lit(""))
@@ -53,6 +54,16 @@ def plain_double(x: Column) -> Column:
     return F.when((size < 1e15) & (x % 1 == 0), y.cast("long").cast("string")).when((size >= 1e-3) & (size < 1e7), y.cast("string")).otherwise(_without_exponent(y.cast("string")))
 
 
+def sql_double(x: Column) -> Column:
+    """A double as DuckDB's VARCHAR has it, without a needless fraction: minus zero keeps its sign, exponents from 1e16 and below 1e-4, nan and inf.
+
+    Digits are Java's; before Java 19 some beyond 1e16 and the smallest ones are not the shortest, as DuckDB's are.
+    """
+    size, s = F.abs(x), x.cast("string")
+    odd = F.when(F.isnan(x), "nan").when(size == float("inf"), F.when(x > 0, "inf").otherwise("-inf")).otherwise(_without_exponent(s, -4, 16, 2))
+    return F.when((size > 0) & (size < 1e15) & (x % 1 == 0), x.cast("long").cast("string")).when((size >= 1e-3) & (size < 1e7), s).when(size == 0, F.replace(s, F.lit(".0"), F.lit(""))).otherwise(odd)
+
+
 def to_text(c: Column, kind: T.DataType) -> Column:
     """The text of a scalar; null stays null. Arrays and structs become JSON, timestamps ISO-8601 in UTC with milliseconds."""
     if isinstance(kind, T.StringType):

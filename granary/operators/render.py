@@ -21,14 +21,15 @@ LARGEST_DICTIONARY = 10_000
 FORMATS = ("json", "json_min", "csv", "markdown", "tsv", "compact", "record_text")
 
 
-def cells(df: DataFrame, order: list[str], escape) -> list[Column]:
-    """Texts of all leaves; numbers and booleans need no escaping."""
+def cells(df: DataFrame, order: list[str], escape, double=None) -> list[Column]:
+    """Texts of all leaves; numbers and booleans need no escaping. double: how doubles are written, if not as by to_text."""
     plain = lambda c: F.coalesce(c, F.lit(""))
-    return [(plain if isinstance(k, (T.NumericType, T.BooleanType)) else escape)(S.to_text(path(n), k)) for n, k in leaves(df.drop(*order).schema)]
+    text = lambda n, k: double(path(n)) if double and isinstance(k, T.DoubleType) else S.to_text(path(n), k)
+    return [(plain if isinstance(k, (T.NumericType, T.BooleanType)) else escape)(text(n, k)) for n, k in leaves(df.drop(*order).schema)]
 
 
-def csv_row(df: DataFrame, order: list[str]) -> Column:
-    return F.concat_ws(",", *cells(df, order, S.csv_cell))
+def csv_row(df: DataFrame, order: list[str], double=None) -> Column:
+    return F.concat_ws(",", *cells(df, order, S.csv_cell, double))
 
 
 def markdown_row(df: DataFrame, order: list[str]) -> Column:
@@ -334,8 +335,8 @@ def _json_quoted(s: str) -> str:
 # --- all formats -----------------------------------------------------------------------------------
 
 
-def lines(df: DataFrame, fmt: str, order: list[str], name: str = "data", encoding: str = "o200k_base") -> DataFrame:
-    """The dataset as lines: part, the order columns, line."""
+def lines(df: DataFrame, fmt: str, order: list[str], name: str = "data", encoding: str = "o200k_base", double=None) -> DataFrame:
+    """The dataset as lines: part, the order columns, line. double: how csv writes doubles, if not as by to_text (see scalar.sql_double)."""
     spark = df.sparkSession
     if fmt == "compact":
         flat, p = compact_plan(df, order)
@@ -352,7 +353,7 @@ def lines(df: DataFrame, fmt: str, order: list[str], name: str = "data", encodin
         coded = record_referenced(df, order, words)
         body = coded.select(*order, record_row(df, order, name, words, coded).alias("line"))
     elif fmt in ("csv", "markdown", "tsv", "json_min", "json"):
-        row = {"csv": csv_row, "markdown": markdown_row, "tsv": tsv_row, "json_min": json_row, "json": json_row}[fmt](df, order)
+        row = csv_row(df, order, double) if fmt == "csv" else {"markdown": markdown_row, "tsv": tsv_row, "json_min": json_row, "json": json_row}[fmt](df, order)
         top = header(df, order, fmt)
         body = df.select(*order, row.alias("line"))
     else:
