@@ -384,11 +384,11 @@ def pretty_json(df: DataFrame, order: list[str]) -> str:
     return json.dumps(rows, indent=2, ensure_ascii=False)
 
 
-def sizes(df: DataFrame, order: list[str], formats: tuple[str, ...] = ("json_min", "csv", "markdown", "tsv", "record_text", "compact")) -> DataFrame:
-    """format, bytes, tokens (estimated) of each rendering."""
+def sizes(df: DataFrame, order: list[str], formats: tuple[str, ...] = ("json_min", "csv", "markdown", "tsv", "record_text", "compact"), double=None) -> DataFrame:
+    """format, bytes, tokens (estimated) of each rendering; double as in lines."""
     out = None
     for fmt in formats:
-        one = lines(df, fmt, order).agg(F.sum(F.octet_length("line") + 1).alias("bytes"), F.sum(F.length("line") + 1).alias("chars"))
+        one = lines(df, fmt, order, double=double).agg(F.sum(F.octet_length("line") + 1).alias("bytes"), F.sum(F.length("line") + 1).alias("chars"))
         extra = 1 if fmt == "json_min" else -1  # brackets and commas; no line feed after the last line
         one = one.select(F.lit(fmt).alias("format"), (F.coalesce("bytes", F.lit(0)) + extra).cast("long").alias("bytes"), F.ceil((F.coalesce("chars", F.lit(0)) + extra) / 4).cast("long").alias("tokens"))
         out = one if out is None else out.unionByName(one)

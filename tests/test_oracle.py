@@ -25,7 +25,7 @@ def test_runs(spark, name):
 ODD = [-0.0, 0.0, 5.0, -5.0, 0.01, -0.25, 1e-4, 9e-5, -2.3e-7, 123456.75, 1e7, 12345678.5, 1e15, 1e16, -1.5e17, 1e21, 1e100, 1e-100, float("nan"), float("inf"), float("-inf")]
 
 
-@pytest.mark.parametrize("name", ["r02_csv_lines"])
+@pytest.mark.parametrize("name", ["r02_csv_lines", "r11_format_sizes"])
 def test_odd_doubles_against_sql(spark, con, tmp_path, name):
     rows = [(k, f"Customer#{k:09d}", k % 25, x, "MACHINERY") for k, x in enumerate(ODD)]
     spark.createDataFrame(rows, "c_custkey long, c_name string, c_nationkey int, c_acctbal double, c_mktsegment string").write.parquet(f"{tmp_path}/customer.parquet")
